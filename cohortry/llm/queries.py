@@ -10,6 +10,37 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    from .mixing import mix
+
+    plan = mix(documents(spark, sf_dir), ["doc_id"])
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"))
+
+
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their texts with the second half replaced by the next document's beginning."""
+    from . import imatch
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    table = imatch.lookup(imatch.lexicon(docs))
+    own = imatch.with_fingerprint(docs, F.col("text"), table, "fp")
+    rows = imatch.with_next(own, {"text": "next_text", "fp": "next_fp"})
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = rows.withColumn("edited", edited)
+    rows = imatch.with_fingerprint(rows, F.col("edited"), table, "edited_fp")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        imatch.as_text(F.col("fp")).alias("fingerprint"),
+        imatch.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        imatch.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to WARC files, reads them back through the salvage reader."""
     from .warc import read_warc, write_warc
@@ -20,6 +51,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_imatch": op2_imatch,
     "op9_warc": op9_warc,
 }
 
