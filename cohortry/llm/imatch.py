@@ -11,7 +11,7 @@ from .common import saved
 
 _WS = r"[\x20\x09-\x0D]+"
 #: One of so many parts of the lexicon is kept for each subset: coarse ones tell long texts apart, fine ones short.
-SUBSETS = (2, 2, 4, 4, 8, 8, 8, 16, 16, 16, 32, 32, 32, 32, 64, 64)
+SUBSETS = (2, 4, 8, 8, 16, 16, 32, 32, 32, 64, 64, 64, 64, 128, 128, 128, 128, 256, 256, 256, 256, 512, 512, 512)
 #: Buckets of the lexicon's hash table.
 TABLE = 1 << 14
 
@@ -49,7 +49,9 @@ def with_fingerprint(df: DataFrame, text: Column, table: Column, name: str, seed
     terms, and one without words has the hash of nothing in every place.
     """
     df = df.withColumn("_t", terms(text))
-    df = df.withColumn("_b", F.sort_array(F.filter("_t", lambda t: F.array_contains(F.element_at(table, (F.pmod(t, F.lit(TABLE)) + 1).cast("int")), t))))
+    # tied to _t, so that the optimiser puts the subquery's one value in the place of _lex and no row carries it
+    df = df.withColumn("_lex", F.when(F.size("_t") >= 0, table))
+    df = df.withColumn("_b", F.sort_array(F.filter("_t", lambda t: F.array_contains(F.element_at("_lex", (F.pmod(t, F.lit(TABLE)) + 1).cast("int")), t))))
     df = df.withColumn("_b", F.when(F.size("_b") > 0, F.col("_b")).otherwise(F.sort_array("_t")))
 
     def part(k: int, of: int) -> Column:
@@ -58,7 +60,7 @@ def with_fingerprint(df: DataFrame, text: Column, table: Column, name: str, seed
 
     empty = [F.xxhash64(F.lit(None).cast("array<bigint>"), F.lit(k)) for k in range(len(SUBSETS))]
     out = F.array(*(F.nullif(part(k, of), empty[k]) for k, of in enumerate(SUBSETS)))
-    return df.withColumn(name, out).drop("_t", "_b")
+    return df.withColumn(name, out).drop("_t", "_b", "_lex")
 
 
 def as_text(fp: Column) -> Column:
