@@ -41,6 +41,14 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, decoded again."""
+    from .pieces import encode
+
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), "text", verify=True)
+    return rows.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "decoded_sha256", "exact")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to WARC files, reads them back through the salvage reader."""
     from .warc import read_warc, write_warc
@@ -53,6 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_imatch": op2_imatch,
+    "op7_pieces": op7_pieces,
     "op9_warc": op9_warc,
 }
 
