@@ -41,6 +41,30 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _part(of: int):
+    """crc32 of doc_id as text, modulo ``of``; null doc_ids count as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents; a third of them is never learned from."""
+    from .langid import predict, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs.where(_part(3) != 1).select("text", "lang"))
+    return predict(docs.select("doc_id", (_part(3) == 1).alias("held_out"), "text"), model).drop("text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; a fifth of the labels is never learned from."""
+    from .quality import score, train
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = train(docs, labels.where(_part(5) != 0))
+    return score(docs.select("doc_id", (_part(5) == 0).alias("held_out"), "text"), model).drop("text")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, decoded again."""
     from .pieces import encode
@@ -61,8 +85,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_imatch": op2_imatch,
+    "op5_language": op5_language,
     "op7_pieces": op7_pieces,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
