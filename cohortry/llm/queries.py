@@ -41,6 +41,13 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by Jaccard similarity of five-word shingles."""
+    from .partenum import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def _part(of: int):
     """crc32 of doc_id as text, modulo ``of``; null doc_ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of))
@@ -85,6 +92,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_imatch": op2_imatch,
+    "op3_jaccard": op3_jaccard,
     "op5_language": op5_language,
     "op7_pieces": op7_pieces,
     "op9_warc": op9_warc,
