@@ -80,6 +80,14 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "decoded_sha256", "exact")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages of 50 bytes or more cost each document."""
+    from .repeats import remove_repeats
+
+    rows = remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to WARC files, reads them back through the salvage reader."""
     from .warc import read_warc, write_warc
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op5_language": op5_language,
     "op7_pieces": op7_pieces,
+    "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
