@@ -72,6 +72,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", (_part(5) == 0).alias("held_out"), "text"), model).drop("text")
 
 
+def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of four fifths of them."""
+    from .ngram import score, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs.where(_part(5) != 1).select("text"))
+    return score(docs.select("doc_id", (_part(5) == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, decoded again."""
     from .pieces import encode
@@ -102,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_imatch": op2_imatch,
     "op3_jaccard": op3_jaccard,
     "op5_language": op5_language,
+    "op6_ngram": op6_ngram,
     "op7_pieces": op7_pieces,
     "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
