@@ -48,6 +48,13 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at a cosine of 0.95."""
+    from .covertree import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def _part(of: int):
     """crc32 of doc_id as text, modulo ``of``; null doc_ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of))
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_imatch": op2_imatch,
     "op3_jaccard": op3_jaccard,
+    "op4_embeddings": op4_embeddings,
     "op5_language": op5_language,
     "op6_ngram": op6_ngram,
     "op7_pieces": op7_pieces,
