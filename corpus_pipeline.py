@@ -1,12 +1,76 @@
-"""Corpus pipeline: language ID, near-duplicate removal, repeated-passage removal, mixing, piece encoding."""
+"""Corpus pipeline over ``documents``: five stages, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept;
+all but the last return the columns of documents.  Null or empty texts, repeated rows, empty
+tables and further columns are handled as the operators' docstrings say; a further column
+is carried along by the stages that keep whole rows and dropped by ``repeated_passages``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortry.llm import langid, mixing, partenum, pieces, repeats
+from cohortry.llm.common import documents, saved
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without an identified language: no letter, or a best share no more than a tenth above chance.
+
+    The classifier learns from the declared languages of a bounded sample.  A missing lang is filled in.
+    """
+    model = langid.train(docs)
+    least = 1.1 / max(1, len(model.langs)) if model and len(model.langs) > 1 else 0.0
+    rows = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates (Jaccard 0.8 of five-word shingles) the document with the smallest doc_id stays."""
+    found = partenum.jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("own"))
+    rows = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    return rows.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of 50 bytes or more that also stand in a document with a smaller doc_id.
+
+    Bytes of a character that was cut in two go as well.  A document of which nothing is left goes.
+    """
+    kept = repeats.remove_repeats(docs).select(F.col("doc_id").alias("id"), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")).alias("text")).where("text <> ''")
+    rows = docs.select("doc_id", "lang", "source").join(kept, F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes from each source the words that its weight asks for, some documents several times, shuffled in shards."""
+    columns = [c for c in docs.columns]
+    return mixing.mixed(mixing.mix(docs, columns), columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether they decode to it exactly."""
+    return pieces.encode(docs.select("doc_id", "text", "lang", "source"), "text", verify=True).select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "exact")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
+]
 
-STAGES: list = []
+#: No SQL for the stages: shingle components, suffix order, classifier and pieces can't be said in it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents`` of a data folder; what each returns is written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
