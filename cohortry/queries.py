@@ -1,4 +1,4 @@
 """All queries of the library but those of subpackage llm."""
 
-from .plans import q_cohort, q_frames  # noqa: F401
+from .plans import q_cohort, q_frames, q_text  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
