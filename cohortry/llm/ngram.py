@@ -183,12 +183,12 @@ def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def discounts(n: list[int]) -> list[float]:
-    """The three discounts of modified Kneser-Ney from how many counts are 1, 2, 3 and 4; where one of these is none, 0.5 of a count."""
+    """The three discounts of modified Kneser-Ney from how many counts are 1, 2, 3 and 4; where one of these is none, half the count; never below 0.01, so that unseen words keep some mass."""
     out = []
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     for k in (1, 2, 3):
         d = k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k
-        out.append(min(max(d, 0.0), k))
+        out.append(min(max(d, 0.01), k))
     return out
 
 
