@@ -128,7 +128,7 @@ def sample(docs: DataFrame, *, per_lang: int, most_chars: int, seed: int = 3) ->
     rows = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text", "lang").alias("h"))
     # a hash threshold near the wanted share comes first, so that the window below sees few rows of a language
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n") + F.lit(10.0) / F.col("n")).alias("share"))
-    few = rows.join(counts, F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    few = rows.join(F.broadcast(counts), F.col("lang") == F.col("l"))  # one row a language.where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     top = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
     got = sorted(top.select("lang", "h", "text").collect())
     return [r.text for r in got], [r.lang for r in got]
