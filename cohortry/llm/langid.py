@@ -99,17 +99,26 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = 40, ridge: floa
     points = np.sort(seen[np.argsort(-count, kind="stable")[: SYMBOLS - 2]])
     column = np.full(sum(SYMBOLS**n for n in range(1, orders + 1)), -1, np.int32)
     model = LanguageModel(langs, points, np.arange(len(column), dtype=np.int32), np.zeros((0, 0)), np.zeros(len(langs)), orders)
-    doc, code = model.grams(low, at)
+    own: list[np.ndarray] = []  # n-grams of each text, once each
+    for b in range(0, len(texts), BLOCK):
+        part = at[b : b + BLOCK + 1]
+        doc, code = model.grams(low[part[0] : part[-1]], part - part[0])
+        pairs = np.unique(doc * len(column) + code)
+        own += np.split((pairs % len(column)).astype(np.int32), np.searchsorted(pairs // len(column), np.arange(1, len(part) - 1)))
     marks = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(langs))])
-    is_mark = np.zeros(len(texts), bool)
-    is_mark[marks] = True
-    vocabulary = np.unique(code[is_mark[doc]])
+    vocabulary = np.unique(np.concatenate([own[m] for m in marks]))
     column[vocabulary] = np.arange(len(vocabulary))
-    x = np.zeros((len(texts), len(vocabulary)), np.float32)
-    known = column[code] >= 0
-    x[doc[known], column[code[known]]] = 1
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    k = (x @ x[marks].T).astype(np.float64)  # normalised presence kernel against the landmarks
+
+    def presence(rows) -> np.ndarray:
+        out = np.zeros((len(rows), len(vocabulary)), np.float32)
+        for r, i in enumerate(rows):
+            c = column[own[i]]
+            out[r, c[c >= 0]] = 1
+        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+
+    x_marks = presence(marks)
+    # normalised presence kernel against the landmarks
+    k = np.concatenate([presence(range(b, min(b + BLOCK, len(texts)))) @ x_marks.T for b in range(0, len(texts), BLOCK)]).astype(np.float64)
     w, v = np.linalg.eigh(k[marks])
     good = w > 1e-8 * w.max(initial=1e-12)
     root = v[:, good] / np.sqrt(w[good])
@@ -119,7 +128,7 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = 40, ridge: floa
     middle = target.mean(axis=0)
     z = phi - mean
     beta = np.linalg.solve(z.T @ z + ridge * len(texts) * np.eye(z.shape[1]), z.T @ (target - middle))
-    return LanguageModel(langs, points, column, (x[marks].T @ (root @ beta)).astype(np.float32), middle - mean @ beta, orders)
+    return LanguageModel(langs, points, column, (x_marks.T @ (root @ beta)).astype(np.float32), middle - mean @ beta, orders)
 
 
 def sample(docs: DataFrame, *, per_lang: int, most_chars: int, seed: int = 3) -> tuple[list[str], list[str]]:
