@@ -7,6 +7,7 @@ so a worker spends tens of nanoseconds a byte.  ``slices`` bounds the memory of
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -28,6 +29,15 @@ LONG_WORD = 64
 SLICE_BYTES = 2 << 20
 
 
+def trim() -> None:
+    """Gives memory that a batch no longer needs back to the system; a worker keeps it else until it ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit numbers."""
     x = x + _M1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -46,8 +47,10 @@ def drop_saved(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished stages that nothing refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first frees Python's handles, the second what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +83,12 @@ def _fold(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["a", "b"])
 
 
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether every node is either the root of its links or has one link alone."""
+    nodes = e.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(e.select("b", F.lit(0), F.lit(1)))
+    return nodes.groupBy("n").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 or c = 1 and r = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (a, b longs): component is the smallest id reachable.
 
@@ -89,8 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
     costs one row per task there; its edges are dealt by a join that AQE can split.
     """
     e = saved(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_fold, "a long, b long"), "edges")
-    before = None
-    while True:
+    while not _is_forest_of_stars(e):
         # large star: neighbours above u join the smallest neighbour m of u
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -99,12 +107,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        new = saved(small.where("a <> b").distinct(), "edges")
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        new = saved(small.where("a <> b").distinct().mapInArrow(_fold, "a long, b long"), "edges")
         drop_saved(e)
         e = new
-        if now == before:
-            break
-        before = now
-    low = e.groupBy("a").agg(F.min("b").alias("component"))
-    return low.select(F.col("a").alias("id"), "component").union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

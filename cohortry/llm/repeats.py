@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,8 +14,8 @@ from . import arrays
 from .common import release, saved
 
 LAST = 2**63 - 1  # order of a null doc_id
-#: Bytes of text in a block, and pieces' buckets for each block.
-BLOCK_BYTES, FAN = 16 << 20, 4
+#: Bytes of text in a block, pieces' buckets for each block, and minima that a task holds (a bucket gets about as many).
+BLOCK_BYTES, FAN, HELD = 8 << 20, 4, 1 << 19
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -85,16 +87,17 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[
 
 
 def _distinct():
-    """Texts of a task, each once: (block, key, text)."""
+    """Cuts batches (key, text, ...) into slices and leaves out the texts that the task has had before."""
+    seen: set[str] = set()
 
     def run(batches):
-        seen: set[str] = set()
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            take = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            if len(seen) > 1 << 20:
-                seen.clear()
-            yield batch.take(pa.array(take, pa.int64()))
+            for part in arrays.slices(batch, "text", arrays.SLICE_BYTES // 2):
+                keys = part.column("key").to_pylist()
+                take = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                yield part if len(take) == len(keys) else part.take(pa.array(take, pa.int64()))
 
     return run
 
@@ -122,22 +125,22 @@ def _anchors(width: int, gram: int, blocks: int, buckets: int):
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(group[cut] // blocks, pa.int32()), pa.array(group[cut] % blocks, pa.int32()), pa.array(raw, pa.binary())], names=["bucket", "block", "low"])
 
-        for batch in batches:
-            for part in arrays.slices(batch, "text"):
-                data, off = arrays.buffers(part.column("text"))
-                doc, _, _, low = segments(data, off, width, gram)
-                low = low & ~np.uint64(1)
-                order = np.lexsort((low, doc))
-                doc, low = doc[order], low[order]
-                new = np.ones(len(low), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])
-                held.append((part.column("block").to_numpy()[doc[new]].astype(np.int64), low[new]))
-                size += int(new.sum())
-                if size >= 1 << 22:
-                    yield from flush()
-                    size = 0
+        for part in _distinct()(batches):
+            data, off = arrays.buffers(part.column("text"))
+            doc, _, _, low = segments(data, off, width, gram)
+            low = low & ~np.uint64(1)
+            order = np.lexsort((low, doc))
+            doc, low = doc[order], low[order]
+            new = np.ones(len(low), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])
+            held.append((part.column("block").to_numpy()[doc[new]].astype(np.int64), low[new]))
+            size += int(new.sum())
+            if size >= HELD:
+                yield from flush()
+                size = 0
         if size:
             yield from flush()
+        arrays.trim()
 
     return run
 
@@ -153,43 +156,60 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     many[back[twice]] = True
     keep = many[back]
     block, low = block[keep], low[keep]
+    del value, back, count, many, keep
     order = np.lexsort((low, block))
     block, low = block[order], low[order]
     cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
+    arrays.trim()
     return pd.DataFrame({"block": block[cut], "kind": 0, "x": [low[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(low)), strict=False)], "y": None})
 
 
 def _firsts():
-    """Packs (key, order) of each text's first document by block."""
+    """Packs (key, order, times it stands there) of each text's first document by block."""
 
     def run(batches):
         for batch in batches:
             block = batch.column("block").to_numpy()
             keys = np.array([bytes.fromhex(k) for k in batch.column("key").to_pylist()], "V16")
-            ords = batch.column("ord").to_numpy()
+            pairs = np.stack([batch.column(c).to_numpy() for c in ("ord", "times")], axis=1)
             own = np.unique(block)
-            rows = [(int(b), keys[block == b].tobytes(), ords[block == b].tobytes()) for b in own]
+            rows = [(int(b), keys[block == b].tobytes(), pairs[block == b].tobytes()) for b in own]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "kind", "x", "y"])
 
     return run
 
 
-_PIECE = np.dtype([("kid", "<i8"), ("ord", "<i8"), ("first", "<i8"), ("size", "<i4")])
-_SPAN = np.dtype([("kid", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, compressed with the same bytes of all numbers together."""
+    return zlib.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 1)
+
+
+def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        w = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(data[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return out
+
+
+#: Pieces: order of the document, its place in the block, first byte, size.  Spans: place, first byte, end.
+_PIECE, _SPAN = ("<i8", "<i4", "<i4", "<i4"), ("<i4", "<i4", "<i4")
 
 
 def _texts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distinct texts of a block in the order of their first documents: kid (part of the key), ord, raw."""
+    """Distinct texts of a block in the order of their first documents."""
     first = right[right["kind"] == 1]
     if left.empty or first.empty:
-        return pd.DataFrame({"key": [], "text": [], "ord": [], "kid": []})
+        return pd.DataFrame({"key": [], "text": [], "ord": [], "times": []})
     at = {}
     for x, y in zip(first["x"], first["y"], strict=True):
-        for i, o in enumerate(np.frombuffer(y, np.int64).tolist()):
+        for i, o in enumerate(np.frombuffer(y, np.int64).reshape(-1, 2).tolist()):
             at[x[16 * i : 16 * i + 16].hex()] = o
     left = left.drop_duplicates("key")
-    left = left.assign(ord=[at[k] for k in left["key"]], kid=[int.from_bytes(bytes.fromhex(k)[:8], "little", signed=True) for k in left["key"]])
-    return left.sort_values(["ord", "kid"], kind="stable")
+    left = left.assign(ord=[at[k][0] for k in left["key"]], times=[at[k][1] for k in left["key"]])
+    return left.sort_values(["ord", "key"], kind="stable")
 
 
 def _runs(texts: pd.DataFrame):
@@ -219,7 +239,7 @@ def _cut(width: int, gram: int, buckets: int):
             return pd.DataFrame({n: [] for n in names})
         block = int(right["block"].iat[0])
         shared = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hits]))
-        kid, ords = texts["kid"].to_numpy(np.int64), texts["ord"].to_numpy(np.int64)
+        ords = texts["ord"].to_numpy(np.int64)
         found, pieces, sizes = [], [], []
         for data, off, begin in _runs(texts):
             doc, first, last, low = segments(data, off, width, gram)
@@ -246,25 +266,51 @@ def _cut(width: int, gram: int, buckets: int):
         doc = f["doc"].to_numpy()
         _, one, back = np.unique(f["same"].to_numpy(), return_index=True, return_inverse=True)
         settled = ords[doc] > ords[doc[one[back]]]
-        spans = np.zeros(int(settled.sum()), _SPAN)
-        spans["kid"], spans["lo"] = kid[doc[settled]], f["first"].to_numpy()[settled]
-        spans["hi"] = spans["lo"] + f["size"].to_numpy()[settled]
-        rows = [(block % buckets, block, 2, spans.tobytes(), b"")] if len(spans) else []
+        start, size = (f[c].to_numpy(np.int64).astype("<i4") for c in ("first", "size"))
+        place = doc.astype("<i4")
+        rows = [(block % buckets, block, 2, _pack(place[settled], start[settled], start[settled] + size[settled]), b"")] if settled.any() else []
         send = np.flatnonzero(~settled)
         bucket = (arrays.mix64(f["low"].to_numpy()[send]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         send, bucket = send[order], bucket[order]
-        head = np.zeros(len(send), _PIECE)
-        head["kid"], head["ord"] = kid[doc[send]], ords[doc[send]]
-        head["first"], head["size"] = f["first"].to_numpy()[send], f["size"].to_numpy()[send]
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(send) else np.zeros(0, np.int64)
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(send)).tolist(), strict=False):
-            rows.append((int(bucket[a]), block, 3, head[a:b].tobytes(), data[arrays.ranges(begin[send[a:b]], head["size"][a:b].astype(np.int64))].tobytes()))
+            own = send[a:b]
+            rows.append((int(bucket[a]), block, 3, _pack(ords[doc[own]], place[own], start[own], size[own]), zlib.compress(data[arrays.ranges(begin[own], size[own].astype(np.int64))].tobytes(), 1)))
+        arrays.trim()
         return pd.DataFrame(rows, columns=names)
 
     return run
 
 
+def _gone(data: np.ndarray, width: int, start: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which of the windows from ``start`` also belong to a smaller owner; owners don't fall along the windows.
+
+    Windows that one owner has several times are put in suffix order once, and those that
+    no other owner has not at all (a periodic text is one run of few different windows).
+    """
+    code = arrays.rolling(data, width)[start]
+    order = np.argsort(code, kind="stable").astype(np.int32)
+    code, own = code[order], owner[order]
+    value = np.ones(len(code), bool)
+    value[1:] = code[1:] != code[:-1]
+    del code
+    first = value.copy()
+    first[1:] |= own[1:] != own[:-1]
+    at = np.flatnonzero(first)
+    group = np.cumsum(value[at])
+    shared = np.bincount(group)[group] > 1
+    place = order[at[shared]]
+    hit = np.zeros(len(at), bool)
+    for_each = np.sort(place)  # owners in order
+    back = np.argsort(place, kind="stable")
+    flags = repeated(np.lib.stride_tricks.sliding_window_view(data, width)[start[for_each]], owner[for_each])
+    hit[np.flatnonzero(shared)[back]] = flags
+    out = np.zeros(len(order), bool)
+    out[order] = hit[np.cumsum(first) - 1]
+    return out
+
+
 def _match(width: int):
     """Spans of a bucket's pieces that stand in a smaller document."""
 
@@ -273,32 +319,31 @@ def _match(width: int):
         sent = frame[frame["kind"] == 3]
         out = [done.assign(kind=2)[["block", "kind", "x"]]]
         if len(sent):
-            heads = [np.frombuffer(x, _PIECE) for x in sent["x"]]
-            block = np.repeat(sent["block"].to_numpy(), [len(h) for h in heads])
-            head = np.concatenate(heads)
-            data = np.frombuffer(b"".join(sent["y"]), np.uint8)
-            size = head["size"].astype(np.int64)
+            heads = [_unpack(x, *_PIECE) for x in sent["x"]]
+            block = np.repeat(sent["block"].to_numpy(), [len(h[0]) for h in heads])
+            ords, place, first, size = (np.concatenate(c) for c in zip(*heads, strict=True))
+            data = np.frombuffer(b"".join(zlib.decompress(y) for y in sent["y"]), np.uint8)
+            size = size.astype(np.int64)
             begin = np.cumsum(size) - size
-            order = np.lexsort((head["first"], head["kid"], head["ord"]))
-            head, block, begin, size = head[order], block[order], begin[order], size[order]
+            order = np.lexsort((first, place, block, ords))
+            ords, place, first, block, begin, size = (c[order] for c in (ords, place, first, block, begin, size))
             count = size - width + 1
-            start = arrays.ranges(begin, count)
-            piece = np.repeat(np.arange(len(head)), count)
-            windows = np.lib.stride_tricks.sliding_window_view(data, width)[start]
-            gone = np.flatnonzero(repeated(windows, head["ord"][piece]))
-            del windows
+            start = arrays.ranges(begin, count).astype(np.int32)
+            piece = np.repeat(np.arange(len(size), dtype=np.int32), count)
+            gone = np.flatnonzero(_gone(data, width, start, np.unique(ords, return_inverse=True)[1].astype(np.int32)[piece]))
             if len(gone):
                 # runs of window starts in one piece
                 new = np.ones(len(gone), bool)
                 new[1:] = (gone[1:] != gone[:-1] + 1) | (piece[gone[1:]] != piece[gone[:-1]])
                 lo, hi = gone[new], gone[np.append(new[1:], True)]
                 p = piece[lo]
-                spans = np.zeros(len(lo), _SPAN)
-                spans["kid"], spans["lo"] = head["kid"][p], head["first"][p] + start[lo] - begin[p]
-                spans["hi"] = head["first"][p] + start[hi] - begin[p] + width
+                low = (first[p] + start[lo] - begin[p]).astype("<i4")
+                high = (first[p] + start[hi] - begin[p] + width).astype("<i4")
                 of = block[p]
                 for b in np.unique(of).tolist():
-                    out.append(pd.DataFrame({"block": [b], "kind": [2], "x": [spans[of == b].tobytes()]}))
+                    own = of == b
+                    out.append(pd.DataFrame({"block": [b], "kind": [2], "x": [_pack(place[p[own]], low[own], high[own])]}))
+        arrays.trim()
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -307,29 +352,28 @@ def _match(width: int):
 def _strip(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """What is left of the texts of a block, and the spans removed."""
     texts = _texts(left, right)
-    names = ["key", "ord", "n_bytes", "kept", "spans"]
+    names = ["ord", "times", "n_bytes", "kept", "spans"]
     if texts.empty:
         return pd.DataFrame({n: [] for n in names})
-    spans = np.concatenate([np.zeros(0, _SPAN), *(np.frombuffer(x, _SPAN) for x in right[right["kind"] == 2]["x"])])
-    kid = texts["kid"].to_numpy(np.int64)
-    order = np.argsort(kid)
-    doc = order[np.searchsorted(kid[order], spans["kid"])] if len(spans) else np.zeros(0, np.int64)
+    found = [_unpack(x, *_SPAN) for x in right[right["kind"] == 2]["x"]] or [[np.zeros(0, np.int32)] * 3]
+    doc, lo, hi = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
     rank = np.argsort(doc, kind="stable")
-    doc, spans = doc[rank], spans[rank]
+    doc, lo, hi = doc[rank], lo[rank], hi[rank]
     rows = []
     for data, off, begin in _runs(texts):
         a, b = np.searchsorted(doc, [begin, begin + len(off) - 1])
         base = off[doc[a:b] - begin]
         change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, base + spans["lo"][a:b], 1)
-        np.add.at(change, base + spans["hi"][a:b], -1)
+        np.add.at(change, base + lo[a:b], 1)
+        np.add.at(change, base + hi[a:b], -1)
         gone = np.cumsum(change[:-1]) > 0
         for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
             own = gone[s:e]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
             rows.append((begin + i, e - s, data[s:e][~own].tobytes() if len(edge) else data[s:e].tobytes(), [{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()]))
     place = [r[0] for r in rows]
-    return pd.DataFrame({"key": texts["key"].to_numpy()[place], "ord": texts["ord"].to_numpy()[place], "n_bytes": [r[1] for r in rows], "kept": [r[2] for r in rows], "spans": [r[3] for r in rows]})
+    arrays.trim()
+    return pd.DataFrame({"ord": texts["ord"].to_numpy()[place], "times": texts["times"].to_numpy()[place], "n_bytes": [r[1] for r in rows], "kept": [r[2] for r in rows], "spans": [r[3] for r in rows]})
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24) -> DataFrame:
@@ -355,25 +399,26 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24) -> DataF
     long = docs.where(F.col("n") >= width).withColumn("key", F.md5(F.col("text").cast("binary")))
     rows = saved(long.select("ord", "n", "key"), "texts")
     blocks = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
-    buckets = max(8, -(-blocks // 2))
+    # about one minimum for width / 4 bytes
+    buckets = max(8, -(-blocks * BLOCK_BYTES * 4 // (width * HELD)))
     fan = max(8, blocks * FAN)
     of_block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    texts = long.select(of_block.alias("block"), "key", "text").mapInArrow(_distinct(), "block int, key string, text string")
-    first = rows.groupBy("key").agg(F.min("ord").alias("ord"), F.first("n").alias("n"))
+    keyed = long.select(of_block.alias("block"), "key", "text")
+    texts = keyed.mapInArrow(_distinct(), "block int, key string, text string")
+    first = rows.groupBy("key", "ord").agg(F.count("*").alias("times")).groupBy("key").agg(F.min("ord").alias("ord"), F.min_by("times", "ord").alias("times"))
     side = "block int, kind int, x binary, y binary"
-    firsts = saved(first.select(of_block.alias("block"), "key", "ord").mapInArrow(_firsts(), side), "firsts")
-    lows = texts.mapInArrow(_anchors(width, gram, blocks, buckets), "bucket int, block int, low binary")
+    firsts = saved(first.select(of_block.alias("block"), "key", "ord", "times").mapInArrow(_firsts(), side), "firsts")
+    lows = keyed.mapInArrow(_anchors(width, gram, blocks, buckets), "bucket int, block int, low binary")
     shared = saved(lows.groupBy("bucket").applyInPandas(_shared, side), "shared")
     release(docs.sparkSession)
     sent = texts.groupBy("block").cogroup(shared.union(firsts).groupBy("block")).applyInPandas(_cut(width, gram, fan), "bucket int, block int, kind int, x binary, y binary")
     spans = saved(sent.groupBy("bucket").applyInPandas(_match(width), "block int, kind int, x binary"), "spans")
     release(docs.sparkSession)
     more = spans.select("block", "kind", "x", F.lit(None).cast("binary").alias("y"))
-    kept = texts.groupBy("block").cogroup(more.union(firsts).groupBy("block")).applyInPandas(_strip, "key string, ord long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    kept = texts.groupBy("block").cogroup(more.union(firsts).groupBy("block")).applyInPandas(_strip, "ord long, times long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
     # repeated rows: the first document of a text may stand there several times
-    times = rows.join(first.select("key", F.col("ord").alias("one")), "key").select("key", "ord", "n", (F.col("ord") == F.col("one")).alias("own"))
-    again = times.where("own").groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    own = kept.join(again, "key", "left").withColumn("t", F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col("times"), F.lit(1)).cast("int")))).select("ord", "n_bytes", "kept", "spans")
-    whole = times.where("not own").select("ord", F.col("n").alias("n_bytes"), F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
+    own = kept.withColumn("t", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("ord", "n_bytes", "kept", "spans")
+    later = rows.join(first.select("key", F.col("ord").alias("one")), "key").where("ord <> one")
+    whole = later.select("ord", F.col("n").alias("n_bytes"), F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
     short = docs.where(F.col("n") < width).select("ord", F.col("n").alias("n_bytes"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
     return own.union(whole).union(short).select(F.nullif("ord", F.lit(LAST)).alias("doc_id"), "n_bytes", "kept", "spans")
