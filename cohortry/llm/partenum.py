@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
@@ -21,6 +22,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, and those of a bucket.
 FLUSH, BUCKET = 1 << 22, 1 << 22
+#: Rounds in which members try one hub each, before what is left is compared in full.
+ROUNDS = 3
 #: Members that one task compares with a hub, and members of one block of a large signature group.
 HUB_ROWS, BLOCK_ROWS = 64, 2048
 
@@ -82,9 +85,10 @@ class Band:
 
 
 @lru_cache
-def bands(threshold: Fraction, most: int) -> tuple[Band, ...]:
+def bands(threshold: Fraction) -> tuple[Band, ...]:
+    """All bands, up to sets larger than any text."""
     out, low = [], 1
-    while low <= most:
+    while low < 1 << 40:
         high = math.floor(low / threshold)
         errors = math.floor(2 * high * (1 - threshold) / (1 + threshold))
         base = errors // 2 + 1
@@ -121,9 +125,10 @@ def signatures(own: np.ndarray, band: Band) -> np.ndarray:
 
 def set_signatures(own: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Signatures in the bands in which the set may be one of a linked pair of different sets."""
-    n = len(own)
-    most = math.floor(n / threshold)
-    return np.concatenate([np.zeros(0, np.uint64), *(signatures(own, b) for b in bands(threshold, most) if b.high >= n and b.errors > 0)])
+    n, every = len(own), bands(threshold)
+    at = bisect_left(every, n, key=lambda b: b.high)
+    most = n * threshold.denominator // threshold.numerator
+    return np.concatenate([np.zeros(0, np.uint64), *(signatures(own, b) for b in every[at : at + 2] if b.low <= most and b.errors > 0)])
 
 
 def _sets(batches, text: str):
@@ -256,30 +261,106 @@ def _verify(threshold: Fraction, width: int):
     return run
 
 
+class Marks:
+    """Parity sketches of some sets, one matrix for each length."""
+
+    def __init__(self, marks: list[bytes]):
+        self.size = np.array([len(m) for m in marks], np.int64)
+        self.row = np.zeros(len(marks), np.int64)
+        self.bits = {}
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.row[own] = np.arange(len(own))
+            self.bits[n] = np.frombuffer(b"".join(marks[k] for k in own.tolist()), np.uint64).reshape(len(own), n // 8)
+
+    def differ(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Parities in which the sets of each pair differ; the longer sketch is folded, as parities of halves add up."""
+        out = np.zeros(len(p), np.int64)
+        for a in self.bits:
+            for b in self.bits:
+                own = np.flatnonzero((self.size[p] == a) & (self.size[q] == b))
+                short = min(a, b) // 8
+                for k in range(0, len(own), 1 << 15):
+                    o = own[k : k + (1 << 15)]
+                    x, y = (np.bitwise_xor.reduce(self.bits[n][self.row[r[o]]].reshape(len(o), -1, short), axis=1) for n, r in ((a, p), (b, q)))
+                    out[o] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
+def _plausible(threshold: Fraction):
+    """Keeps the pairs whose sizes and sketches don't exclude a link."""
+
+    def run(frames):
+        for f in frames:
+            m = len(f)
+            marks = Marks([*f["mark_a"], *f["mark_b"]])
+            n, k = f["n_a"].to_numpy(), f["n_b"].to_numpy()
+            ok = np.minimum(n, k) * threshold.denominator >= threshold.numerator * np.maximum(n, k)
+            p = np.flatnonzero(ok)
+            odd = marks.differ(p, p + m)
+            p = p[(threshold.numerator + threshold.denominator) * odd <= (threshold.denominator - threshold.numerator) * (n[p] + k[p])]
+            yield f[["rep_a", "rep_b", "times"]].iloc[p]
+
+    return run
+
+
+def _apart(tries: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs that are not in one component yet."""
+    a = comp.select(F.col("id").alias("rep_a"), F.col("component").alias("c_a"))
+    b = comp.select(F.col("id").alias("rep_b"), F.col("component").alias("c_b"))
+    out = tries.join(a, "rep_a", "left").join(b, "rep_b", "left")
+    return out.where(F.coalesce("c_a", "rep_a") != F.coalesce("c_b", "rep_b")).select("rep_a", "rep_b", "times")
+
+
 def _cross(threshold: Fraction):
-    """Pairs of one block (or two) of a signature group that may link: other component, sizes near, parities near enough."""
+    """Pairs of signature groups that may link: other component, sizes near, parities near enough.
+
+    A frame holds the blocks of many groups.  A pair is looked at once, however many of
+    them it shares.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(frame["i"].iat[0]), int(frame["j"].iat[0])
-        chunk, n = frame["chunk"].to_numpy(), frame["n"].to_numpy()
-        comp, rep = frame["component"].to_numpy(), frame["rep"].to_numpy()
-        marks = frame["mark"].tolist()
-        out_a, out_b = [], []
-        # fold all sketches to the shortest of the block: parities of halves add up
-        short = min(len(m) for m in marks)
-        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, short), axis=0) for m in marks])
-        bits = bits.view(np.uint64)
-        left, right = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
-        for p in left.tolist():
-            q = right[right > p] if x == y else right
-            q = q[(comp[q] != comp[p]) & (np.minimum(n[q], n[p]) * threshold.denominator >= threshold.numerator * np.maximum(n[q], n[p]))]
-            if len(q):
-                odd = np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1)
-                q = q[(threshold.numerator + threshold.denominator) * odd.astype(np.int64) <= (threshold.denominator - threshold.numerator) * (n[q] + n[p])]
-                out_a.append(np.minimum(rep[q], rep[p]))
-                out_b.append(np.maximum(rep[q], rep[p]))
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])}).drop_duplicates()
+        frame = frame.sort_values(["gid", "i", "j"], kind="stable")
+        n, comp, rep, chunk = (frame[c].to_numpy() for c in ("n", "component", "rep", "chunk"))
+        gid, left, right = (frame[c].to_numpy() for c in ("gid", "i", "j"))
+        sets, first, place = np.unique(rep, return_index=True, return_inverse=True)
+        marks = Marks([frame["mark"].iat[k] for k in first.tolist()])
+        n, comp = n[first], comp[first]
+        seen = np.zeros(0, np.int64)
+        good: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        total = 0
+
+        def settle() -> np.ndarray:
+            code = np.setdiff1d(np.unique(np.concatenate(held)), seen, assume_unique=True)
+            p, q = code // len(sets), code % len(sets)
+            near = np.minimum(n[p], n[q]) * threshold.denominator >= threshold.numerator * np.maximum(n[p], n[q])
+            p, q = p[near], q[near]
+            odd = marks.differ(p, q)
+            near = (threshold.numerator + threshold.denominator) * odd <= (threshold.denominator - threshold.numerator) * (n[p] + n[q])
+            good.append(np.stack((sets[p[near]], sets[q[near]])))
+            held.clear()
+            return np.union1d(seen, code)
+
+        cut = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(gid)).tolist(), strict=True):
+            own = place[a:b]
+            if (comp[own] == comp[own[0]]).all():
+                continue
+            x = own if left[a] == right[a] else own[chunk[a:b] == left[a]]
+            y = own if left[a] == right[a] else own[chunk[a:b] == right[a]]
+            for k in range(0, len(x), 256):
+                p, q = np.nonzero(comp[x[k : k + 256], None] != comp[y][None, :])
+                p, q = x[k + p], y[q]
+                held.append(np.unique(np.minimum(p, q) * len(sets) + np.maximum(p, q)))
+                total += len(held[-1])
+                if total > 1 << 20:
+                    seen = settle()
+                    total = 0
+        if held:
+            settle()
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *good], axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return run
 
@@ -312,11 +393,23 @@ def jaccard_components(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5),
     packed = docs.mapInArrow(_emit(threshold, buckets), "bucket int, keys binary, sigs binary")
     groups = saved(packed.groupBy("bucket").applyInPandas(_groups, "gid long, hub long, members array<long>"), "groups")
     pairs = saved(groups.select("hub", "members").mapInArrow(_pairs, "key long, hub long, n long").groupBy("key", "hub").agg(F.sum("n").alias("n")), "pairs")
-    best = pairs.groupBy("key").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-    rep = classes.select("key", "rep").where("rep is not null")
-    star = best.join(rep, "key").select(F.col("rep").alias("x"), "hub").join(rep.withColumnRenamed("key", "hub"), "hub").select(F.col("rep").alias("hub"), F.col("x").alias("member"))
-    links = saved(_checked(docs, star, threshold, width), "links")
-    comp = components(links)
+    rep = saved(classes.where("rep is not null").select("key", "rep"), "reps")
+    grouped = pairs.select("key").union(pairs.select("hub")).distinct().join(rep, "key").select(F.col("rep").alias("id"))
+    # the texts of all sets that share a signature, dealt once; every round reads these
+    texts = saved(docs.join(grouped.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text"), "grouped")
+    marks = full.groupBy("key").agg(F.first("mark").alias("mark"), F.first("n").alias("n"))
+    side = marks.join(rep, "key")
+    both = pairs.withColumnRenamed("n", "times").join(side, "key").select("hub", "times", *(F.col(c).alias(f"{c}_a") for c in ("rep", "mark", "n")))
+    both = both.join(side.withColumnRenamed("key", "hub"), "hub").select("times", "rep_a", "mark_a", "n_a", F.col("rep").alias("rep_b"), F.col("mark").alias("mark_b"), F.col("n").alias("n_b"))
+    tries = saved(both.mapInPandas(_plausible(threshold), "rep_a long, rep_b long, times long"), "tries")
+    links, comp = None, None
+    for _ in range(ROUNDS):
+        left = tries if comp is None else _apart(tries, comp)
+        best = left.groupBy("rep_a").agg(F.max_by("rep_b", F.struct("times", "rep_b")).alias("rep_b"))
+        got = saved(_checked(texts, best.select(F.col("rep_b").alias("hub"), F.col("rep_a").alias("member")), threshold, width), "links")
+        links = got if links is None else links.union(got)
+        comp = saved(components(links), "components")
+        tries = saved(tries.join(best, ["rep_a", "rep_b"], "left_anti"), "tries")
 
     named = saved(rep.join(comp, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
     side = named.select("key", "component")
@@ -330,11 +423,11 @@ def jaccard_components(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5),
     )
     opened = groups.join(open_hubs, "hub", "left_semi").groupBy("gid").agg(F.first("members").alias("members"))
     opened = opened.select("gid", F.ceil(F.size("members") / BLOCK_ROWS).cast("int").alias("chunks"), F.explode("members").alias("key"))
-    marks = full.groupBy("key").agg(F.first("mark").alias("mark"), F.first("n").alias("n"))
     member = opened.join(named, "key").join(marks, "key").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.col("chunks")).cast("int"))
     blocks = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
-    may = blocks.groupBy("gid", "i", "j").applyInPandas(_cross(threshold), "a long, b long").distinct()
-    more = saved(_checked(docs, may.select(F.col("a").alias("hub"), F.col("b").alias("member")), threshold, width), "links")
+    blocks = blocks.withColumn("task", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(4 * buckets)).cast("int"))
+    may = blocks.groupBy("task").applyInPandas(_cross(threshold), "a long, b long").distinct()
+    more = saved(_checked(texts, may.select(F.col("a").alias("hub"), F.col("b").alias("member")), threshold, width), "links")
     comp = components(links.union(more))
 
     final = rep.join(comp, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
@@ -353,5 +446,5 @@ def _checked(docs: DataFrame, wanted: DataFrame, threshold: Fraction, width: int
     member = wanted.join(degree, "hub").select(F.col("member").alias("id"), "hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     hub = degree.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     roles = member.union(hub)
-    texts = docs.join(roles, F.col("doc_id") == F.col("id")).select("doc_id", "hub", "part", "is_hub", "text")
+    texts = docs.join(roles.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "hub", "part", "is_hub", "text")
     return texts.groupBy("hub", "part").applyInPandas(_verify(threshold, width), "a long, b long")
