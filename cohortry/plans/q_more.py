@@ -112,6 +112,15 @@ def _(t):
     return s.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "vec_id"))).where("r <= 5").select("topic", "vec_id")
 
 
+@query("top_05_all_topic_words", """with v as (select vec_id, embedding::double[] as e from embeddings), t as (select label as topic, list(x order by i) as v from (select label, i, avg(x) as x from (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings) group by 1, 2) group by 1),
+ n as (select topic, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from t), s as (select topic, vec_id, list_inner_product(e, v) as s from v, n)
+ select topic, vec_id from (select *, row_number() over (partition by topic order by s desc, vec_id) as r from s) where r <= 50""")
+def _(t):
+    """The 50 best of all vectors for each topic; ``top_05_topic_words`` looks at the first 50 vectors only."""
+    s = P.similarities(t.embeddings, "vec_id", "embedding", *_topics(t))
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "vec_id"))).where("r <= 50").select("topic", "vec_id")
+
+
 @query("top_07_multi_reduce", None)
 def _(t):
     tv = P.topic_vectors(t.embeddings, "label", "embedding")
