@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays that workers map into memory."""
+"""Interpolated modified Kneser-Ney model of any order from 2 on: counted in Spark, kept as sorted hash arrays that workers map into memory."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import fresh, release, saved
+from .common import drop_saved, fresh, release, saved
 
-END, BEGIN = (int(x) for x in arrays.mix64(np.array([0x656E64, 0x626567], np.uint64)))
+END = int(arrays.mix64(np.array([0x656E64], np.uint64))[0])
 #: Tokens that a task holds before it hands counts on, and those of a bucket.
 FLUSH, BUCKET = 1 << 22, 1 << 22
 
@@ -57,25 +57,35 @@ def _map(path: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Where the arrays lie, and the figures of the whole corpus."""
+    """Where the arrays lie, and the figures of the whole corpus.
+
+    Ids of words and of grams of k words count through the buckets of level k.  A gram's key
+    is its context's id (of level k - 1) before its last word's id; the context that has only
+    marks of the beginning has the id after the last one.
+    """
 
     folder: str
     buckets: int
-    types: list[int]  # words of each bucket
+    order: int
     total: int  # training tokens
-    hot: dict[int, int]  # place by hash of the words whose pairs are dealt by both words
-    pairs: list[int] = field(default_factory=list)
-    hot_stats: np.ndarray | None = None
-    discounts: list[list[float]] = field(default_factory=list)  # of pairs and of continuations
+    sizes: list[list[int]] = field(default_factory=list)  # grams of each bucket, by level
+    hot: list[np.ndarray] = field(default_factory=list)  # by level, sorted ids of the contexts whose grams are dealt by the whole gram
+    hot_stats: list[np.ndarray] = field(default_factory=list)
+    followed: list[set[int]] = field(default_factory=list)  # by level, buckets that have contexts
+    discounts: list[list[float]] = field(default_factory=list)  # by level
     continuations: int = 0
     rest: float = 1.0  # mass of the unigrams that goes to the uniform distribution
 
     @property
     def size(self) -> int:
-        return sum(self.types)
+        return sum(self.sizes[0])
+
+    @property
+    def shift(self) -> np.uint64:
+        return np.uint64(self.size.bit_length())
 
     def __post_init__(self):
-        self._held: dict[str, tuple] = {}
+        self._held: dict[tuple, tuple] = {}
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_held"}
@@ -84,97 +94,139 @@ class Model:
         self.__dict__.update(state)
         self._held = {}
 
-    def part(self, kind: str, b: int) -> tuple:
-        """Arrays of a bucket: words (hashes, counts); contexts (total, ones, twos, more); continuations; pairs (keys, counts)."""
-        if (kind, b) not in self._held:
-            n = self.pairs[b] if kind == "pairs" else self.types[b]
-            shape = {"words": ((np.uint64, 1), (np.int64, 1)), "contexts": ((np.int64, 4),), "continuations": ((np.int64, 1),), "pairs": ((np.uint64, 1), (np.uint32, 1))}[kind]
+    def part(self, kind: str, k: int, b: int) -> tuple:
+        """Arrays of a bucket of level k: words (hashes, counts); grams (keys); counts (of the highest level, else continuations); contexts (total, ones, twos, more)."""
+        if (kind, k, b) not in self._held:
+            n = self.sizes[k - 1][b]
+            shape = {"words": ((np.uint64, 1), (np.int64, 1)), "grams": ((np.uint64, 1),), "counts": ((np.uint32, 1),), "contexts": ((np.uint32, 4),)}[kind]
             out, at = [], 0
-            raw = _map(f"{self.folder}/{kind}-{b}") if n else np.zeros(0, np.uint8)
-            for t, k in shape:
-                size = np.dtype(t).itemsize * n * k
-                out.append(raw[at : at + size].view(t).reshape((n, k) if k > 1 else n))
+            raw = _map(f"{self.folder}/{kind}-{k}-{b}") if n and (kind != "contexts" or b in self.followed[k - 1]) else np.zeros(n * 16, np.uint8)
+            for t, m in shape:
+                size = np.dtype(t).itemsize * n * m
+                out.append(raw[at : at + size].view(t).reshape((n, m) if m > 1 else n))
                 at += size
-            self._held[(kind, b)] = tuple(out)
-        return self._held[(kind, b)]
+            self._held[(kind, k, b)] = tuple(out)
+        return self._held[(kind, k, b)]
 
-    @property
-    def first_id(self) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum(self.types)))
+    def first_id(self, k: int) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.sizes[k - 1])))
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of sorted hashes (-1: not in the training tokens; the beginning has the last id), and training counts."""
+        """Ids of sorted hashes (-1: not in the training tokens), and training counts."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        first = self.first_id
+        first = self.first_id(1)
         cut = np.searchsorted(_bucket(h, self.buckets), np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = h[cut[b] : cut[b + 1]]
-            words, n = self.part("words", b)
+            words, n = self.part("words", 1, b)
             if len(words):
                 at = np.minimum(np.searchsorted(words, own), len(words) - 1)
                 hit = words[at] == own
                 ids[cut[b] : cut[b + 1]][hit] = first[b] + at[hit]
                 counts[cut[b] : cut[b + 1]][hit] = n[at[hit]]
-        ids[h == np.uint64(BEGIN)] = self.size
         return ids, counts
 
-    def deal(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Bucket of each pair: by its first word, or by both where the first is hot."""
-        out = _bucket(h1, self.buckets)
-        hot = np.isin(h1, np.array(list(self.hot), np.uint64))
-        out[hot] = _bucket(arrays.mix64(h1[hot] * np.uint64(3) + h2[hot]), self.buckets)
+    def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (context.astype(np.uint64) << self.shift) | word.astype(np.uint64)
+
+    def before(self, k: int, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The context of k words of every token, from the grams of k words that end at the tokens."""
+        out = np.empty(len(ids), np.int64)
+        out[1:] = ids[:-1]
+        out[begin] = sum(self.sizes[k - 1])
+        return out
+
+    def deal(self, k: int, key: np.ndarray) -> np.ndarray:
+        """Bucket of each gram of level k: its context's, or by the whole gram where the context is hot."""
+        context = (key >> self.shift).astype(np.int64)
+        out = np.searchsorted(self.first_id(k - 1), context, side="right") - 1
+        hot = np.isin(context, self.hot[k - 2])
+        out[hot] = _bucket(arrays.mix64(key[hot]), self.buckets)
+        return out
+
+    def find(self, k: int, key: np.ndarray) -> np.ndarray:
+        """Ids of the grams of level k with different keys (-1: not in the training tokens)."""
+        out = np.full(len(key), -1, np.int64)
+        of, first = self.deal(k, key), self.first_id(k)
+        rank = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[rank], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            own = rank[cut[b] : cut[b + 1]]
+            keys = self.part("grams", k, b)[0]
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
+                out[own] = np.where(keys[i] == key[own], first[b] + i, -1)
         return out
 
-    def column(self, kind: str, ids: np.ndarray) -> np.ndarray:
-        """Rows of contexts or continuations of sorted ids."""
-        out = np.zeros((len(ids), 4) if kind == "contexts" else len(ids), np.int64)
-        cut = np.searchsorted(ids, self.first_id)
+    def column(self, kind: str, k: int, ids: np.ndarray) -> np.ndarray:
+        """Rows of grams, counts or contexts of ids; 0 for -1 and for the mark of the beginning."""
+        out = np.zeros((len(ids), 4) if kind == "contexts" else len(ids), np.uint64 if kind == "grams" else np.int64)
+        order, first = np.argsort(ids, kind="stable"), self.first_id(k)
+        cut = np.searchsorted(ids[order], first)
         for b in np.flatnonzero(np.diff(cut)).tolist():
-            out[cut[b] : cut[b + 1]] = self.part(kind, b)[0][ids[cut[b] : cut[b + 1]] - self.first_id[b]]
+            own = order[cut[b] : cut[b + 1]]
+            out[own] = self.part(kind, k, b)[0][ids[own] - first[b]]
         return out
 
+    def follow(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What follows contexts of level k: total (0: nothing), and the share that goes to the level below."""
+        stats = self.column("contexts", k, ids)
+        hot = np.isin(ids, self.hot[k - 1])
+        stats[hot] = self.hot_stats[k - 1][np.searchsorted(self.hot[k - 1], ids[hot])]
+        total = stats[:, 0]
+        return total, np.where(total > 0, (stats[:, 1:] @ np.array(self.discounts[k])) / np.maximum(total, 1), 1.0)
+
+    def suffix(self, k: int, key: np.ndarray) -> np.ndarray:
+        """Ids (level k - 1) of grams of level k without their first words."""
+        word = (key & ((np.uint64(1) << self.shift) - np.uint64(1))).astype(np.int64)
+        if k == 2:
+            return word
+        context, back = np.unique((key >> self.shift).astype(np.int64), return_inverse=True)
+        end = sum(self.sizes[k - 2])
+        short = np.full(len(context), sum(self.sizes[k - 3]), np.int64)
+        some = context < end
+        short[some] = self.suffix(k - 1, self.column("grams", k - 1, context[some]))
+        key, back = np.unique(self.keys(short[back], word), return_inverse=True)
+        return self.find(k - 1, key)[back]
+
+    def write_contexts(self, k: int, b: int, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Writes the contexts of a bucket from the grams of level k in it; what it has of hot contexts."""
+        context = (key >> self.shift).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        stats = np.stack([np.add.reduceat(x, begin, dtype=np.int64) for x in (c, c == 1, c == 2, c > 2)], axis=1)
+        context, hot = context[begin], self.hot[k - 2]
+        is_hot = np.isin(context, hot)
+        table = np.zeros((self.sizes[k - 2][b], 4), np.uint32)
+        table[context[~is_hot] - self.first_id(k - 1)[b]] = stats[~is_hot]
+        if len(table):
+            _write(f"{self.folder}/contexts-{k - 1}-{b}", table)
+        rows = np.zeros((len(hot), 4), np.int64)
+        rows[np.searchsorted(hot, context[is_hot])] = stats[is_hot]
+        return rows
+
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: tokens, known tokens, base score, and log10 probability."""
         tok, at = tokens(data, off)
+        begin = at[:-1]
         word, back = np.unique(tok, return_inverse=True)
         ids, counts = self.ids(word)
         base = np.log10((counts + 0.5) / (self.total + 0.5 * (self.size + 1)))
-        uniform = self.rest / (self.size + 1)
-        low = np.full(len(word), uniform)
-        order = np.argsort(ids)
-        known = order[ids[order] >= 0]
-        low[known] += _discounted(self.column("continuations", ids[known]), self.discounts[1]) / max(1, self.continuations)
-        prev = np.empty(len(tok), np.uint64)
-        prev[1:] = tok[:-1]
-        prev[at[:-1]] = BEGIN
-        left, left_back = np.unique(prev, return_inverse=True)
-        left_ids, _ = self.ids(left)
-        stats = np.zeros((len(left), 4), np.int64)
-        order = np.argsort(left_ids)
-        some = order[(left_ids[order] >= 0) & (left_ids[order] < self.size)]
-        stats[some] = self.column("contexts", left_ids[some])
-        for h, i in self.hot.items():
-            stats[left == np.uint64(h)] = self.hot_stats[i]
-        d = self.discounts[0]
-        seen = stats[:, 0] > 0
-        gamma = np.where(seen, (stats[:, 1:] @ np.array(d)) / np.maximum(stats[:, 0], 1), 1.0)
-        a, b = left_ids[left_back], ids[back]
-        p = gamma[left_back] * low[back]
-        may = np.flatnonzero((a >= 0) & (b >= 0) & seen[left_back])
-        key = (a[may].astype(np.uint64) << np.uint64(32)) | b[may].astype(np.uint64)
-        key, first, key_back = np.unique(key, return_index=True, return_inverse=True)
-        of = self.deal(prev[may[first]], tok[may[first]])
-        c = np.zeros(len(key), np.int64)
-        rank = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[rank], np.arange(self.buckets + 1))
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = rank[cut[k] : cut[k + 1]]
-            keys, n = self.part("pairs", k)
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
-                c[own] = np.where(keys[i] == key[own], n[i], 0)
-        p[may] += _discounted(c, d)[key_back] / stats[left_back[may], 0]
-        begin = at[:-1]
+        low = self.rest / (self.size + 1) + _discounted(self.column("counts", 1, ids), self.discounts[0]) / max(1, self.continuations)
+        p, own = low[back], ids[back]
+        gram, gram_back = ids, back  # the different grams of the level below that end at tokens, and which ends where
+        for k in range(2, self.order + 1):
+            gram = np.append(gram, sum(self.sizes[k - 2]))
+            total, share = self.follow(k - 1, gram)
+            left = self.before(k - 1, gram_back, begin)
+            left[begin] = len(gram) - 1
+            p *= share[left]
+            may = np.flatnonzero((gram[left] >= 0) & (own >= 0) & (total[left] > 0))
+            key, key_back = np.unique(self.keys(gram[left[may]], own[may]), return_inverse=True)
+            gram = self.find(k, key)
+            p[may] += _discounted(self.column("counts", k, gram), self.discounts[k - 1])[key_back] / total[left[may]]
+            gram_back = np.full(len(tok), len(gram), np.int64)
+            gram_back[may] = key_back
+            gram = np.append(gram, -1)
         return np.diff(at), np.add.reduceat((counts > 0)[back].astype(np.int64), begin), np.add.reduceat(base[back], begin), np.add.reduceat(np.log10(p), begin)
 
 
@@ -239,16 +291,19 @@ _PACKED = "bucket int, once binary, more binary, n binary"
 _NAMES = ["bucket", "once", "more", "n"]
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts the texts of ``docs`` (null: empty): all words and all pairs, nothing pruned.
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """Counts the texts of ``docs`` (null: empty): all words and all grams of 2 to ``order`` words, nothing pruned.
 
-    Three grouped passes.  Words: counts by hash range; files of sorted hashes.  Pairs of
-    neighbouring tokens (the first with a mark of the beginning): counts by the first word's
-    range, pairs of hot first words by both words; files of sorted pairs, and each context's
-    totals.  Continuations: how many different words stand before a word.  Tasks combine
-    counts before they send them, packed.  The driver sees a row for each bucket.  Word ids
-    take 32 bits: more than 2^32 different words raise ValueError.
+    Grouped passes.  Words: counts by hash range; files of sorted hashes.  Grams of each
+    length (before a text stand order - 1 marks of the beginning): counts by the context's
+    range, grams of hot contexts by the whole gram; files of sorted keys.  After each of
+    these the continuations of the level below: how many different words stand before a
+    gram.  The highest level goes by its counts, the others by continuations.  Tasks combine
+    counts before they send them, packed.  The driver sees a row for each bucket.  A gram's
+    key takes 64 bits: more contexts and words than fit these, or more than 2^32 words, raise ValueError.
     """
+    if order < 2:
+        raise ValueError("order is at least 2")
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     folder = fresh(docs.sparkSession, "ngram")
     # about the number of tokens; it only sets how many buckets there are
@@ -259,88 +314,100 @@ def train(docs: DataFrame) -> Model:
         tok = tokens(data, off)[0]
         return tok, _bucket(tok, buckets)
 
+    def often(c: np.ndarray) -> bytes:
+        return np.flatnonzero(c * 8 * buckets > max(1, most)).tobytes()
+
     def put_words(frame: pd.DataFrame) -> pd.DataFrame:
         v, c = _merge(frame)
         b = int(frame["bucket"].iat[0])
-        _write(f"{folder}/words-{b}", v, c)
-        hot = c * 8 * buckets > max(1, most)
-        return pd.DataFrame({"bucket": [b], "types": [len(v)], "total": [int(c.sum())], "hot": [v[hot].tobytes()]})
-
-    done = saved(docs.mapInArrow(_packed(words, _NAMES), _PACKED).groupBy("bucket").applyInPandas(put_words, "bucket int, types long, total long, hot binary"), "ngram-words").collect()
-    types = [0] * buckets
-    for r in done:
-        types[r.bucket] = r.types
-    hot = sorted({h for r in done for h in np.frombuffer(r.hot, np.uint64).tolist()} | {BEGIN})
-    model = Model(folder, buckets, types, sum(r.total for r in done), {h: i for i, h in enumerate(hot)})
+        _write(f"{folder}/words-1-{b}", v, c)
+        return pd.DataFrame({"bucket": [b], "size": [len(v)], "total": [int(c.sum())], "hot": [often(c)]})
+
+    model = Model(folder, buckets, order, 0, discounts=[[]] * order)
+
+    def add_level(heads) -> None:
+        """Sizes and hot contexts of a level; the last id is the mark of the beginning, which is always hot."""
+        sizes = [0] * buckets
+        for r in heads:
+            sizes[r.bucket] = r.size
+        model.sizes.append(sizes)
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        model.hot.append(np.unique(np.concatenate([*(np.frombuffer(r.hot, np.int64) + first[r.bucket] for r in heads), first[-1:]])))
+
+    def add_contexts(k: int, heads) -> None:
+        """What is to be known of the counts of level k on the driver."""
+        model.hot_stats[k - 2] = sum((np.frombuffer(r.stats, np.int64).reshape(-1, 4) for r in heads), np.zeros((len(model.hot[k - 2]), 4), np.int64))
+        model.followed[k - 2] = {r.bucket for r in heads}
+
+    done = saved(docs.mapInArrow(_packed(words, _NAMES), _PACKED).groupBy("bucket").applyInPandas(put_words, "bucket int, size long, total long, hot binary"), "ngram-words").collect()
+    add_level(done)
+    model.total = sum(r.total for r in done)
+    model.hot_stats, model.followed = [np.zeros((0, 4), np.int64)] * (order - 1), [set()] * (order - 1)
     if model.size >= 2**32 - 1:
         raise ValueError("more words than 32-bit ids")
     release(docs.sparkSession)
 
-    def pairs(data, off):
-        tok, at = tokens(data, off)
-        prev = np.empty(len(tok), np.uint64)
-        prev[1:] = tok[:-1]
-        prev[at[:-1]] = BEGIN
-        word, back = np.unique(np.concatenate((tok, prev)), return_inverse=True)
-        ids = model.ids(word)[0].astype(np.uint64)[back]
-        return (ids[len(tok) :] << np.uint64(32)) | ids[: len(tok)], model.deal(prev, tok)
-
-    def put_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        b = int(frame["bucket"].iat[0])
-        key, c = _merge(frame)
-        _write(f"{folder}/pairs-{b}", key, c.astype(np.uint32))
-        left, right = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
-        stats = np.stack([np.add.reduceat(x, begin) for x in (c, c == 1, c == 2, c > 2)], axis=1).astype(np.int64)
-        left = left[begin]
-        h = np.array(list(model.hot), np.uint64)
-        place = np.argsort(h)
-        hot_id = model.ids(h[place])[0]
-        is_hot = np.isin(left, hot_id)
-        first = model.first_id[b]
-        table = np.zeros((model.types[b], 4), np.int64)
-        table[left[~is_hot] - first] = stats[~is_hot]
-        if model.types[b]:
-            _write(f"{folder}/contexts-{b}", table)
-        hot_rows = np.zeros((len(h), 4), np.int64)
-        order = np.argsort(hot_id)
-        hot_rows[place[order[np.searchsorted(hot_id[order], left[is_hot])]]] = stats[is_hot]
-        word, n = np.unique(right, return_counts=True)
-        of = np.searchsorted(model.first_id, word, side="right") - 1
-        rows = [(0, b, len(key), hot_rows.tobytes(), np.array(_counts_of(c), np.int64).tobytes())]
-        for k in np.unique(of).tolist():
-            rows.append((1, k, 0, word[of == k].tobytes(), n[of == k].tobytes()))
-        return pd.DataFrame(rows, columns=["kind", "bucket", "pairs", "x", "y"])
-
-    got = saved(docs.mapInArrow(_packed(pairs, _NAMES), _PACKED).groupBy("bucket").applyInPandas(put_pairs, "kind int, bucket int, pairs long, x binary, y binary"), "ngram-pairs")
-    heads = got.where("kind = 0").collect()
-    model.pairs = [0] * buckets
-    model.hot_stats = np.zeros((len(hot), 4), np.int64)
-    of_pairs = np.zeros(4, np.int64)
-    for r in heads:
-        model.pairs[r.bucket] = r.pairs
-        model.hot_stats += np.frombuffer(r.x, np.int64).reshape(-1, 4)
-        of_pairs += np.frombuffer(r.y, np.int64)
-    release(docs.sparkSession)
-    missing = sorted(set(range(buckets)) - {r.bucket for r in heads})
-
-    def put_continuations(frame: pd.DataFrame) -> pd.DataFrame:
-        b = int(frame["bucket"].iat[0])
-        out = np.zeros(model.types[b], np.int64)
-        for x, y in zip(frame["x"], frame["y"], strict=True):
-            np.add.at(out, np.frombuffer(x, np.int64) - model.first_id[b], np.frombuffer(y, np.int64))
-        _write(f"{folder}/continuations-{b}", out)
-        if b in missing:
-            _write(f"{folder}/contexts-{b}", np.zeros((model.types[b], 4), np.int64))
-        return pd.DataFrame({"total": [int(out.sum())], "n": [[*_counts_of(out), int((out > 2).sum())]]})
-
-    cont = saved(got.where("kind = 1").groupBy("bucket").applyInPandas(put_continuations, "total long, n array<long>"), "ngram-cont").collect()
-    n = np.array([r.n for r in cont], np.int64).sum(axis=0) if cont else np.zeros(5, np.int64)
-    model.continuations = sum(r.total for r in cont)
-    model.discounts = [discounts(of_pairs.tolist()), discounts(n[:4].tolist())]
-    d = model.discounts[1]
-    if model.continuations:
-        model.rest = float((d[0] * n[0] + d[1] * n[1] + d[2] * n[4]) / model.continuations)
+    for k in range(2, order + 1):
+        if sum(model.sizes[k - 2]).bit_length() + int(model.shift) > 64:
+            raise ValueError("more contexts and words than 64-bit keys")
+
+        def grams(data, off):
+            tok, at = tokens(data, off)
+            word, back = np.unique(tok, return_inverse=True)
+            ids = model.ids(word)[0][back]
+            context = model.before(1, ids, at[:-1])
+            for j in range(2, k):
+                key, back = np.unique(model.keys(context, ids), return_inverse=True)
+                context = model.before(j, model.find(j, key)[back], at[:-1])
+            key = model.keys(context, ids)
+            return key, model.deal(k, key)
+
+        def put_grams(frame: pd.DataFrame) -> pd.DataFrame:
+            b = int(frame["bucket"].iat[0])
+            key, c = _merge(frame)
+            _write(f"{folder}/grams-{k}-{b}", key)
+            stats = b""
+            if k == order:
+                _write(f"{folder}/counts-{k}-{b}", c.astype(np.uint32))
+                stats = model.write_contexts(k, b, key, c).tobytes()
+            rows = [(0, b, len(key), often(c) if k < order else b"", stats, np.array(_counts_of(c), np.int64).tobytes())]
+            del c
+            short, n = np.unique(model.suffix(k, key), return_counts=True)
+            first = model.first_id(k - 1)
+            cut = np.searchsorted(short, first)
+            for a in np.flatnonzero(np.diff(cut)).tolist():
+                x, m = (short[cut[a] : cut[a + 1]] - first[a]).astype(np.uint32), n[cut[a] : cut[a + 1]].astype(np.uint32)
+                rows.append((1, a, 0, x[m == 1].tobytes(), x[m > 1].tobytes(), m[m > 1].tobytes()))
+            return pd.DataFrame(rows, columns=["kind", "bucket", "size", "hot", "stats", "n"])
+
+        got = saved(docs.mapInArrow(_packed(grams, _NAMES), _PACKED).groupBy("bucket").applyInPandas(put_grams, "kind int, bucket int, size long, hot binary, stats binary, n binary"), f"ngram-{k}")
+        heads = got.where("kind = 0").collect()
+        add_level(heads)
+        if k == order:
+            add_contexts(k, heads)
+            model.discounts[k - 1] = discounts(sum((np.frombuffer(r.n, np.int64) for r in heads), np.zeros(4, np.int64)).tolist())
+        release(docs.sparkSession)
+
+        def put_continuations(frame: pd.DataFrame) -> pd.DataFrame:
+            b = int(frame["bucket"].iat[0])
+            out = np.zeros(model.sizes[k - 2][b], np.int64)
+            for x, y, n in zip(frame["hot"], frame["stats"], frame["n"], strict=True):
+                out[np.frombuffer(x, np.uint32)] += 1
+                out[np.frombuffer(y, np.uint32)] += np.frombuffer(n, np.uint32)
+            _write(f"{folder}/counts-{k - 1}-{b}", out.astype(np.uint32))
+            stats = model.write_contexts(k - 1, b, model.part("grams", k - 1, b)[0], out).tobytes() if k > 2 else b""
+            return pd.DataFrame({"bucket": [b], "total": [int(out.sum())], "n": [[*_counts_of(out), int((out > 2).sum())]], "stats": [stats]})
+
+        cont = saved(got.where("kind = 1").groupBy("bucket").applyInPandas(put_continuations, "bucket int, total long, n array<long>, stats binary"), f"ngram-cont-{k - 1}").collect()
+        drop_saved(got)
+        n = np.array([r.n for r in cont], np.int64).sum(axis=0) if cont else np.zeros(5, np.int64)
+        d = model.discounts[k - 2] = discounts(n[:4].tolist())
+        if k > 2:
+            add_contexts(k - 1, cont)
+        elif cont:
+            model.continuations = sum(r.total for r in cont)
+            model.rest = float((d[0] * n[0] + d[1] * n[1] + d[2] * n[4]) / model.continuations)
+        release(docs.sparkSession)
     return model
 
 

@@ -80,11 +80,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of four fifths of them."""
+    """Scores of all documents by a trigram model of four fifths of them."""
     from .ngram import score, train
 
     docs = documents(spark, sf_dir)
-    model = train(docs.where(_part(5) != 1).select("text"))
+    model = train(docs.where(_part(5) != 1).select("text"), order=3)
     return score(docs.select("doc_id", (_part(5) == 1).alias("held_out"), "text"), model).drop("text")
 
 
