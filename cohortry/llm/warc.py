@@ -25,6 +25,7 @@ RECORD_SCHEMA = (
 )
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_PLACE = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _MARK = (0x6F70392D << 96) | (0x7761 << 80) | (8 << 76)  # fixed upper bits of the record ids made here
 
 
@@ -125,7 +126,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, revisit_bytes: in
     return saved(rows.mapInPandas(put, "path string, records long, bytes long"), "warc-manifest")
 
 
-def _parse(raw: bytes, begin: int, whole: bool) -> tuple[dict, int] | str:
+def _parse(raw: bytes, begin: int) -> tuple[dict, int] | str:
     """The record that begins there and its end, or why it is none."""
     if not _VERSION.match(raw, begin):
         return "no version line"
@@ -143,7 +144,7 @@ def _parse(raw: bytes, begin: int, whole: bool) -> tuple[dict, int] | str:
     start, n = split + 4, int(head["content-length"])
     block = raw[start : start + n]
     end = start + n + 4
-    if len(block) < n or raw[start + n : end] != b"\r\n\r\n" or whole and end != len(raw):
+    if len(block) < n or raw[start + n : end] != b"\r\n\r\n":
         return "length does not fit"
     for name, data in (("warc-block-digest", block), ("warc-payload-digest", None)):
         algorithm, _, want = head.get(name, "").partition(":")
@@ -175,55 +176,83 @@ def _gap(path: str, offset: int, end: int, reason: str) -> tuple:
     return (path, offset, end - offset, "gap", reason, *[None] * 9)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """What the gzip member that begins there holds and where it ends, or why it is none."""
-    if not data.startswith(_MEMBER, at):
-        return "no gzip member"
-    z, out, pos = zlib.decompressobj(31), [], at
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member that begins there holds and where it ends; of a damaged one what inflates, how far that is, and why not more."""
+    z, out, pos, step = zlib.decompressobj(31), [], at, 65536
     while pos < len(data) and not z.eof:
-        chunk = data[pos : pos + 65536]
+        before = z.copy() if step > 1 else None
         try:
-            out.append(z.decompress(chunk))
+            out.append(z.decompress(data[pos : pos + step]))
         except zlib.error:
-            return "member is damaged"
-        pos += len(chunk)
-    return (b"".join(out), pos - len(z.unused_data)) if z.eof else "member is cut off"
+            if before is None:
+                return b"".join(out), pos, "member is damaged"
+            z, step = before, 1  # up to the very byte
+            continue
+        pos += min(step, len(data) - pos)
+    return b"".join(out), pos - len(z.unused_data), None if z.eof else "member is cut off"
+
+
+def _inside(raw: bytes, whole: bool) -> tuple[list[dict], str | None]:
+    """All records that a member holds, and why some of its bytes are none; of a damaged member only records with a digest."""
+    at, found, why = 0, [], None if raw else "no version line"
+    while at < len(raw):
+        got = _parse(raw, at)
+        if not isinstance(got, str) and (whole or _has_digest(got[0])):
+            found.append(got[0])
+            at = got[1]
+            continue
+        why = why or (got if isinstance(got, str) else "no digest in a damaged member")
+        m = _VERSION.search(raw, at + 1)
+        at = m.start() if m else len(raw)
+    return found, why
+
+
+def _has_digest(head: dict) -> bool:
+    names = ["warc-block-digest"] + ["warc-payload-digest"] * (head.get("warc-type") != "revisit")
+    return any(head.get(n, "").lower().startswith("sha1:") for n in names)
 
 
 def salvage(path: str, data: bytes, payloads: bool = True):
-    """Rows of RECORD_SCHEMA for all records of an archive, compressed or not, and for every gap between them.
+    """Rows of RECORD_SCHEMA for all records of an archive, compressed, plain or mixed, and for every gap between them.
 
     Where a gzip member, a header, a length or a digest fails, the bytes up to the next place
-    at which a whole member or record passes all checks are quarantined as one gap.
+    at which a member with a record or a plain record passes all checks are quarantined as one
+    gap.  All records of a member have its offset and length; bytes between them make one gap
+    with the same.  Records from the part of a damaged member that still inflates need a
+    digest; they have its offset and the length of that part, which also belongs to the gap.
     """
-    first, plain = data.find(_MEMBER), _VERSION.search(data)
-    packed = first >= 0 and (not plain or first < plain.start())
     at, gap, why = 0, None, ""
+    rescued, until = [], 0  # of the last damaged member, whose stored records can also be seen as plain ones
     while at < len(data):
-        if packed:
-            got = _member(data, at)
-            if not isinstance(got, str):
-                end = got[1]
-                got = _parse(got[0], 0, True)
+        found, rest, end, bad = [], None, at, None
+        if data.startswith(_MEMBER, at):
+            raw, end, bad = _member(data, at)
+            found, rest = _inside(raw, bad is None)
+            bad = bad or (None if found else rest)
         else:
-            got = _parse(data, at, False)
-            end = at if isinstance(got, str) else got[1]
-        if not isinstance(got, str):
-            if gap is not None:
-                yield _gap(path, gap, at, why)
-                gap = None
-            yield _row(path, at, end - at, got[0], payloads)
+            got = _parse(data, at)
+            if isinstance(got, str):
+                bad = got
+            elif at < until and got[0] in rescued:
+                bad = "record of a damaged member"
+            else:
+                found, end = [got[0]], got[1]
+        if bad is None and gap is not None:
+            yield _gap(path, gap, at, why)
+            gap = None
+        for head in found:
+            yield _row(path, at, end - at, head, payloads)
+        if bad is None:
+            if rest:
+                yield _gap(path, at, end, f"inside the member: {rest}")
             at = end
             continue
         if gap is None:
-            gap, why = at, got
-        if packed:
-            at = data.find(_MEMBER, at + 1)
-        else:
-            m = _VERSION.search(data, at + 1)
-            at = m.start() if m else -1
-        if at < 0:
-            at = len(data)
+            gap, why = at, bad
+        if found:
+            rescued, until = found, end
+        m = _PLACE.search(data, at + 1)
+        at = m.start() if m else len(data)
     if gap is not None:
         yield _gap(path, gap, len(data), why)
 
