@@ -218,8 +218,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, chunk_rows: int
     Two vectors link when their cosine in double precision is at least ``cosine``.  Vectors
     that are null, empty or zero, or hold null or non-finite components, link with nothing, and
     neither do vectors of different length.  Equal vectors count each other.  A component is
-    named by its smallest vec_id; repeated vec_ids each give a row; null vec_ids take part
-    but don't name a component; other columns (a label) are ignored.
+    named by its smallest vec_id; repeated vec_ids each give a row; null vec_ids count where
+    an equal vector has a vec_id, and a vector whose rows all have a null vec_id is left out of
+    all other vectors' links; other columns (a label) are ignored.
 
     1. Equal vectors fall together; a class carries how many it stands for.  2. The top levels
     of a cover tree (radii halve from level to level) are built on at most ``sample_rows``

@@ -371,8 +371,9 @@ def jaccard_components(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5),
     Two documents link when the Jaccard similarity of their sets of ``width``-word shingles
     is at least ``threshold``; a component is named by its smallest doc_id.  Null and empty
     texts, and texts without words, have no shingles and link with nothing, so they stand
-    alone; repeated rows each give a row; a null doc_id takes part with its text (it is
-    never a component's name unless nothing else is there); other columns are ignored.
+    alone; repeated rows each give a row; a null doc_id shares the component of rows with the same
+    set, but a set whose rows all have a null doc_id links with no other set and has a null
+    component; other columns are ignored.
 
     1. Equal sets fall together by a 64-bit key before anything is compared, so a group of
        copies counts once.  2. PartEnum: sizes fall into bands of ratio 1 / threshold; a set
