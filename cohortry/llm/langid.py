@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,15 +132,33 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = 40, ridge: floa
     return LanguageModel(langs, points, column, (x_marks.T @ (root @ beta)).astype(np.float32), middle - mean @ beta, orders)
 
 
+def _below(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows whose hashes lie below their languages' shares; one row a language is broadcast."""
+    few = rows.join(F.broadcast(counts), F.col("lang") == F.col("l"))
+    return few.where(F.col("h").cast("double") / 2.0**64 + 0.5 < F.col("share")).select("lang", "text", "h")
+
+
+def _lowest(rows: DataFrame, per_lang: int) -> list:
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
+    return top.select("lang", "h", "text").collect()
+
+
 def sample(docs: DataFrame, *, per_lang: int, most_chars: int, seed: int = 3) -> tuple[list[str], list[str]]:
     """At most ``per_lang`` labelled rows of each language, by a hash, of texts of up to ``most_chars`` code points."""
     rows = docs.where("lang is not null and text is not null").where(F.length("text").between(1, most_chars))
     rows = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text", "lang").alias("h"))
     # a hash threshold near the wanted share comes first, so that the window below sees few rows of a language
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n") + F.lit(10.0) / F.col("n")).alias("share"))
-    few = rows.join(F.broadcast(counts), F.col("lang") == F.col("l"))  # one row a language.where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    top = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
-    got = sorted(top.select("lang", "h", "text").collect())
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), "n", F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n") + F.lit(10.0) / F.col("n")).alias("share")).collect()
+    if not counts:
+        return [], []
+    few = _below(rows, docs.sparkSession.createDataFrame(counts, "l string, n long, share double"))
+    got = _lowest(few, per_lang)
+    # copies share a hash, so that too little of a language can lie below its threshold
+    have = Counter(r.lang for r in got)
+    short = [r.l for r in counts if have[r.l] < min(per_lang, r.n)]
+    if short:
+        got = [r for r in got if r.lang not in short] + _lowest(rows.where(F.col("lang").isin(short)), per_lang)
+    got.sort()
     return [r.text for r in got], [r.lang for r in got]
 
 
