@@ -20,11 +20,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without an identified language: no letter, or a best share no more than a tenth above chance.
 
-    The classifier learns from the declared languages of a bounded sample.  A missing lang is filled in.
+    The classifier learns from the declared languages of a bounded sample; where nothing was
+    learned, only documents without a letter are rejected.  A missing lang is filled in.
     """
     model = langid.train(docs)
     least = 1.1 / max(1, len(model.langs)) if model and len(model.langs) > 1 else 0.0
-    rows = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    found = (F.col("lang_pred") != "und") & (F.col("score") >= least) if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = langid.predict(docs, model).where(found)
     return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
 
 
