@@ -6,26 +6,23 @@ import math
 from bisect import bisect_left
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import components, saved
+from .common import components, drop_saved, fold_edges, saved
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: First-level partitions are cut into three; a signature covers two of the three, so one error is allowed.
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, and those of a bucket.
 FLUSH, BUCKET = 1 << 22, 1 << 22
-#: Rounds in which members try one hub each, before what is left is compared in full.
-ROUNDS = 3
-#: Members that one task compares with a hub, and members of one block of a large signature group.
-HUB_ROWS, BLOCK_ROWS = 64, 2048
+#: Shingles that a task of the exact comparison holds on average, and sets of a candidate group compared at once.
+TASK, UNIT = 1 << 21, 1 << 12
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +53,50 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.
 
 
 def set_keys(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set (equal sets: equal keys); sets without elements have key 0."""
-    total = np.concatenate(([np.uint64(0)], np.cumsum(arrays.mix64(flat ^ _PRIME))))
-    return (arrays.mix64(total[off[1:]] - total[off[:-1]]) * (np.diff(off) > 0).astype(np.uint64)).view(np.int64)
+    """A 128-bit key of each set (sets x 2, equal sets: equal keys); sets without elements have key 0, 0."""
+    some = np.diff(off) > 0
+    out = np.zeros((len(off) - 1, 2), np.uint64)
+    for j, salt in enumerate((_PRIME, np.uint64(0xC2B2AE3D27D4EB4F))):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(arrays.mix64(flat ^ salt))))
+        out[:, j] = arrays.mix64(total[off[1:]] - total[off[:-1]]) * some
+    return out.view(np.int64)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of a power of two of cells, in bytes: at least as many elements differ between two sets as parities do."""
+    cells = sketch_cells(len(own))
+    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """Parities of a power of two of cells: at least as many elements differ between two sets as parities do."""
-    cells = 1 << max(6, math.ceil(math.log2(1.6 * max(1, len(own)))))
-    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def sketch_cells(n: int) -> int:
+    return 1 << max(6, math.ceil(math.log2(1.6 * max(1, n))))
+
+
+class Sketches:
+    """Sketches of some sets, one matrix for each length."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.size = np.array([len(m) for m in marks], np.int64)
+        self.row = np.zeros(len(marks), np.int64)
+        self.bits = {}
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.row[own] = np.arange(len(own))
+            self.bits[n] = np.concatenate([marks[k] for k in own.tolist()]).view(np.uint64).reshape(len(own), n // 8)
+
+    def differ(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Parities in which the sets of each pair differ; the longer sketch is folded, as parities of halves add up."""
+        out = np.zeros(len(p), np.int64)
+        for a in self.bits:
+            for b in self.bits:
+                own = np.flatnonzero((self.size[p] == a) & (self.size[q] == b))
+                short = min(a, b) // 8
+                for k in range(0, len(own), 1 << 15):
+                    o = own[k : k + (1 << 15)]
+                    x, y = (np.bitwise_xor.reduce(self.bits[n][self.row[r[o]]].reshape(len(o), -1, short), axis=1) for n, r in ((a, p), (b, q)))
+                    out[o] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
 
 
 @dataclass(frozen=True)
@@ -131,59 +162,75 @@ def set_signatures(own: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(signatures(own, b) for b in every[at : at + 2] if b.low <= most and b.errors > 0)])
 
 
-def _sets(batches, text: str):
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells different rows (doc_id and whole text) apart; a null text counts as empty."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
+def _sets(batches, text: str, width: int):
     for batch in batches:
         for part in arrays.slices(batch, text):
-            flat, off = shingle_sets(*arrays.buffers(part.column(text)))
+            flat, off = shingle_sets(*arrays.buffers(part.column(text)), width)
             yield part, flat, off
 
 
-def _summaries(batches):
-    for part, flat, off in _sets(batches, "text"):
-        keys = set_keys(flat, off)
-        marks = [sketch(flat[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n", "key", "mark"])
+def _summaries(width: int):
+    def run(batches):
+        for part, flat, off in _sets(batches, "text", width):
+            keys = set_keys(flat, off)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(off), pa.int64()), *(pa.array(keys[:, j]) for j in (0, 1))], names=["doc_id", "h", "n", "ka", "kb"])
+
+    return run
 
 
-def _emit(threshold: Fraction, buckets: int):
-    """Packed signatures: for each bucket the keys of some sets, and (signature's 48 bits, place of the key) as 64-bit numbers."""
+def _emit(threshold: Fraction, width: int, buckets: int):
+    """Packed signatures: for each bucket the first key halves of some sets, and (signature's 48 bits, place of the key) as 64-bit numbers.
+
+    Sets of one task that share a signature are linked here: the first of them goes on under
+    that signature, the others as links (rows without signatures), so a signature that very
+    many sets share gives its bucket one entry a task.
+    """
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         keys: list[int] = []
         sigs: list[np.ndarray] = []
         held = 0
 
         def flush():
-            all_sigs = np.concatenate(sigs)
-            place = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(s) for s in sigs])
-            bucket = ((all_sigs >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-            order = np.argsort(bucket, kind="stable")
-            packed = ((all_sigs << np.uint64(16)) | place)[order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            names = np.array(keys, np.int64)
+            sig = np.concatenate(sigs)
+            at = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(s) for s in sigs])
+            order = np.argsort(sig, kind="stable")
+            sig, at, names = sig[order], at[order], np.array(keys, np.int64)
+            first = np.concatenate(([True], sig[1:] != sig[:-1]))
+            hub = at[first][np.cumsum(first) - 1]
+            pairs = np.stack([names[x[~first].astype(np.int64)] for x in (at, hub)])
+            sig, at = sig[first], at[first]
+            cut = np.searchsorted(((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16), np.arange(buckets + 1, dtype=np.uint64))
             rows = []
             for b in range(buckets):
-                own = packed[cut[b] : cut[b + 1]]
-                if len(own):
-                    used, place_b = np.unique(own & np.uint64(0xFFFF), return_inverse=True)
-                    own = (own & ~np.uint64(0xFFFF)) | place_b.astype(np.uint64)
-                    rows.append((b, names[used.astype(np.int64)].tobytes(), own.tobytes()))
+                own = slice(cut[b], cut[b + 1])
+                used, place = np.unique(at[own], return_inverse=True)
+                if len(used):
+                    rows.append((b, names[used.astype(np.int64)].tobytes(), ((sig[own] << np.uint64(16)) | place.astype(np.uint64)).tobytes()))
+            pairs = np.stack(fold_edges(*pairs[:, pairs[0] != pairs[1]]))
+            if pairs.size:
+                rows.append((int(pairs[0, 0]) % buckets, pairs.tobytes(), b""))
             keys.clear()
             sigs.clear()
             for i in range(0, len(rows), 64):
                 part = rows[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())], names=["bucket", "keys", "sigs"])
 
-        for _, flat, off in _sets(batches, "text"):
-            for key, a, b in zip(set_keys(flat, off).tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for _, flat, off in _sets(batches, "text", width):
+            for key, a, b in zip(map(tuple, set_keys(flat, off).tolist()), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 if a == b or key in seen:
                     continue
                 seen.add(key)
                 own = set_signatures(flat[a:b], threshold)
                 if not len(own):
                     continue
-                keys.append(key)
+                keys.append(key[0])
                 sigs.append(own)
                 held += len(own)
                 if held >= FLUSH or len(keys) == 0xFFFF:
@@ -197,255 +244,342 @@ def _emit(threshold: Fraction, buckets: int):
     return run
 
 
-def _groups(frame: pd.DataFrame) -> pd.DataFrame:
-    """Groups of different sets that share a signature: gid (of the member list), hub (smallest key), members."""
-    sig, key = [], []
-    for k, s in zip(frame["keys"], frame["sigs"], strict=True):
+def _candidates(table: pa.Table) -> pa.Table:
+    """A spanning forest (a, b: first key halves) of the sets of a bucket that share signatures."""
+    links, sig, key = [], [], []
+    for k, s in zip(table.column("keys").to_pylist(), table.column("sigs").to_pylist(), strict=True):
+        if not s:
+            links.append(np.frombuffer(k, np.int64).reshape(2, -1))
+            continue
         x = np.frombuffer(s, np.uint64)
         sig.append(x >> np.uint64(16))
         key.append(np.frombuffer(k, np.int64)[(x & np.uint64(0xFFFF)).astype(np.int64)])
-    sig, key = np.concatenate(sig), np.concatenate(key)
-    order = np.argsort(sig)
-    sig, key = sig[order], key[order]
-    same = sig[1:] == sig[:-1]
-    many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    sig, key = sig[many], key[many]
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key = sig[keep], key[keep]
-    begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, len(sig)))
-    begin, size = begin[size > 1], size[size > 1]
-    if not len(begin):
-        return pd.DataFrame({"gid": [], "hub": [], "members": []})
-    total = np.concatenate(([np.uint64(0)], np.cumsum(arrays.mix64(key.view(np.uint64)))))
-    gid = arrays.mix64(total[begin + size] - total[begin])
-    _, first = np.unique(gid, return_index=True)
-    begin, size, gid = begin[first], size[first], gid[first].view(np.int64)
-    return pd.DataFrame({"gid": gid, "hub": key[begin], "members": [key[b : b + n] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]})
-
-
-def _pairs(batches):
-    """How often each member stands in a group of each hub."""
-    for batch in batches:
-        size = batch.column("members").value_lengths().to_numpy(zero_copy_only=False)
-        hub = np.repeat(batch.column("hub").to_numpy(), size)
-        key = batch.column("members").flatten().to_numpy()
-        other = hub != key
-        hub, key = hub[other], key[other]
-        order = np.lexsort((hub, key))
-        hub, key = hub[order], key[order]
-        begin = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (key[1:] != key[:-1])))) if len(hub) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(hub[begin]), pa.array(np.diff(np.append(begin, len(hub))), pa.int64())], names=["key", "hub", "n"])
-
-
-def _verify(threshold: Fraction, width: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links of a hub: rows are texts, that of the hub and those of members."""
-        frame = frame.sort_values("is_hub", ascending=False, kind="stable")
-        raw = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-        flat, off = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64), width)
-        hub = flat[: off[1]]
-        if not len(hub) or not frame["is_hub"].iat[0]:
-            return pd.DataFrame({"a": [], "b": []})
-        at = np.minimum(np.searchsorted(hub, flat), len(hub) - 1)
-        shared = np.concatenate(([0], np.cumsum(hub[at] == flat)))
-        both = shared[off[1:]] - shared[off[:-1]]
-        either = len(hub) + np.diff(off) - both
-        ok = (threshold.denominator * both >= threshold.numerator * either) & (both > 0) & ~frame["is_hub"].to_numpy()
-        ids = frame["doc_id"].to_numpy()
-        return pd.DataFrame({"a": np.full(ok.sum(), ids[0]), "b": ids[ok]})
+    if sig:
+        sig, key = np.concatenate(sig), np.concatenate(key)
+        order = np.argsort(sig, kind="stable")
+        sig, key = sig[order], key[order]
+        same = np.flatnonzero(sig[1:] == sig[:-1])
+        links.append(np.stack((key[same], key[same + 1])))
+    pairs = np.concatenate([np.zeros((2, 0), np.int64), *links], axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    hi, lo = fold_edges(*pairs)
+    return pa.table({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
 
-    return run
 
+def _emit_sketched(threshold: Fraction, width: int, buckets: int):
+    """Packed signatures of the sets of large candidate groups: for each bucket the nodes, sizes and sketches of some sets, and (signature's 48 bits, place of the set) as 64-bit numbers."""
 
-class Marks:
-    """Parity sketches of some sets, one matrix for each length."""
+    def run(batches):
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
 
-    def __init__(self, marks: list[bytes]):
-        self.size = np.array([len(m) for m in marks], np.int64)
-        self.row = np.zeros(len(marks), np.int64)
-        self.bits = {}
-        for n in np.unique(self.size).tolist():
-            own = np.flatnonzero(self.size == n)
-            self.row[own] = np.arange(len(own))
-            self.bits[n] = np.frombuffer(b"".join(marks[k] for k in own.tolist()), np.uint64).reshape(len(own), n // 8)
+        def flush():
+            node, n = (np.array([h[j] for h in held], np.int64) for j in (0, 1))
+            sig = np.concatenate([h[3] for h in held])
+            at = np.repeat(np.arange(len(held), dtype=np.uint64), [len(h[3]) for h in held])
+            order = np.argsort(sig, kind="stable")
+            sig, at = sig[order], at[order]
+            cut = np.searchsorted(((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16), np.arange(buckets + 1, dtype=np.uint64))
+            for b in range(buckets):
+                own = slice(cut[b], cut[b + 1])
+                used, place = np.unique(at[own].astype(np.int64), return_inverse=True)
+                if len(used):
+                    marks = np.concatenate([held[k][2] for k in used.tolist()])
+                    row = (b, node[used].tobytes(), n[used].tobytes(), marks.tobytes(), ((sig[own] << np.uint64(16)) | place.astype(np.uint64)).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "nodes", "sizes", "marks", "sigs"])
+            held.clear()
 
-    def differ(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Parities in which the sets of each pair differ; the longer sketch is folded, as parities of halves add up."""
-        out = np.zeros(len(p), np.int64)
-        for a in self.bits:
-            for b in self.bits:
-                own = np.flatnonzero((self.size[p] == a) & (self.size[q] == b))
-                short = min(a, b) // 8
-                for k in range(0, len(own), 1 << 15):
-                    o = own[k : k + (1 << 15)]
-                    x, y = (np.bitwise_xor.reduce(self.bits[n][self.row[r[o]]].reshape(len(o), -1, short), axis=1) for n, r in ((a, p), (b, q)))
-                    out[o] = np.bitwise_count(x ^ y).sum(axis=1)
-        return out
+        total = 0
+        for part, flat, off in _sets(batches, "text", width):
+            given = np.stack([part.column(c).to_numpy() for c in ("ka", "kb")], axis=1)
+            same = (set_keys(flat, off) == given).all(axis=1)
+            for node, ok, a, b in zip(part.column("node").to_pylist(), same.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                if ok:
+                    own = set_signatures(flat[a:b], threshold)
+                    held.append((node, b - a, sketch(flat[a:b]), own))
+                    total += len(own)
+                if total >= FLUSH or len(held) == 0xFFFF:
+                    yield from flush()
+                    total = 0
+        if held:
+            yield from flush()
+
+    return run
 
 
 def _plausible(threshold: Fraction):
-    """Keeps the pairs whose sizes and sketches don't exclude a link."""
-
-    def run(frames):
-        for f in frames:
-            m = len(f)
-            marks = Marks([*f["mark_a"], *f["mark_b"]])
-            n, k = f["n_a"].to_numpy(), f["n_b"].to_numpy()
-            ok = np.minimum(n, k) * threshold.denominator >= threshold.numerator * np.maximum(n, k)
-            p = np.flatnonzero(ok)
-            odd = marks.differ(p, p + m)
-            p = p[(threshold.numerator + threshold.denominator) * odd <= (threshold.denominator - threshold.numerator) * (n[p] + k[p])]
-            yield f[["rep_a", "rep_b", "times"]].iloc[p]
+    """A spanning forest (a, b: nodes) of the sets of a bucket that share a signature and whose sizes and sketches don't exclude a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, size, marks, sig, at = [], [], [], [], []
+        for n, k, m, s in zip(*(table.column(c).to_pylist() for c in ("nodes", "sizes", "marks", "sigs")), strict=True):
+            x = np.frombuffer(s, np.uint64)
+            sig.append(x >> np.uint64(16))
+            at.append((x & np.uint64(0xFFFF)).astype(np.int64) + sum(map(len, node)))
+            node.append(np.frombuffer(n, np.int64))
+            size.append(np.frombuffer(k, np.int64))
+            cut = np.cumsum([sketch_cells(c) // 8 for c in size[-1].tolist()])
+            marks += np.split(np.frombuffer(m, np.uint8), cut[:-1])
+        node, size, sig, at = (np.concatenate(x) for x in (node, size, sig, at))
+        names, first, back = np.unique(node, return_index=True, return_inverse=True)
+        n, at = size[first], back[at]
+        sketches = Sketches([marks[k] for k in first.tolist()])
+        order = np.lexsort((n[at], sig))
+        sig, at = sig[order], at[order]
+        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])))
+        sig, at = sig[fresh], at[fresh]
+        # the partners of an entry: those behind it in its group, up to the size that can link
+        end = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
+        end = np.repeat(end, np.diff(np.concatenate(([0], end))))
+        top = np.minimum(end, np.searchsorted(_in_group(sig, n[at]), _in_group(sig, n[at] * threshold.denominator // threshold.numerator), side="right"))
+        count = np.maximum(top - np.arange(len(sig)) - 1, 0)
+        comp = np.arange(len(names))
+        seen = np.zeros(0, np.int64)
+        total = np.cumsum(count)
+        k = 0
+        while k < len(sig):
+            stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + (1 << 20), side="right")))
+            p = np.repeat(at[k:stop], count[k:stop])
+            q = at[arrays.ranges(np.arange(k, stop) + 1, count[k:stop])]
+            k = stop
+            apart = np.flatnonzero(comp[p] != comp[q])
+            code = np.unique(np.minimum(p[apart], q[apart]) * len(names) + np.maximum(p[apart], q[apart]))
+            code = code[~np.isin(code, seen, assume_unique=True)]
+            if not len(code):
+                continue
+            if len(seen) < 1 << 23:
+                seen = np.concatenate((seen, code))
+            p, q = code // len(names), code % len(names)
+            ok = (threshold.numerator + threshold.denominator) * sketches.differ(p, q) <= (threshold.denominator - threshold.numerator) * (n[p] + n[q])
+            if ok.any():
+                hi, lo = fold_edges(comp[p[ok]], comp[q[ok]])
+                root = np.arange(len(names))
+                root[hi] = lo
+                comp = root[comp]
+        joined = np.flatnonzero(comp != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[joined], pa.int64()), "b": pa.array(names[comp[joined]], pa.int64())})
 
     return run
 
 
-def _apart(tries: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs that are not in one component yet."""
-    a = comp.select(F.col("id").alias("rep_a"), F.col("component").alias("c_a"))
-    b = comp.select(F.col("id").alias("rep_b"), F.col("component").alias("c_b"))
-    out = tries.join(a, "rep_a", "left").join(b, "rep_b", "left")
-    return out.where(F.coalesce("c_a", "rep_a") != F.coalesce("c_b", "rep_b")).select("rep_a", "rep_b", "times")
+def _in_group(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers that order entries by signature group, then by size."""
+    group = np.cumsum(np.concatenate(([0], sig[1:] != sig[:-1])))
+    return group.astype(np.float64) * 2.0**24 + np.minimum(n, 2**24 - 1)
 
 
-def _cross(threshold: Fraction):
-    """Pairs of signature groups that may link: other component, sizes near, parities near enough.
+def link_sets(flat: np.ndarray, off: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The components after all links between sets marked ``left`` and sets marked ``right`` are made.
 
-    A frame holds the blocks of many groups.  A pair is looked at once, however many of
-    them it shares.
+    A set is compared exactly with all others of a linkable size, unless they are in its
+    component already.
+    """
+    size = np.diff(off)
+    order = np.lexsort((np.arange(len(size)), size))
+    n = size[order]
+    comp = component[order].copy()
+    left, right = left[order], right[order]
+    low, at = np.unique(flat, return_inverse=True)
+    at = at[arrays.ranges(off[:-1][order], n)]
+    cut = np.concatenate(([0], np.cumsum(n)))
+    top = np.searchsorted(n, n * threshold.denominator // threshold.numerator, side="right")
+    mark = np.zeros(len(low), bool)
+    for x in range(len(n)):
+        y = np.arange(x + 1, top[x])
+        y = y[(comp[y] != comp[x]) & (right[y] if left[x] else False) | (comp[y] != comp[x]) & (left[y] if right[x] else False)]
+        if not len(y):
+            continue
+        own = at[cut[x] : cut[x + 1]]
+        mark[own] = True
+        whole = 3 * len(y) > top[x] - x
+        if whole:
+            a, b = cut[y[0]], cut[y[-1] + 1]
+            both = np.add.reduceat(mark[at[a:b]], cut[y[0] : y[-1] + 1] - a, dtype=np.int64)[y - y[0]]
+        else:
+            both = np.add.reduceat(mark[at[arrays.ranges(cut[y], n[y])]], np.cumsum(n[y]) - n[y], dtype=np.int64)
+        mark[own] = False
+        hit = y[threshold.denominator * both >= threshold.numerator * (n[x] + n[y] - both)]
+        if len(hit):
+            old = np.unique(np.append(comp[hit], comp[x]))
+            comp[np.isin(comp, old)] = old[0]
+    out = np.empty_like(comp)
+    out[order] = comp
+    return out
+
+
+def _compare(threshold: Fraction, width: int, final: bool):
+    """Rows of a task: texts of the sets of some units.  Each unit is linked for itself.
+
+    ``final``: (ka, kb, and the first row of its component) of each set; else links (a, b)
+    of a forest that joins what was found to be one component.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["gid", "i", "j"], kind="stable")
-        n, comp, rep, chunk = (frame[c].to_numpy() for c in ("n", "component", "rep", "chunk"))
-        gid, left, right = (frame[c].to_numpy() for c in ("gid", "i", "j"))
-        sets, first, place = np.unique(rep, return_index=True, return_inverse=True)
-        marks = Marks([frame["mark"].iat[k] for k in first.tolist()])
-        n, comp = n[first], comp[first]
-        seen = np.zeros(0, np.int64)
-        good: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-        total = 0
+    def run(table: pa.Table) -> pa.Table:
+        text = table.column("text").combine_chunks()
+        flat, off = shingle_sets(*arrays.buffers(text), width)
+        keys = set_keys(flat, off)
+        given = np.stack([table.column(c).to_numpy() for c in ("ka", "kb")], axis=1)
+        cols = {c: table.column(c).to_numpy() for c in ("unit", "node", "component", "doc_id", "h")}
+        left, right = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("l", "r"))
+        none = table.column("no_id").to_numpy(zero_copy_only=False).astype(bool)
+        good = np.flatnonzero((keys == given).all(axis=1))  # a row_key of two texts would be told apart here
+        order = good[np.lexsort((cols["node"][good], cols["unit"][good]))]
+        unit, node = cols["unit"][order], cols["node"][order]
+        new = np.concatenate(([True], unit[1:] != unit[:-1]))[: len(order)]
+        fresh = new | np.concatenate(([True], node[1:] != node[:-1]))[: len(order)]
+        l, r = (np.logical_or.reduceat(x[order], np.flatnonzero(fresh)) if len(order) else x[order] for x in (left, right))
+        order, new = order[fresh], np.flatnonzero(new[fresh])
+        out = []
+        for a, b in zip(new.tolist(), np.append(new[1:], len(order)).tolist(), strict=False):
+            own = order[a:b]
+            size = off[own + 1] - off[own]
+            start = cols["component"][own]
+            comp = link_sets(flat[arrays.ranges(off[own], size)], np.concatenate(([0], np.cumsum(size))), start, l[a:b], r[a:b], threshold)
+            by = np.lexsort((cols["h"][own], cols["doc_id"][own], none[own], comp))
+            first = np.concatenate(([True], comp[by][1:] != comp[by][:-1]))
+            lead = own[by][first][np.cumsum(first) - 1]  # of the sets in the order ``by``
+            out.append((own[by], lead) if final else np.stack((start[by], start[by][first][np.cumsum(first) - 1])))
+        if final:
+            own, lead = (np.concatenate([np.zeros(0, np.int64), *(x[j] for x in out)]).astype(np.int64) for j in (0, 1))
+            return pa.table({"ka": pa.array(given[own, 0]), "kb": pa.array(given[own, 1]), "no_id": pa.array(none[lead]), "first_id": pa.array(cols["doc_id"][lead], pa.int64()), "first_h": pa.array(cols["h"][lead], pa.int64())})
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+        hi, lo = fold_edges(*pairs[:, pairs[0] != pairs[1]])
+        return pa.table({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
 
-        def settle() -> np.ndarray:
-            code = np.setdiff1d(np.unique(np.concatenate(held)), seen, assume_unique=True)
-            p, q = code // len(sets), code % len(sets)
-            near = np.minimum(n[p], n[q]) * threshold.denominator >= threshold.numerator * np.maximum(n[p], n[q])
-            p, q = p[near], q[near]
-            odd = marks.differ(p, q)
-            near = (threshold.numerator + threshold.denominator) * odd <= (threshold.denominator - threshold.numerator) * (n[p] + n[q])
-            good.append(np.stack((sets[p[near]], sets[q[near]])))
-            held.clear()
-            return np.union1d(seen, code)
+    return run
 
-        cut = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(gid)).tolist(), strict=True):
-            own = place[a:b]
-            if (comp[own] == comp[own[0]]).all():
-                continue
-            x = own if left[a] == right[a] else own[chunk[a:b] == left[a]]
-            y = own if left[a] == right[a] else own[chunk[a:b] == right[a]]
-            for k in range(0, len(x), 256):
-                p, q = np.nonzero(comp[x[k : k + 256], None] != comp[y][None, :])
-                p, q = x[k + p], y[q]
-                held.append(np.unique(np.minimum(p, q) * len(sets) + np.maximum(p, q)))
-                total += len(held[-1])
-                if total > 1 << 20:
-                    seen = settle()
-                    total = 0
-        if held:
-            settle()
-        pairs = np.concatenate([np.zeros((2, 0), np.int64), *good], axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    return run
+_FINAL = "ka long, kb long, no_id boolean, first_id long, first_h long"
+_FIRST = ("no_id", "first_id", "first_h")
 
 
-def jaccard_components(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id long, text).
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``jaccard_rows``."""
+    return jaccard_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
 
-    Two documents link when the Jaccard similarity of their sets of ``width``-word shingles
-    is at least ``threshold``; a component is named by its smallest doc_id.  Null and empty
-    texts, and texts without words, have no shingles and link with nothing, so they stand
-    alone; repeated rows each give a row; a null doc_id shares the component of rows with the same
-    set, but a set whose rows all have a null doc_id links with no other set and has a null
-    component; other columns are ignored.
 
-    1. Equal sets fall together by a 64-bit key before anything is compared, so a group of
+def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width: int = 5, unit_sets: int = UNIT, unit_shingles: int = TASK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, row) for every row of ``docs`` (doc_id long, text).
+
+    Two documents link when the Jaccard similarity of their sets of ``width``-word shingles
+    is at least ``threshold``; a component is named by its smallest doc_id (null where none of
+    its rows has one).  Null and empty texts, and texts without words, have no shingles and
+    link with nothing, so they stand alone.  Links are between sets, so rows with equal
+    doc_ids and different texts link each for itself, and rows with a null doc_id link like
+    others.  Repeated rows each give a row.  ``row`` is ``row_key`` of the row; ``kept`` marks
+    the rows of one doc_id and text of each component (the smallest doc_id, nulls last).
+    Other columns are ignored, whatever their names.
+
+    1. Equal sets fall together by a 128-bit key before anything is compared, so a group of
        copies counts once.  2. PartEnum: sizes fall into bands of ratio 1 / threshold; a set
-       signs in its own band and the next.  Signatures travel packed, 8 bytes each, to
-       buckets that return the groups sharing one.  3. Each member is checked exactly
-       against the hub it meets most often; verified links give first components.  4. Only
-       groups whose hub still has members in other components are opened: their
-       cross-component pairs, block by block, pass a bound on the differing elements (parity
-       sketches) and then the exact check.  So every pair sharing a signature is either in
-       one component already or checked, and none is dropped.
+       signs in its own band and the next.  Signatures travel packed, 8 bytes each; sets that
+       share one are joined to candidate groups, in a task first, then by buckets, so what is
+       sent and returned are forests, never lists of pairs.  3. Candidate groups of up to
+       ``unit_sets`` sets and ``unit_shingles`` shingles, nearly all, are compared exactly by
+       one task each, set by set, leaving out what is linked already.  4. A larger group is
+       cut into parts of that size, by hash; two common sets go to all of them, so that parts
+       of one cluster meet.  Sets that are not in the group's main component then are compared
+       with all others of the group, part by part.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = saved(docs.mapInArrow(_summaries, "doc_id long, n long, key long, mark binary"), "sets")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", row_key())
+    rows = saved(base.mapInArrow(_summaries(width), "doc_id long, h long, n long, ka long, kb long"), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    full = rows.where("n > 0")
-    classes = full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")).alias("first")
+    classes = rows.where("n > 0").groupBy("ka", "kb").agg(first, F.first("n").alias("n")).select("ka", "kb", "n", "first.*")
     buckets = max(8, min(1 << 16, -(-total // BUCKET)))
-    packed = docs.mapInArrow(_emit(threshold, buckets), "bucket int, keys binary, sigs binary")
-    groups = saved(packed.groupBy("bucket").applyInPandas(_groups, "gid long, hub long, members array<long>"), "groups")
-    pairs = saved(groups.select("hub", "members").mapInArrow(_pairs, "key long, hub long, n long").groupBy("key", "hub").agg(F.sum("n").alias("n")), "pairs")
-    rep = saved(classes.where("rep is not null").select("key", "rep"), "reps")
-    grouped = pairs.select("key").union(pairs.select("hub")).distinct().join(rep, "key").select(F.col("rep").alias("id"))
-    # the texts of all sets that share a signature, dealt once; every round reads these
-    texts = saved(docs.join(grouped.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text"), "grouped")
-    marks = full.groupBy("key").agg(F.first("mark").alias("mark"), F.first("n").alias("n"))
-    side = marks.join(rep, "key")
-    both = pairs.withColumnRenamed("n", "times").join(side, "key").select("hub", "times", *(F.col(c).alias(f"{c}_a") for c in ("rep", "mark", "n")))
-    both = both.join(side.withColumnRenamed("key", "hub"), "hub").select("times", "rep_a", "mark_a", "n_a", F.col("rep").alias("rep_b"), F.col("mark").alias("mark_b"), F.col("n").alias("n_b"))
-    tries = saved(both.mapInPandas(_plausible(threshold), "rep_a long, rep_b long, times long"), "tries")
-    links, comp = None, None
-    for _ in range(ROUNDS):
-        left = tries if comp is None else _apart(tries, comp)
-        best = left.groupBy("rep_a").agg(F.max_by("rep_b", F.struct("times", "rep_b")).alias("rep_b"))
-        got = saved(_checked(texts, best.select(F.col("rep_b").alias("hub"), F.col("rep_a").alias("member")), threshold, width), "links")
-        links = got if links is None else links.union(got)
-        comp = saved(components(links), "components")
-        tries = saved(tries.join(best, ["rep_a", "rep_b"], "left_anti"), "tries")
-
-    named = saved(rep.join(comp, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
-    side = named.select("key", "component")
-    open_hubs = (
-        pairs.select("key", "hub")
-        .join(side, "key")
-        .join(side.select(F.col("key").alias("hub"), F.col("component").alias("hub_component")), "hub")
-        .where("component <> hub_component")
-        .select("hub")
-        .distinct()
+    packed = base.select("text").mapInArrow(_emit(threshold, width, buckets), "bucket int, keys binary, sigs binary")
+    group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"))
+    member = saved(classes.join(group, F.col("ka") == F.col("id")).drop("id").withColumnRenamed("component", "c").withColumn("node", F.monotonically_increasing_id()), "members")
+    texts = base.select("h", "text")
+    units = Units(texts, threshold, width, unit_sets, unit_shingles)
+    found, large = units.compare_small(member)
+    if large is not None:
+        finer, larger = units.compare_small(units.refined(large))
+        found += finer + (units.compare_large(larger) if larger is not None else [])
+    label = reduce(DataFrame.union, found).select(F.col("ka").alias("ga"), F.col("kb").alias("gb"), *_FIRST)
+    named = classes.join(label, (F.col("ka") == F.col("ga")) & (F.col("kb") == F.col("gb")), "left").select(
+        "ka", "kb", *(F.when(F.col("ga").isNull(), classes[own]).otherwise(label[of]).alias(of) for own, of in zip(("no_id", "doc_id", "h"), _FIRST, strict=True))
     )
-    opened = groups.join(open_hubs, "hub", "left_semi").groupBy("gid").agg(F.first("members").alias("members"))
-    opened = opened.select("gid", F.ceil(F.size("members") / BLOCK_ROWS).cast("int").alias("chunks"), F.explode("members").alias("key"))
-    member = opened.join(named, "key").join(marks, "key").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.col("chunks")).cast("int"))
-    blocks = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
-    blocks = blocks.withColumn("task", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(4 * buckets)).cast("int"))
-    may = blocks.groupBy("task").applyInPandas(_cross(threshold), "a long, b long").distinct()
-    more = saved(_checked(texts, may.select(F.col("a").alias("hub"), F.col("b").alias("member")), threshold, width), "links")
-    comp = components(links.union(more))
-
-    final = rep.join(comp, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    found = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    return found.join(final, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _checked(docs: DataFrame, wanted: DataFrame, threshold: Fraction, width: int) -> DataFrame:
-    """Those pairs (hub, member) of doc_ids whose texts link, as (a, b).
+    out = rows.join(named, ["ka", "kb"], "left")
+    alone = F.col("n") == 0
+    out = saved(
+        out.select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(alone, F.col("doc_id")).when(~F.col("no_id"), F.col("first_id")).alias("component_id"),
+            (alone | (F.col("h") == F.col("first_h")) & (F.col("no_id") | F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)))).alias("kept"),
+            F.col("h").alias("row"),
+        ),
+        "jaccard",
+    )
+    for df in (rows, member, *found, *units.held):
+        drop_saved(df)
+    return out
+
+
+class Units:
+    """Exact comparison of candidate groups (column c of members), each on the texts of its sets."""
+
+    COLS = ("node", "ka", "kb", "no_id", "doc_id", "h")
+
+    def __init__(self, texts: DataFrame, threshold: Fraction, width: int, unit_sets: int, unit_shingles: int):
+        self.texts, self.threshold, self.width, self.unit_sets, self.unit_shingles = texts, threshold, width, unit_sets, unit_shingles
+        self.held: list[DataFrame] = []
+
+    def _compared(self, cells: DataFrame, shingles: int, final: bool) -> DataFrame:
+        """Cells have unit, l, r, component and COLS."""
+        tasks = max(8, -(-shingles // TASK))
+        rows = self.texts.join(cells, "h").withColumn("task", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(tasks)))
+        return saved(rows.groupBy("task").applyInArrow(_compare(self.threshold, self.width, final), _FINAL if final else "a long, b long"), "compared")
+
+    def compare_small(self, member: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+        """First rows of the components of groups of one unit; the members of larger groups, with the parts these have, or None."""
+        sizes = member.groupBy("c").agg(F.count("*").alias("sets"), F.sum("n").alias("words"), F.min("node").alias("low"), F.max("node").alias("high"))
+        parts = F.ceil(F.greatest(F.col("sets") / self.unit_sets, F.col("words") / self.unit_shingles)).cast("int")
+        sizes = saved(sizes.withColumn("parts", parts).withColumnRenamed("c", "c2"), "sizes")
+        self.held.append(sizes)
+        total = sizes.agg(F.sum(F.when(F.col("parts") == 1, F.col("words"))).alias("small"), F.max("parts").alias("parts")).first()
+        small = member.join(sizes.where("parts = 1").select("c2"), F.col("c") == F.col("c2"))
+        small = small.select(F.col("c").alias("unit"), F.col("node").alias("component"), F.lit(True).alias("l"), F.lit(True).alias("r"), *self.COLS)
+        found = self._compared(small, total.small or 0, True)
+        if (total.parts or 0) <= 1:
+            return [found], None
+        large = saved(member.join(sizes.where("parts > 1").drop("words", "sets"), F.col("c") == F.col("c2")).drop("c2"), "large")
+        self.held.append(large)
+        return [found], large
+
+    def refined(self, large: DataFrame) -> DataFrame:
+        """Members of large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
+        buckets = max(8, min(1 << 16, -(-(large.agg(F.sum("n")).first()[0] or 0) // BUCKET)))
+        texts = self.texts.join(large.select("h", "node", "ka", "kb"), "h")
+        packed = texts.mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
+        group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"))
+        out = saved(large.drop("c", "parts", "low", "high").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c"), "refined")
+        self.held.append(out)
+        return out
 
-    A hub's members are cut into parts of about HUB_ROWS; the hub's text goes to each of
-    them.  Equal doc_ids with several texts: each text is compared.
-    """
-    wanted = saved(wanted.where("hub <> member").distinct(), "wanted")
-    degree = wanted.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
-    member = wanted.join(degree, "hub").select(F.col("member").alias("id"), "hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
-    hub = degree.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    roles = member.union(hub)
-    texts = docs.join(roles.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "hub", "part", "is_hub", "text")
-    return texts.groupBy("hub", "part").applyInPandas(_verify(threshold, width), "a long, b long")
+    def compare_large(self, large: DataFrame) -> list[DataFrame]:
+        """First rows of the components of groups of several parts."""
+        flags = F.lit(True).alias("l"), F.lit(True).alias("r")
+        big = large.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        shingles = large.agg(F.sum("n")).first()[0]
+        common = (F.col("node") == F.col("low")) | (F.col("node") == F.col("high"))
+        dealt = big.withColumn("part", F.explode(F.when(common, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
+        links = self._compared(dealt.select(F.xxhash64("c", "part").alias("unit"), F.col("node").alias("component"), *flags, *self.COLS), shingles, False)
+        comp = components(links)
+        rows = saved(big.join(comp, F.col("node") == F.col("id"), "left").drop("id").withColumn("component", F.coalesce("component", "node")), "named")
+        many = rows.groupBy("c", "component").agg(F.count("*").alias("k"))
+        main = many.groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+        main = main.withColumn("pieces", F.ceil((F.col("all") - F.col("most")) / self.unit_sets).cast("int")).where("pieces > 0").select(F.col("c").alias("c2"), "main", "pieces")
+        main = saved(main, "main")
+        open_ = rows.join(main, F.col("c") == F.col("c2")).drop("c2")
+        rest = open_.where("component <> main").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(5)), F.col("pieces")).cast("int"))
+        x = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("l", F.lit(True)).withColumn("r", F.lit(False))
+        y = open_.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("l", F.lit(False)).withColumn("r", F.lit(True))
+        cells = x.unionByName(y).select(F.xxhash64("c", "piece", "part").alias("unit"), "l", "r", "component", *self.COLS)
+        more = self._compared(cells, shingles * max(1, main.agg(F.max("pieces")).first()[0] or 1), False)
+        last = components(links.union(more))
+        done = big.join(last, F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component", "node"))
+        least = done.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "h")).alias("first"))
+        out = saved(done.select("ka", "kb", "component").join(least, "component").select("ka", "kb", "first.*").toDF("ka", "kb", *_FIRST), "large-found")
+        self.held += [links, rows, main, more]
+        return [out]
