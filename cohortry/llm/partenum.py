@@ -489,12 +489,8 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
     packed = base.select("text").mapInArrow(_emit(threshold, width, buckets), "bucket int, keys binary, sigs binary")
     group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"))
     member = saved(classes.join(group, F.col("ka") == F.col("id")).drop("id").withColumnRenamed("component", "c").withColumn("node", F.monotonically_increasing_id()), "members")
-    texts = base.select("h", "text")
-    units = Units(texts, threshold, width, unit_sets, unit_shingles)
-    found, large = units.compare_small(member)
-    if large is not None:
-        finer, larger = units.compare_small(units.refined(large))
-        found += finer + (units.compare_large(larger) if larger is not None else [])
+    units = Units(threshold, width, unit_sets, unit_shingles)
+    found = units.settle(member, base.select("h", "text"), "h", units.refine)
     label = reduce(DataFrame.union, found).select(F.col("ka").alias("ga"), F.col("kb").alias("gb"), *_FIRST)
     named = classes.join(label, (F.col("ka") == F.col("ga")) & (F.col("kb") == F.col("gb")), "left").select(
         "ka", "kb", *(F.when(F.col("ga").isNull(), classes[own]).otherwise(label[of]).alias(of) for own, of in zip(("no_id", "doc_id", "h"), _FIRST, strict=True))
@@ -511,7 +507,7 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
         ),
         "jaccard",
     )
-    for df in (rows, member, *found, *units.held):
+    for df in (rows, member, *units.held):
         drop_saved(df)
     return out
 
@@ -521,65 +517,63 @@ class Units:
 
     COLS = ("node", "ka", "kb", "no_id", "doc_id", "h")
 
-    def __init__(self, texts: DataFrame, threshold: Fraction, width: int, unit_sets: int, unit_shingles: int):
-        self.texts, self.threshold, self.width, self.unit_sets, self.unit_shingles = texts, threshold, width, unit_sets, unit_shingles
+    def __init__(self, threshold: Fraction, width: int, unit_sets: int, unit_shingles: int):
+        self.threshold, self.width, self.unit_sets, self.unit_shingles = threshold, width, unit_sets, unit_shingles
         self.held: list[DataFrame] = []
 
+    def _saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(saved(df, name))
+        return self.held[-1]
+
     def _compared(self, cells: DataFrame, shingles: int, final: bool) -> DataFrame:
-        """Cells have unit, l, r, component and COLS."""
+        """Cells have unit, l, r, component, text and COLS."""
         tasks = max(8, -(-shingles // TASK))
-        rows = self.texts.join(cells, "h").withColumn("task", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(tasks)))
-        return saved(rows.groupBy("task").applyInArrow(_compare(self.threshold, self.width, final), _FINAL if final else "a long, b long"), "compared")
+        rows = cells.withColumn("task", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(tasks)))
+        return self._saved(rows.groupBy("task").applyInArrow(_compare(self.threshold, self.width, final), _FINAL if final else "a long, b long"), "compared")
+
+    def settle(self, member: DataFrame, texts: DataFrame, on: str, further) -> list[DataFrame]:
+        """First rows of the components: groups of one unit are compared here, larger ones go ``further``.
 
-    def compare_small(self, member: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-        """First rows of the components of groups of one unit; the members of larger groups, with the parts these have, or None."""
+        The texts of all members are picked once, with what is to be known of their groups.
+        """
         sizes = member.groupBy("c").agg(F.count("*").alias("sets"), F.sum("n").alias("words"), F.min("node").alias("low"), F.max("node").alias("high"))
         parts = F.ceil(F.greatest(F.col("sets") / self.unit_sets, F.col("words") / self.unit_shingles)).cast("int")
-        sizes = saved(sizes.withColumn("parts", parts).withColumnRenamed("c", "c2"), "sizes")
-        self.held.append(sizes)
-        total = sizes.agg(F.sum(F.when(F.col("parts") == 1, F.col("words"))).alias("small"), F.max("parts").alias("parts")).first()
-        small = member.join(sizes.where("parts = 1").select("c2"), F.col("c") == F.col("c2"))
-        small = small.select(F.col("c").alias("unit"), F.col("node").alias("component"), F.lit(True).alias("l"), F.lit(True).alias("r"), *self.COLS)
-        found = self._compared(small, total.small or 0, True)
-        if (total.parts or 0) <= 1:
-            return [found], None
-        large = saved(member.join(sizes.where("parts > 1").drop("words", "sets"), F.col("c") == F.col("c2")).drop("c2"), "large")
-        self.held.append(large)
-        return [found], large
-
-    def refined(self, large: DataFrame) -> DataFrame:
-        """Members of large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
-        buckets = max(8, min(1 << 16, -(-(large.agg(F.sum("n")).first()[0] or 0) // BUCKET)))
-        texts = self.texts.join(large.select("h", "node", "ka", "kb"), "h")
-        packed = texts.mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
+        sizes = self._saved(sizes.withColumn("parts", parts).withColumnRenamed("c", "c2"), "sizes")
+        total = sizes.agg(F.sum(F.when(F.col("parts") == 1, F.col("words"))).alias("small"), F.sum(F.when(F.col("parts") > 1, F.col("words"))).alias("large")).first()
+        dealt = member.join(sizes.drop("sets", "words"), F.col("c") == F.col("c2")).drop("c2")
+        rows = self._saved(texts.join(dealt, on), "grouped")
+        small = rows.where("parts = 1").select(F.col("c").alias("unit"), F.col("node").alias("component"), F.lit(True).alias("l"), F.lit(True).alias("r"), "text", *self.COLS)
+        found = [self._compared(small, total.small or 0, True)]
+        return found + (further(rows.where("parts > 1"), total.large) if total.large else [])
+
+    def refine(self, large: DataFrame, shingles: int) -> list[DataFrame]:
+        """Large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
+        buckets = max(8, min(1 << 16, -(-shingles // BUCKET)))
+        packed = large.select("text", "node", "ka", "kb").mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
         group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"))
-        out = saved(large.drop("c", "parts", "low", "high").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c"), "refined")
-        self.held.append(out)
-        return out
+        finer = large.drop("c", "parts", "low", "high", "text").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c")
+        return self.settle(self._saved(finer, "finer"), large.select("node", "text"), "node", self.compare_parts)
 
-    def compare_large(self, large: DataFrame) -> list[DataFrame]:
-        """First rows of the components of groups of several parts."""
-        flags = F.lit(True).alias("l"), F.lit(True).alias("r")
+    def compare_parts(self, large: DataFrame, shingles: int) -> list[DataFrame]:
+        """Groups of several parts: each part for itself with two common sets, then what is not in a group's main component with all others."""
+        cols = (*self.COLS, "text")
         big = large.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        shingles = large.agg(F.sum("n")).first()[0]
         common = (F.col("node") == F.col("low")) | (F.col("node") == F.col("high"))
         dealt = big.withColumn("part", F.explode(F.when(common, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
-        links = self._compared(dealt.select(F.xxhash64("c", "part").alias("unit"), F.col("node").alias("component"), *flags, *self.COLS), shingles, False)
-        comp = components(links)
-        rows = saved(big.join(comp, F.col("node") == F.col("id"), "left").drop("id").withColumn("component", F.coalesce("component", "node")), "named")
+        links = self._compared(dealt.select(F.xxhash64("c", "part").alias("unit"), F.col("node").alias("component"), F.lit(True).alias("l"), F.lit(True).alias("r"), *cols), shingles, False)
+        rows = big.drop("text").join(components(links), F.col("node") == F.col("id"), "left").drop("id").withColumn("component", F.coalesce("component", "node"))
+        rows = self._saved(rows, "named")
         many = rows.groupBy("c", "component").agg(F.count("*").alias("k"))
         main = many.groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
         main = main.withColumn("pieces", F.ceil((F.col("all") - F.col("most")) / self.unit_sets).cast("int")).where("pieces > 0").select(F.col("c").alias("c2"), "main", "pieces")
-        main = saved(main, "main")
+        main = self._saved(main, "main")
         open_ = rows.join(main, F.col("c") == F.col("c2")).drop("c2")
         rest = open_.where("component <> main").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(5)), F.col("pieces")).cast("int"))
         x = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("l", F.lit(True)).withColumn("r", F.lit(False))
         y = open_.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("l", F.lit(False)).withColumn("r", F.lit(True))
         cells = x.unionByName(y).select(F.xxhash64("c", "piece", "part").alias("unit"), "l", "r", "component", *self.COLS)
+        cells = cells.join(large.select("node", "text"), "node")
         more = self._compared(cells, shingles * max(1, main.agg(F.max("pieces")).first()[0] or 1), False)
-        last = components(links.union(more))
-        done = big.join(last, F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component", "node"))
+        done = rows.drop("component").join(components(links.union(more)), F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component", "node"))
         least = done.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "h")).alias("first"))
-        out = saved(done.select("ka", "kb", "component").join(least, "component").select("ka", "kb", "first.*").toDF("ka", "kb", *_FIRST), "large-found")
-        self.held += [links, rows, main, more]
-        return [out]
+        return [self._saved(done.select("ka", "kb", "component").join(least, "component").select("ka", "kb", "first.*").toDF("ka", "kb", *_FIRST), "large-found")]
