@@ -140,3 +140,25 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     begin = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(begin - starts, counts)
+
+
+def pack_sorted(v: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte plane by byte plane: the higher planes are nearly all zero, so that block compression takes them away."""
+    v = v.astype(np.uint64)
+    step = np.diff(v, prepend=np.uint64(0))
+    return step.astype("<u8").view(np.uint8).reshape(len(v), 8).T.tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    """The numbers of ``pack_sorted``."""
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Numbers in 64 bits, plane by plane."""
+    return n.astype("<u8").view(np.uint8).reshape(len(n), 8).T.tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)

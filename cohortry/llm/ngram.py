@@ -7,17 +7,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
 from .common import drop_saved, fresh, release, saved
+from .files import map_file, put_file
 
 END = int(arrays.mix64(np.array([0x656E64], np.uint64))[0])
 #: Tokens that a task holds before it hands counts on, and those of a bucket.
 FLUSH, BUCKET = 1 << 22, 1 << 22
+#: Bytes of buckets that a worker keeps where the shared folder can't be mapped.
+KEPT = 512 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,25 +35,86 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _write(path: str, *columns: np.ndarray) -> None:
-    """Puts arrays, one after the other, into a file of the shared folder; it appears whole or not at all."""
-    fs, base = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-    folder, _, name = base.rpartition("/")
-    fs.create_dir(folder, recursive=True)
-    part = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(part) as f:
-        for c in columns:
-            f.write(np.ascontiguousarray(c).tobytes())
-    fs.move(part, base)
+class Keys:
+    """Sorted 64-bit keys, kept as their low 32 bits and where each value of the high ones begins."""
 
+    def __init__(self, high: np.ndarray, begin: np.ndarray, low: np.ndarray):
+        self.high, self.begin, self.low = high, begin, low
 
-def _map(path: str) -> np.ndarray:
-    """A file of ``_write`` as bytes: mapped where the shared folder is a mounted one, else read."""
-    fs, base = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(base, np.uint8, "r")
-    with fs.open_input_file(base) as f:
-        return np.frombuffer(f.read(), np.uint8)
+    def __len__(self) -> int:
+        return len(self.low)
+
+    @staticmethod
+    def split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        high = key >> np.uint64(32)
+        begin = np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1]))) if len(key) else np.zeros(0, np.int64)
+        return high[begin], begin.astype(np.int64), key.astype(np.uint32)
+
+    def all(self) -> np.ndarray:
+        return (np.repeat(self.high, np.diff(np.append(self.begin, len(self.low)))) << np.uint64(32)) | self.low
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Places of ascending keys, -1 where there is none: binary search in the range of the high bits, all keys step by step."""
+        high, low = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.high, high), max(0, len(self.high) - 1))
+        out = np.full(len(key), -1, np.int64)
+        if not len(self.low):
+            return out
+        hit = np.flatnonzero(self.high[at] == high)
+        at, low = at[hit], low[hit]
+        a, b = self.begin[at], np.append(self.begin[1:], len(self.low))[at]
+        end = b.copy()
+        for _ in range(int((b - a).max(initial=0)).bit_length()):
+            mid = (a + b) >> 1
+            less = (a < b) & (self.low[np.minimum(mid, len(self.low) - 1)] < low)
+            b = np.where(less, b, mid)
+            a = np.where(less, mid + 1, a)
+        found = a < end
+        found[found] = self.low[a[found]] == low[found]
+        out[hit[found]] = a[found]
+        return out
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        return (self.high[np.searchsorted(self.begin, at, side="right") - 1] << np.uint64(32)) | self.low[at]
+
+
+class Small:
+    """Counts of one or more columns in a byte each; rows with a larger one stand apart."""
+
+    def __init__(self, low: np.ndarray, row: np.ndarray, value: np.ndarray):
+        self.low, self.row, self.value = low, row, value
+
+    @staticmethod
+    def split(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = c.reshape(len(c), -1)
+        row = np.flatnonzero((c > 254).any(axis=1))
+        low = np.minimum(c, 254).astype(np.uint8)
+        low[row] = 255
+        return low, row.astype(np.int64), c[row].astype(np.int64)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        out = self.low[at].astype(np.int64)
+        large = np.flatnonzero(out[:, 0] == 255)
+        out[large] = self.value[np.searchsorted(self.row, at[large])]
+        return out
+
+
+def _put(path: str, *parts: np.ndarray) -> None:
+    """Arrays with a line of their lengths in front (each begins at a multiple of 8 bytes)."""
+    sizes = np.array([len(parts), *(p.nbytes for p in parts)], np.int64)
+    put_file(path, sizes, *(np.ascontiguousarray(p).tobytes() + bytes(-p.nbytes % 8) for p in parts))
+
+
+def _parts(path: str) -> tuple[list[np.ndarray], int]:
+    """The arrays of ``_put`` as bytes, and how much memory they take (0: mapped)."""
+    raw = map_file(path)
+    n = int(raw[:8].view(np.int64)[0])
+    sizes = raw[8 : 8 + 8 * n].view(np.int64).tolist()
+    out, at = [], 8 + 8 * n
+    for size in sizes:
+        out.append(raw[at : at + size])
+        at += size + -size % 8
+    return out, 0 if isinstance(raw, np.memmap) else raw.nbytes
 
 
 @dataclass
@@ -94,19 +156,29 @@ class Model:
         self.__dict__.update(state)
         self._held = {}
 
-    def part(self, kind: str, k: int, b: int) -> tuple:
-        """Arrays of a bucket of level k: words (hashes, counts); grams (keys); counts (of the highest level, else continuations); contexts (total, ones, twos, more)."""
-        if (kind, k, b) not in self._held:
-            n = self.sizes[k - 1][b]
-            shape = {"words": ((np.uint64, 1), (np.int64, 1)), "grams": ((np.uint64, 1),), "counts": ((np.uint32, 1),), "contexts": ((np.uint32, 4),)}[kind]
-            out, at = [], 0
-            raw = _map(f"{self.folder}/{kind}-{k}-{b}") if n and (kind != "contexts" or b in self.followed[k - 1]) else np.zeros(n * 16, np.uint8)
-            for t, m in shape:
-                size = np.dtype(t).itemsize * n * m
-                out.append(raw[at : at + size].view(t).reshape((n, m) if m > 1 else n))
-                at += size
-            self._held[(kind, k, b)] = tuple(out)
-        return self._held[(kind, k, b)]
+    def part(self, kind: str, k: int, b: int):
+        """A bucket of level k: words (hashes, counts), grams (Keys), counts (of the highest level, else continuations), contexts (total, ones, twos, more)."""
+        at = (kind, k, b)
+        if at in self._held:
+            found, _ = self._held[at] = self._held.pop(at)  # now the last used
+            return found
+        n = self.sizes[k - 1][b]
+        if not n or kind == "contexts" and b not in self.followed[k - 1]:
+            none = np.zeros(0, np.int64)
+            found, size = (np.zeros(0, np.uint64), none) if kind == "words" else Keys(none.astype(np.uint64), none, none.astype(np.uint32)) if kind == "grams" else Small(np.zeros((n, 4 if kind == "contexts" else 1), np.uint8), none, none), 0
+        else:
+            raw, size = _parts(f"{self.folder}/{kind}-{k}-{b}")
+            if kind == "words":
+                found = raw[0].view(np.uint64), raw[1].view(np.int64)
+            elif kind == "grams":
+                found = Keys(raw[0].view(np.uint64), raw[1].view(np.int64), raw[2].view(np.uint32))
+            else:
+                m = 4 if kind == "contexts" else 1
+                found = Small(raw[0].reshape(n, m), raw[1].view(np.int64), raw[2].view(np.int64).reshape(-1, m))
+        self._held[at] = found, size
+        while sum(s for _, s in self._held.values()) > KEPT and len(self._held) > 1:
+            self._held.pop(next(iter(self._held)))
+        return found
 
     def first_id(self, k: int) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(self.sizes[k - 1])))
@@ -152,10 +224,8 @@ class Model:
         cut = np.searchsorted(of[rank], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = rank[cut[b] : cut[b + 1]]
-            keys = self.part("grams", k, b)[0]
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
-                out[own] = np.where(keys[i] == key[own], first[b] + i, -1)
+            at = self.part("grams", k, b).find(key[own])
+            out[own] = np.where(at >= 0, first[b] + at, -1)
         return out
 
     def column(self, kind: str, k: int, ids: np.ndarray) -> np.ndarray:
@@ -165,7 +235,8 @@ class Model:
         cut = np.searchsorted(ids[order], first)
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[b] : cut[b + 1]]
-            out[own] = self.part(kind, k, b)[0][ids[own] - first[b]]
+            found = self.part(kind, k, b).take(ids[own] - first[b])
+            out[own] = found[:, 0] if kind == "counts" else found
         return out
 
     def follow(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +267,10 @@ class Model:
         stats = np.stack([np.add.reduceat(x, begin, dtype=np.int64) for x in (c, c == 1, c == 2, c > 2)], axis=1)
         context, hot = context[begin], self.hot[k - 2]
         is_hot = np.isin(context, hot)
-        table = np.zeros((self.sizes[k - 2][b], 4), np.uint32)
+        table = np.zeros((self.sizes[k - 2][b], 4), np.int64)
         table[context[~is_hot] - self.first_id(k - 1)[b]] = stats[~is_hot]
         if len(table):
-            _write(f"{self.folder}/contexts-{k - 1}-{b}", table)
+            _put(f"{self.folder}/contexts-{k - 1}-{b}", *Small.split(table))
         rows = np.zeros((len(hot), 4), np.int64)
         rows[np.searchsorted(hot, context[is_hot])] = stats[is_hot]
         return rows
@@ -258,7 +329,7 @@ def _packed(buckets_of, schema: list[str]):
         rows = []
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(of)).tolist(), strict=False):
             v, n = np.unique(values[a:b], return_counts=True)
-            rows.append((int(of[a]), v[n == 1].tobytes(), v[n > 1].tobytes(), n[n > 1].astype(np.uint32).tobytes()))
+            rows.append((int(of[a]), arrays.pack_sorted(v[n == 1]), arrays.pack_sorted(v[n > 1]), arrays.pack_counts(n[n > 1])))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=schema)
 
     def run(batches):
@@ -278,9 +349,12 @@ def _packed(buckets_of, schema: list[str]):
 
 
 def _merge(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    once, more, n = ([np.frombuffer(x, t) for x in frame[c]] for c, t in (("once", np.uint64), ("more", np.uint64), ("n", np.uint32)))
-    v = np.concatenate([*once, *more])
-    c = np.concatenate([np.ones(sum(map(len, once)), np.int64), *(x.astype(np.int64) for x in n)])
+    """Different values of a bucket in ascending order, and how often each was counted."""
+    v, c = [], []
+    for once, more, n in zip(frame["once"], frame["more"], frame["n"], strict=True):
+        v += [arrays.unpack_sorted(once), arrays.unpack_sorted(more)]
+        c += [np.ones(len(v[-2]), np.int64), arrays.unpack_counts(n)]
+    v, c = np.concatenate(v), np.concatenate(c)
     order = np.argsort(v, kind="stable")
     v, c = v[order], c[order]
     begin = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
@@ -320,7 +394,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     def put_words(frame: pd.DataFrame) -> pd.DataFrame:
         v, c = _merge(frame)
         b = int(frame["bucket"].iat[0])
-        _write(f"{folder}/words-1-{b}", v, c)
+        _put(f"{folder}/words-1-{b}", v, c)
         return pd.DataFrame({"bucket": [b], "size": [len(v)], "total": [int(c.sum())], "hot": [often(c)]})
 
     model = Model(folder, buckets, order, 0, discounts=[[]] * order)
@@ -343,8 +417,6 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     add_level(done)
     model.total = sum(r.total for r in done)
     model.hot_stats, model.followed = [np.zeros((0, 4), np.int64)] * (order - 1), [set()] * (order - 1)
-    if model.size >= 2**32 - 1:
-        raise ValueError("more words than 32-bit ids")
     release(docs.sparkSession)
 
     for k in range(2, order + 1):
@@ -365,10 +437,10 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         def put_grams(frame: pd.DataFrame) -> pd.DataFrame:
             b = int(frame["bucket"].iat[0])
             key, c = _merge(frame)
-            _write(f"{folder}/grams-{k}-{b}", key)
+            _put(f"{folder}/grams-{k}-{b}", *Keys.split(key))
             stats = b""
             if k == order:
-                _write(f"{folder}/counts-{k}-{b}", c.astype(np.uint32))
+                _put(f"{folder}/counts-{k}-{b}", *Small.split(c))
                 stats = model.write_contexts(k, b, key, c).tobytes()
             rows = [(0, b, len(key), often(c) if k < order else b"", stats, np.array(_counts_of(c), np.int64).tobytes())]
             del c
@@ -376,8 +448,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             first = model.first_id(k - 1)
             cut = np.searchsorted(short, first)
             for a in np.flatnonzero(np.diff(cut)).tolist():
-                x, m = (short[cut[a] : cut[a + 1]] - first[a]).astype(np.uint32), n[cut[a] : cut[a + 1]].astype(np.uint32)
-                rows.append((1, a, 0, x[m == 1].tobytes(), x[m > 1].tobytes(), m[m > 1].tobytes()))
+                x, m = short[cut[a] : cut[a + 1]] - first[a], n[cut[a] : cut[a + 1]]
+                rows.append((1, a, 0, arrays.pack_sorted(x[m == 1]), arrays.pack_sorted(x[m > 1]), arrays.pack_counts(m[m > 1])))
             return pd.DataFrame(rows, columns=["kind", "bucket", "size", "hot", "stats", "n"])
 
         got = saved(docs.mapInArrow(_packed(grams, _NAMES), _PACKED).groupBy("bucket").applyInPandas(put_grams, "kind int, bucket int, size long, hot binary, stats binary, n binary"), f"ngram-{k}")
@@ -392,10 +464,10 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             b = int(frame["bucket"].iat[0])
             out = np.zeros(model.sizes[k - 2][b], np.int64)
             for x, y, n in zip(frame["hot"], frame["stats"], frame["n"], strict=True):
-                out[np.frombuffer(x, np.uint32)] += 1
-                out[np.frombuffer(y, np.uint32)] += np.frombuffer(n, np.uint32)
-            _write(f"{folder}/counts-{k - 1}-{b}", out.astype(np.uint32))
-            stats = model.write_contexts(k - 1, b, model.part("grams", k - 1, b)[0], out).tobytes() if k > 2 else b""
+                out[arrays.unpack_sorted(x).astype(np.int64)] += 1
+                out[arrays.unpack_sorted(y).astype(np.int64)] += arrays.unpack_counts(n)
+            _put(f"{folder}/counts-{k - 1}-{b}", *Small.split(out))
+            stats = model.write_contexts(k - 1, b, model.part("grams", k - 1, b).all(), out).tobytes() if k > 2 else b""
             return pd.DataFrame({"bucket": [b], "total": [int(out.sum())], "n": [[*_counts_of(out), int((out > 2).sum())]], "stats": [stats]})
 
         cont = saved(got.where("kind = 1").groupBy("bucket").applyInPandas(put_continuations, "bucket int, total long, n array<long>, stats binary"), f"ngram-cont-{k - 1}").collect()
@@ -412,7 +484,10 @@ def train(docs: DataFrame, order: int = 2) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) to every row; a null text scores as an empty one, its end alone."""
+    """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) to every row; a null text scores as an empty one, its end alone.
+
+    A column named like an added one is replaced; an empty table gives no rows.
+    """
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*set(added) - {text})
 
