@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays
 
@@ -166,16 +167,21 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
     """Adds lang_pred and score (0 to 1) to every row; ``und`` and 0 where the text is null or has no letter, or nothing was learned.
 
     The score is the best decision's share: decisions (-1 to 1) brought to 0 to 1 and
-    divided by their sum.  Of equal decisions the first language by code point wins.
+    divided by their sum.  Of equal decisions the first language by code point wins.  A column
+    named like an added one is replaced; an empty table gives no rows.
     """
-    docs = docs.drop(*{"lang_pred", "score", "_letter"} - {text}).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    kept = [f for f in docs.schema if f.name != "_letter"]
+    docs = docs.drop(*{"lang_pred", "score"} - {text})
+    letter = "_letter"
+    while letter in docs.columns:
+        letter += "_"
+    kept = docs.schema.fields
+    docs = docs.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         for batch in batches:
             for part in arrays.slices(batch, text):
                 data, off = arrays.buffers(part.column(text))
-                ok = part.column("_letter").to_numpy(zero_copy_only=False)
+                ok = part.column(letter).to_numpy(zero_copy_only=False)
                 if model is None:
                     lang, score = np.full(len(ok), "und", object), np.zeros(len(ok))
                 else:
@@ -185,8 +191,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
                     score = np.where(ok, p.max(axis=1) / p.sum(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def train(docs: DataFrame, *, per_lang: int = 500, most_chars: int = 20000, **options) -> LanguageModel | None:

@@ -127,6 +127,14 @@ class PieceModel:
         at = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == 6}
         return [at[f"<0x{b:02X}>"] for b in range(256)]
 
+    @cached_property
+    def characters(self) -> set[str]:
+        return set("".join(self.pieces))
+
+    def absent(self, text: str) -> str:
+        """A character that neither the text nor a piece has."""
+        return next(c for c in map(chr, range(0x10FFFF, 0xE000, -1)) if c not in text and c not in self.characters)
+
     @cached_property
     def splits_at_marks(self) -> bool:
         """Whether no piece has the mark after another character: then best paths of the runs ``MARK+ other*`` join to the best path."""
@@ -194,7 +202,7 @@ class Codec:
         got = self.cache.get(key)
         if got is None:
             text = raw.decode("utf-8", "surrogatepass")
-            stand_in = "\U0010ffff" if MARK in text and "\U0010ffff" not in text else ""
+            stand_in = self.model.absent(text) if MARK in text else ""
             text = (MARK if first else "") + text.replace(MARK, stand_in or MARK).replace(" ", MARK)
             got = np.array(self.model.viterbi(text, stand_in), np.int32)
             if len(self.cache) >= CACHE:
@@ -259,6 +267,8 @@ def encode(df: DataFrame, text: str, model: str | None = None, *, out: str = "pi
     to ``addFile``.  No row moves: documents are encoded where they are read, segment by
     segment, each different segment of a batch once.  With ``verify`` the ids are decoded
     again and ``decoded_sha256`` (of the decoded text) and ``exact`` (whether it is the text) are added.
+    A column named like an added one is replaced; an empty table gives no rows; repeated rows
+    and very long texts are encoded whole, each for itself.
     """
     path = model or default_model()
     extra = ", decoded_sha256 string, exact boolean" if verify else ""

@@ -120,12 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, most_cha
     The sample is bounded: about ``per_class`` rows of each class, by a hash of doc_id, of
     texts of up to ``most_chars`` code points.  Labels are the small side of the join: their
     sample is broadcast, its bound known.  Rows with a null label or doc_id are not used; a
-    doc_id with several labels counts with each.
+    doc_id with several labels counts with each.  A count above 65535 of one n-gram bucket in a
+    text (more than such texts have) counts as that.
     """
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, per_class / max(1, n.get(1, 0)))).otherwise(min(1.0, per_class / max(1, n.get(0, 0))))
-    few = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * per_class)
+    few = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    few = few.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(4 * per_class)  # a bound for doc_ids with very many labels
     rows = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
 
     def run(batches):
@@ -147,7 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, most_cha
 
 
 def score(docs: DataFrame, model: QualityModel, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Adds score (probability of label 1) and predicted (1 if it reaches the threshold) to every row; a null or empty text gets the score of no features."""
+    """Adds score (probability of label 1) and predicted (1 if it reaches the threshold) to every row; a null or empty text gets the score of no features.
+
+    A column named like an added one is replaced; an empty table gives no rows.
+    """
     docs = docs.drop(*{"score", "predicted"} - {text})
     vectors = (model.vectors @ (model.output[:, 1:] - model.output[:, :1])).astype(np.float32)
     small = QualityModel(vectors, np.array([[0.0, 1.0]]), model.bias)  # tasks get one number a bucket

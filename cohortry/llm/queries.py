@@ -11,11 +11,11 @@ from .common import documents
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document, and to which shards the splitting tree deals it."""
     from .mixing import mix
 
     plan = mix(documents(spark, sf_dir), ["doc_id"])
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"), F.col("draws.shard").alias("shards"))
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
