@@ -26,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     least = 1.1 / max(1, len(model.langs)) if model and len(model.langs) > 1 else 0.0
     found = (F.col("lang_pred") != "und") & (F.col("score") >= least) if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = langid.predict(docs, model).where(found)
-    return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), "text")
+    rows = langid.predict(rows, model).where(found)
+    return rows.select(F.col("d").withField("lang", F.coalesce("d.lang", "lang_pred")).alias("d")).select("d.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes from each source the words that its weight asks for, some documents several times, shuffled in shards."""
-    columns = [c for c in docs.columns]
-    return mixing.mixed(mixing.mix(docs, columns), columns)
+    return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
