@@ -16,9 +16,9 @@ from .files import map_file, put_file
 
 END = int(arrays.mix64(np.array([0x656E64], np.uint64))[0])
 #: Tokens that a task holds before it hands counts on, and those of a bucket.
-FLUSH, BUCKET = 1 << 22, 1 << 22
+FLUSH, BUCKET = 1 << 21, 1 << 21
 #: Bytes of buckets that a worker keeps where the shared folder can't be mapped.
-KEPT = 512 << 20
+KEPT = 256 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,10 +340,15 @@ def _packed(buckets_of, schema: list[str]):
                 held.append(got)
                 size += len(got[0])
                 if size >= FLUSH:
-                    yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    packed = pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, size = [], 0
+                    arrays.trim()
+                    yield packed
         if size:
-            yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            packed = pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
+            arrays.trim()
+            yield packed
 
     return run
 
@@ -357,8 +362,11 @@ def _merge(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     v, c = np.concatenate(v), np.concatenate(c)
     order = np.argsort(v, kind="stable")
     v, c = v[order], c[order]
+    del order
     begin = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-    return v[begin], np.add.reduceat(c, begin) if len(begin) else c
+    v, c = v[begin], np.add.reduceat(c, begin) if len(begin) else c
+    arrays.trim()
+    return v, c
 
 
 _PACKED = "bucket int, once binary, more binary, n binary"
@@ -444,6 +452,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
                 stats = model.write_contexts(k, b, key, c).tobytes()
             rows = [(0, b, len(key), often(c) if k < order else b"", stats, np.array(_counts_of(c), np.int64).tobytes())]
             del c
+            arrays.trim()
             short, n = np.unique(model.suffix(k, key), return_counts=True)
             first = model.first_id(k - 1)
             cut = np.searchsorted(short, first)
@@ -497,6 +506,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 n, known, base, own = model.score(*arrays.buffers(part.column(text)))
                 more = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.total), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *added])
+        arrays.trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
