@@ -16,10 +16,17 @@ def windowed(events: DataFrame, outcome: DataFrame, day: str, on: str = "pid") -
     return e.where("t is not null and t >= 0").withColumn("w", time_weight(F.col("t")))
 
 
+def windowed_by_own(events: DataFrame, day: str, on: str = "pid") -> DataFrame:
+    """``windowed`` where a patient's last day is that of their own events: a window over the patient, so the events are made and dealt once."""
+    e = events.withColumn("last", F.max(day).over(Window.partitionBy(on))).withColumn("t", rebase(F.col(day), F.col("last")))
+    return e.where("t is not null and t >= 0").withColumn("w", time_weight(F.col("t")))
+
+
 def code_means(events: DataFrame, code: str, codes: Sequence[str], prefix: str, on: str = "pid") -> DataFrame:
-    """Weight of each code over all the patient's rows, not only those with the code."""
-    n = F.count("*").cast("double")
-    return events.groupBy(on).agg(*((F.sum(F.when(F.col(code) == c, F.col("w")).otherwise(0.0)) / n).alias(f"{prefix}{c}") for c in codes))
+    """Weight of each code over all the patient's rows, not only those with the code.  Weights have four decimals, so they are summed as whole ten-thousandths: no order of summing shows."""
+    n = F.count("*") * 10_000
+    whole = F.round(F.col("w") * 10_000).cast("long")
+    return events.groupBy(on).agg(*((F.sum(F.when(F.col(code) == c, whole).otherwise(0)) / n).alias(f"{prefix}{c}") for c in codes))
 
 
 def acceleration(events: DataFrame, on: str = "pid", t: str = "t") -> DataFrame:

@@ -74,6 +74,59 @@ def select_names(columns: Sequence[str], pattern: str) -> list[str]:
     return [c for c in columns if re.search(pattern, c)]
 
 
+# Helper columns by name, and the prefixes by which columns have their type.
+HELPERS = r"(index|level|Unnamed)"
+TYPE_PREFIXES = {"t_": "condition", "n_": "count", "p_": "share", "tw_": "weighted", "sum_": "sum", "mx_": "maximum", "m_": "mean"}
+
+
+def drop_helpers(df: DataFrame, pattern: str = HELPERS) -> DataFrame:
+    """Without the columns that only came along: saved row numbers and levels."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if not re.search(pattern, c)))
+
+
+def type_census(columns: Sequence[str], prefixes: Mapping[str, str] = TYPE_PREFIXES) -> dict[str, int]:
+    """How many columns each type has by the longest prefix that fits the name after its period (``0_24_``); ``other`` for the rest."""
+    out: dict[str, int] = {}
+    for c in columns:
+        name = re.sub(r"^\d+_\d+_", "", c)
+        kind = next((prefixes[p] for p in sorted(prefixes, key=len, reverse=True) if name.startswith(p)), "other")
+        out[kind] = out.get(kind, 0) + 1
+    return out
+
+
+def drop_shadowed(columns: Sequence[str], prefix: str = "t_") -> list[str]:
+    """Without ``t_x`` where ``x`` itself is among the columns."""
+    have = set(columns)
+    return [c for c in columns if not (c.startswith(prefix) and c.removeprefix(prefix) in have)]
+
+
+def frame_of(spark, nested: Mapping[str, Mapping[str, float]], key: str = "key") -> DataFrame:
+    """A small dict of dicts as a frame: a row for each outer key, a column for each inner one (null where it has none)."""
+    cols = sorted({c for v in nested.values() for c in v})
+    return spark.createDataFrame([(k, *(None if v.get(c) is None else float(v[c]) for c in cols)) for k, v in nested.items()], f"{key} string, " + ", ".join(f"`{c}` double" for c in cols))
+
+
+def transposed(df: DataFrame, key: str, rows: Sequence[str], name: str = "column") -> DataFrame:
+    """Columns become rows and the named values of ``key`` columns: unpivot, then one aggregation."""
+    value = [c for c in df.columns if c != key]
+    long = df.unpivot([key], value, name, "_v")
+    return long.groupBy(name).agg(*(F.max(F.when(F.col(key) == r, F.col("_v"))).alias(r) for r in rows))
+
+
+def split_sparse(df: DataFrame, cols: Sequence[str], most: float = 0.5) -> tuple[list[str], list[str]]:
+    """Dense and sparse columns: sparse where at most ``most`` of the rows are neither null nor 0.  One pass."""
+    row = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c) != 0).alias(c) for c in cols)).first()
+    sparse = [c for c in cols if row[c] <= most * max(1, row.n)]
+    return [c for c in cols if c not in set(sparse)], sparse
+
+
+def stacked(blocks: Sequence[Sequence[str]], out: str = "features"):
+    """A transformer of column blocks, side by side, to one vector (sparse where that is shorter)."""
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=[c for b in blocks for c in b], outputCol=out, handleInvalid="keep")
+
+
 def period_name(start: int, end: int) -> str:
     return f"{start // 30}_{end // 30}"
 
@@ -85,11 +138,43 @@ def max_abs(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, fl
     return df.withColumns({c: F.col(c).cast("double") / by[c] for c in cols}), by
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float], narrow: int = 1_000_000) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear between ranks) without one task that holds all values.
+
+    A sketch gives bounds around each wanted rank; rows between them are counted, and bounds
+    that still hold more than ``narrow`` rows are drawn closer by another sketch of these.
+    Then only the distinct values between the bounds are sorted.  Null columns give None.
+    """
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        x = df.select(F.col(c).cast("double").alias("x")).where("x is not null")
+        n = x.count()
+        out[c] = [None] * len(at)
+        for k, p in enumerate(at if n else ()):
+            rank = p * (n - 1)
+            lo, hi, part, below, total = None, None, x, 0, n
+            while total > narrow:
+                share = (rank - below) / max(1, total - 1)
+                low, high = part.stat.approxQuantile("x", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 0.001)
+                inside = part.agg(F.count_if(F.col("x") < low).alias("b"), F.count_if(F.col("x") <= high).alias("u")).first()
+                if inside.u - inside.b >= total or not (below + inside.b <= math.floor(rank) and math.ceil(rank) < below + inside.u):
+                    break  # one value holds most rows, or the sketch missed: sort what is left
+                lo, hi = low, high
+                part, below, total = part.where(F.col("x").between(low, high)), below + inside.b, inside.u - inside.b
+            counts = part.groupBy("x").agg(F.count("*").alias("n"))
+            upto = F.sum("n").over(Window.orderBy("x")) + F.lit(below)
+            near = counts.withColumn("upto", upto).where(F.col("upto") > math.floor(rank)).orderBy("x").limit(2).collect()
+            first = near[0].x
+            second = first if near[0].upto > math.ceil(rank) else near[1].x
+            out[c][k] = first + (second - first) * (rank - math.floor(rank))
+    return out
+
+
 def robust(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(x - median) / IQR with exact quantiles; where the IQR is 0 it counts as 1."""
-    row = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in cols)).first()
-    by = {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in cols}
-    return df.withColumns({c: (F.col(c).cast("double") - by[c][0]) / by[c][1] for c in cols}), by
+    row = quantiles(df, cols, (0.25, 0.5, 0.75))
+    by = {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in cols if row[c][1] is not None}
+    return df.withColumns({c: (F.col(c).cast("double") - by[c][0]) / by[c][1] for c in by}), by
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -150,11 +235,20 @@ def phi(df: DataFrame, code: str, cluster: str, compat: bool = False) -> DataFra
     return n.select(code, cluster, F.col("a").alias("n"), F.try_divide(a * d - b * c, F.sqrt((a + b) * (c + d) * (a + c) * (b + d))).alias("phi"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by average ranks of tied scores: equal scores meet in one group first, ranks come from a running sum over the groups of a value range."""
-    g = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(score)) - F.col("n")
-    r = g.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+def auc(df: DataFrame, score: str, label: str, ranges: int = 256) -> DataFrame:
+    """Area under the ROC curve by average ranks of tied scores.
+
+    Equal scores meet in one group; groups are dealt by ranges of scores (bounds from a
+    sketch), a running sum goes over each range, and the ranges' totals, a row each, give
+    where it starts.
+    """
+    bounds = df.select(F.col(score).cast("double").alias("x")).where("x is not null").stat.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
+    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(score))), F.lit(0)) if bounds else F.lit(0)
+    g = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")).withColumn("range", place)
+    totals = g.groupBy("range").agg(F.sum("n").alias("m"))
+    totals = totals.select(F.col("range").alias("r2"), (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("base"))
+    before = F.col("base") + F.sum("n").over(Window.partitionBy("range").orderBy(score)) - F.col("n")
+    r = g.join(totals, F.col("range") == F.col("r2")).withColumn("rank", before + (F.col("n") + 1) / 2.0)
     s = r.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -193,9 +287,29 @@ def correlation_prune(df: DataFrame, cols: Sequence[str], limit: float = config.
 
 
 def folds(df: DataFrame, k: int, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Stratified folds: rows of each label dealt in the order of a hash of their key."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k)).cast("int"))
+    """Stratified folds: rows of each label dealt in the order of a hash of their key.
+
+    The place in that order is counted within 4096 ranges of the hash, so a label's rows are
+    never in one task; the ranges' totals give where each begins.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))).withColumn("_b", F.substring("_h", 1, 3))
+    n = rows.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_b2")).agg(F.count("*").alias("_n"))
+    n = n.withColumn("_base", F.sum("_n").over(Window.partitionBy("_l").orderBy("_b2")) - F.col("_n"))
+    place = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) + F.col("_base")
+    out = rows.join(n, F.col(label).eqNullSafe(F.col("_l")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    return out.withColumn("fold", F.pmod(place, F.lit(k)).cast("int")).drop("_h", "_b", "_l", "_b2", "_n", "_base")
+
+
+def even_split(df: DataFrame, order: str, parts: int, ranges: int = 256) -> DataFrame:
+    """``part`` 1 to ``parts`` of rows in the order of a numeric column without repeats, sizes as even as can be, larger ones first: places are counted within ranges of the column."""
+    bounds = sorted(set(df.stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    rows = df.withColumn("_r", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0))
+    n = rows.groupBy(F.col("_r").alias("_r2")).agg(F.count("*").alias("_n"))
+    n = n.select("_r2", (F.sum("_n").over(Window.orderBy("_r2")) - F.col("_n")).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(order)) + F.col("_base") - 1
+    big, small = F.pmod("_all", F.lit(parts)), F.floor(F.col("_all") / parts)
+    part = F.when(place < big * (small + 1), F.floor(place / (small + 1))).otherwise(big + F.floor((place - big * (small + 1)) / F.greatest(small, F.lit(1))))
+    return rows.join(n, F.col("_r") == F.col("_r2")).withColumn("part", (part + 1).cast("int")).drop("_r", "_r2", "_base", "_all")
 
 
 def any_of(conditions: Sequence[Column]) -> Column:

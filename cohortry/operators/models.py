@@ -11,7 +11,6 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,11 +126,10 @@ def cross_validated_auc(df: DataFrame, cols: Sequence[str], label: str, fold: st
 def stepwise(df: DataFrame, cols: Sequence[str], label: str, *, backward: bool = True, family: str = "binomial") -> list[tuple[list[str], float]]:
     """Stepwise selection by AIC, one column a round: the column sets tried best, with their AIC."""
 
+    from .selection import fitted
+
     def fit(own: Sequence[str]) -> float:
-        if not own:
-            return float("inf")
-        x = assembled(df, own).withColumn("_y", F.col(label).cast("double"))
-        return GeneralizedLinearRegression(family=family, labelCol="_y", maxIter=25).fit(x).summary.aic
+        return fitted(df, own, label, family)["aic"]
 
     now = list(cols) if backward else []
     out = [(now, fit(now))]

@@ -45,9 +45,9 @@ def _bind(tok: Column, modifiers: Sequence[str], mark: str, ahead: bool) -> Colu
 
     def one(x: Column, i: Column) -> Column:
         other = F.get(tok, i + 1 if ahead else i - 1)
-        return F.when(F.coalesce(other.isin(mods), F.lit(False)) & ~x.isin(mods), F.concat(x, F.lit(mark))).otherwise(x)
+        return F.when(~x.isin(mods), F.when(F.coalesce(other.isin(mods), F.lit(False)), F.concat(x, F.lit(mark))).otherwise(x))
 
-    return F.filter(F.transform(tok, one), lambda x: ~x.isin(mods))
+    return F.filter(F.transform(tok, one), lambda x: x.isNotNull())
 
 
 def bind_modifiers(df: DataFrame, col: str, *, neg_prefix: Sequence[str] = (), pos_prefix: Sequence[str] = (), neg_suffix: Sequence[str] = (), pos_suffix: Sequence[str] = ()) -> DataFrame:
@@ -58,22 +58,45 @@ def bind_modifiers(df: DataFrame, col: str, *, neg_prefix: Sequence[str] = (), p
     return df
 
 
-#: Classes of the additive tokenizer, fixed order: earlier ones win.
-CLASSES = (("meta", r"<<\w+>>"), ("contraction", r"\w+'\w+"), ("hyphen", r"\w+(?:-\w+)+"), ("number", r"\d+(?:[.,]\d+)*"), ("word", r"\w+"), ("punctuation", r"[^\w\s]"))
+# Classes of the additive tokenizer in their order, as (name, token, what is substituted, by what).
+CLASSES = (
+    ("meta_token", r"<[a-zA-Z]+(?:-[0-9]+)?>", r"<([a-zA-Z]+)(-[0-9]+)?>", "<$1>"),
+    ("contraction", r"[a-zA-Z]+'[a-zA-Z]+", r"([a-zA-Z]+)'([a-zA-Z]+)", "$1$2"),
+    ("hyphenation", r"[a-zA-Z]+(?:-[a-zA-Z]+)+", r"([a-zA-Z])-([a-zA-Z])", "$1$2"),
+    ("number", r"[0-9]*[.,]?[0-9]+", r"[0-9]*[.,]?[0-9]+", "<NUM>"),
+    ("punctuation", r"[.,;:!?#$%&*+=~|/\\@^_\"'\[\](){}-]+", r"(?<!\.[a-zA-Z])[.,]+(?![0-9])(?![a-zA-Z]\.)|[;!?]+", "</s>"),
+)
+WORD = "[a-zA-Z]+"
+QUOTES = "[’`]"
+SPARE_META = r"(?!\S*>)"
+# Words that deny or affirm the word behind (prefix) or before them (suffix).
+NEG_PREFIX = ["geen", "zonder", "niet", "niets", "nooit", "tegen", "goed_NEG"]
+POS_PREFIX = ["goede", "goed"]
+NEG_SUFFIX = ["neg", "goed_NEG", "negatief", "heel-negatief", "erg-negatief"]
+POS_SUFFIX = ["pos", "goed", "ja", "positief", "heel-positief", "erg-positief"]
+# End of the fixed values.
 
 
-def additive_tokens(col: Column, substitute: Sequence[str] = (), ignore: Sequence[str] = ()) -> Column:
-    """Tokens of all classes; a substituted class gives its name in angle marks, an ignored one nothing."""
-    every = F.regexp_extract_all(F.lower(col), F.lit("|".join(p for _, p in CLASSES)), F.lit(0))
+def bind_dutch_modifiers(df: DataFrame, col: str) -> DataFrame:
+    """``bind_modifiers`` with the Dutch lists."""
+    return bind_modifiers(df, col, neg_prefix=NEG_PREFIX, pos_prefix=POS_PREFIX, neg_suffix=NEG_SUFFIX, pos_suffix=POS_SUFFIX)
 
-    def name(x: Column) -> Column:
-        out = F.lit("other")
-        for n, p in reversed(CLASSES):
-            out = F.when(x.rlike(f"^(?:{p})$"), n).otherwise(out)
-        return out
 
-    kept = F.filter(every, lambda x: ~name(x).isin(list(ignore))) if ignore else every
-    return F.transform(kept, lambda x: F.when(name(x).isin(list(substitute)), F.concat(F.lit("<<"), name(x), F.lit(">>"))).otherwise(x)) if substitute else kept
+def additive_tokens(col: Column, substitute: Sequence[str] = (), ignore: Sequence[str] = ()) -> Column:
+    """Tokens of all classes and words; null gives none.
+
+    A substituted class is rewritten in the text first (contractions and hyphens are joined,
+    a number is ``<NUM>``, an end of a sentence ``</s>``; nothing inside angle marks) and is no
+    class of its own then; an ignored one is neither rewritten nor found.
+    """
+    text = F.regexp_replace(F.coalesce(col, F.lit("")), QUOTES, "'")
+    found = []
+    for name, token, old, new in CLASSES:
+        if name in substitute:
+            text = F.regexp_replace(text, f"(?:{old}){SPARE_META}" if "|" not in old else f"{old}{SPARE_META}", new)
+        elif name not in ignore:
+            found.append(token)
+    return F.regexp_extract_all(text, F.lit("|".join([*found, WORD])), F.lit(0))
 
 
 def simple_tokens(col: Column, least: int = 2, most: int = 15) -> Column:
@@ -97,6 +120,21 @@ def phrases(docs: DataFrame, tok: str, least: int = 5, threshold: float = 10.0)
     return s.where(F.col("score") > threshold).select("a", "b", "n", "score")
 
 
+def sentence_vectors(tokens: DataFrame, key: str, word: str, words: DataFrame, vector: str, normalise_words: bool = True) -> DataFrame:
+    """(key, vec, n): mean of the vectors of a text's words, each brought to length 1 first; words without a vector are left out.
+
+    tokens: (key, word), one row a token; words: (word, vector).  Vectors are summed place by
+    place in a partial aggregate, so a long text moves one row a place, not its vectors.
+    """
+    from ..functions.scalars import normalise
+
+    v = normalise(F.col(vector)) if normalise_words else F.transform(vector, lambda x: x.cast("double"))
+    known = words.select(F.col(word).alias("_w"), v.alias("_v"))
+    rows = tokens.groupBy(key, word).agg(F.count("*").alias("_c")).join(known, F.col(word) == F.col("_w"))
+    place = rows.select(key, "_c", F.posexplode("_v").alias("_i", "_x")).groupBy(key, "_i").agg((F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_x"), F.sum("_c").alias("_n"))
+    return place.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("vec"), F.max("_n").alias("n"))
+
+
 def topic_terms(rows: DataFrame, topic: str, doc: str, tok: str, weight: str, top: int = 50) -> DataFrame:
     """(topic, word, weight): tf-idf weighted by the document's score, min-max scaled and brought to sum 1 within the topic, best ``top`` words."""
     n = rows.select(doc).distinct().agg(F.count("*").alias("n")).scalar()

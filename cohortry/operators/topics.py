@@ -16,10 +16,21 @@ from ..functions.scalars import normalise
 
 
 def topic_vectors(docs: DataFrame, topic: str, vector: str, noise: int = -1) -> DataFrame:
-    """(topic, vec, size): normalised mean of the member vectors; a map-side combined sum for each topic and place."""
-    rows = docs.where(F.col(topic) != noise)
-    mean = rows.select(topic, F.posexplode(vector).alias("i", "x")).groupBy(topic, "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    out = mean.groupBy(topic).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"), F.max("n").alias("size"))
+    """(topic, vec, size): normalised mean of the member vectors.  Tasks add up the vectors of a batch; only these sums, a vector for each topic and batch, are dealt by topic and place."""
+    kind = docs.schema[topic].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                names, back = np.unique(f[topic].to_numpy(), return_inverse=True)
+                x = np.stack(f[vector].to_numpy()).astype(np.float64)
+                total = np.zeros((len(names), x.shape[1]))
+                np.add.at(total, back, x)
+                yield pd.DataFrame({topic: names, "n": np.bincount(back), "total": list(total)})
+
+    sums = docs.where(F.col(topic) != noise).select(topic, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"`{topic}` {kind}, n long, total array<double>")
+    place = sums.select(topic, "n", F.posexplode("total").alias("i", "x")).groupBy(topic, "i").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    out = place.groupBy(topic).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"), F.max("n").alias("size"))
     return out.select(topic, normalise(F.col("vec")).alias("vec"), "size")
 
 
@@ -92,27 +103,81 @@ def separation(sims: DataFrame, doc: str) -> DataFrame:
     return per.groupBy("topic").agg(F.avg(s).alias("score"))
 
 
-def best_topic_count(vectors: np.ndarray, size: Sequence[int], score, low: int = 2, high: int = 50, points: int = 5) -> int:
-    """Count in [low, high] with the best ``score(vectors)``, by a grid that shrinks around the best point."""
-    seen: dict[int, float] = {}
-    high = min(high, len(vectors))
+#: What each small topic costs, and the share of all documents up to which a topic is small.
+SMALL_PENALTY, SMALL_SHARE = 0.005, 0.005
+
+
+def silhouette(docs: DataFrame, doc: str, vector: str, vectors: np.ndarray) -> tuple[float, list[int]]:
+    """Mean over topics of their separation (0 to 1, 0.5 where a topic has no document), and how many documents each has.
+
+    Of a topic: a is 1 - the mean score of its documents with it, b is 1 - their mean score
+    with all others, both by cosine brought to 0 to 1; (b - a) / max(a, b) is brought to 0 to
+    1 as well.  One pass: batches of documents times the topic matrix, a row of sums a batch.
+    """
+    k = len(vectors)
+    if k < 2:
+        return 0.5, [docs.where(F.col(vector).isNotNull()).count()] * k
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                s = (np.stack(f[vector].to_numpy()).astype(np.float64) @ vectors.T + 1) / 2
+                best = s.argmax(axis=1)
+                own = s[np.arange(len(s)), best]
+                per = [np.bincount(best, x, k) for x in (None, own, (s.sum(axis=1) - own) / (k - 1))]
+                yield pd.DataFrame({"topic": np.arange(k), "n": per[0], "own": per[1], "others": per[2]})
+
+    sums = docs.select(vector).where(F.col(vector).isNotNull()).mapInPandas(run, "topic int, n long, own double, others double")
+    score, size = np.full(k, 0.5), [0] * k
+    for r in sums.groupBy("topic").agg(*(F.sum(c).alias(c) for c in ("n", "own", "others"))).collect():  # a row a topic
+        size[r.topic] = r.n
+        if r.n:
+            a, b = 1 - r.own / r.n, 1 - r.others / r.n
+            score[r.topic] = ((b - a) / max(a, b) + 1) / 2 if max(a, b) > 0 else 0.5
+    return float(score.mean()), size
+
+
+def reduction_scores(docs: DataFrame, doc: str, vector: str, vectors: np.ndarray, size: Sequence[int], counts: Sequence[int], penalty: float = SMALL_PENALTY, small: int | None = None, weighted: bool = False) -> dict[int, tuple[float, int]]:
+    """Of each topic count asked for, in one descent: silhouette less ``penalty`` for each small topic, and how many are small."""
+    small = max(1, round(sum(size) * SMALL_SHARE)) if small is None else small
+    out, v, n = {}, vectors, list(size)
+    for k in sorted({c for c in counts if 1 <= c <= len(vectors)}, reverse=True):
+        v, groups = reduce_topics(v, n, k, weighted)
+        n = [sum(n[i] for i in g) for g in groups]
+        score, own = silhouette(docs, doc, vector, v)
+        few = sum(x <= small for x in own)
+        out[k] = (score - penalty * few, few)
+    return out
+
+
+def best_topic_count(docs: DataFrame, doc: str, vector: str, vectors: np.ndarray, size: Sequence[int], low: int = 2, high: int = 50, points: int = 15) -> tuple[int, dict[int, float]]:
+    """The topic count in [low, high] with the best penalised silhouette, and all scores seen.
+
+    A grid over the range, then around its best three, finer and finer, until nothing new is
+    left to try; each grid is one descent of the reduction.
+    """
+    top = min(len(vectors), high, round(1 / SMALL_PENALTY))
+    if top <= low:
+        return top, {}
+    seen: dict[int, float] = {len(vectors): reduction_scores(docs, doc, vector, vectors, size, [len(vectors)])[len(vectors)][0]}
+    lo, hi = low, top
     while True:
-        grid = sorted({low + (high - low) * i // (points - 1) for i in range(points)})
-        for k in grid:
-            if k not in seen:
-                seen[k] = score(reduce_topics(vectors, size, k)[0])
-        best = max(grid, key=lambda k: seen[k])
-        if high - low <= points:
-            return best
-        i = grid.index(best)
-        low, high = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
-
-
-#: Patient by topic metrics: score s, time weight w; ``twps50`` has a name of its own.
+        grid = [k for k in range(lo, hi, max(1, round(hi / points))) if k not in seen]
+        if not grid:
+            break
+        seen |= {k: s for k, (s, _) in reduction_scores(docs, doc, vector, vectors, size, grid).items()}
+        around = sorted(sorted(seen, key=lambda k: (-seen[k], k))[:3])
+        if len(around) < 3:
+            break
+        lo, hi = around[0], around[1] if around[2] == hi else around[2]
+    return max(seen, key=lambda k: (seen[k], -k)), seen
+
+
 def metrics(s: Column, w: Column) -> dict[str, Column]:
+    """Patient by topic metrics of score s and time weight w; ``dit`` counts documents with a score above 0, ``twdit`` sums their weights; ``twps50`` has a name of its own."""
     pa, tw = F.avg(s), F.coalesce(F.try_divide(F.sum(s * w), F.sum(w)), F.lit(0.0))
     ps, tps = F.sum(s), F.sum(s * w)
-    dit, tdit = (F.count("*") > 0).cast("double"), F.sum(w)
+    dit, tdit = F.count_if(s > 0).cast("double"), F.coalesce(F.sum(F.when(s > 0, w)), F.lit(0.0))
     return {"mx": F.max(s), "pa": pa, "twpa": tw, "dit": dit, "twdit": tdit, "ps": ps, "twps": tps, "twpa50": (pa + tw) / 2, "twdit50": (dit + tdit) / 2, "twps50": (ps + tps) / 2}
 
 

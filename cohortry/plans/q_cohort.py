@@ -183,8 +183,11 @@ def _(t):
 @query("fil_09_in_follow_up", f"""with {OUT} select distinct epi.episode_id from epi join outc on epi.pid = outc.pid left join jrn on epi.episode_id = jrn.episode_id
  where (start_day >= {START} and start_day <= last and start_day >= last - 2 * 365.2422) or (day >= {START} and day <= last and day >= last - 2 * 365.2422)""")
 def _(t):
-    n = C.nest(episodes(t).select("episode_id", "pid", "start_day"), journals(t).select("episode_id", "day"), "episode_id", "journals", ["day"]).join(outcomes(t), "pid")
-    return n.where(C.in_follow_up(F.col("start_day"), F.col("last"), START) | F.exists("journals", lambda j: C.in_follow_up(j["day"], F.col("last"), START))).select("episode_id")
+    """An episode counts by its own start or by one of its consults: both are (episode, day) rows of one filter, nothing is nested."""
+    e = episodes(t).select("episode_id", "pid", F.col("start_day").alias("day"))
+    own = e.select("episode_id", "pid").join(t.lineitem.select(F.col("l_orderkey").alias("k"), S.days("l_shipdate").alias("day")), F.col("episode_id") == F.col("k"))
+    rows = e.union(own.select("episode_id", "pid", "day")).join(outcomes(t), "pid")
+    return rows.where(C.in_follow_up(F.col("day"), F.col("last"), START)).select("episode_id").distinct()
 
 
 @query("fil_10_effective_end", f"with {OUT} select pat.pid, case when event then last - 90 else last end as follow_up_effective from outc join pat on outc.pid = pat.pid")

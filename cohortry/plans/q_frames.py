@@ -19,7 +19,7 @@ WIN = f"""{OUT}, win as (select *, {_WSQL} as w from (select epi.*, last, start_
 
 def _slice(t: Tables):
     e = episodes(t)
-    e = X.windowed(e, e.groupBy("pid").agg(F.max("start_day").alias("last")), "start_day")
+    e = X.windowed_by_own(e, "start_day")
     n = F.count("*").cast("double")
     f = e.groupBy("pid").agg(
         S.r6(F.sum("w")).alias("0_24_n_eps_"),
@@ -349,7 +349,7 @@ def _(t):
 
 @query("prt_01_even_split", "select n_nationkey, cast(ntile(4) over (order by n_nationkey) as int) as part from nation")
 def _(t):
-    return t.nation.select("n_nationkey", F.ntile(4).over(Window.orderBy("n_nationkey")).alias("part"))
+    return R.even_split(t.nation.select("n_nationkey"), "n_nationkey", 4)
 
 
 _A, _B = "select distinct o_custkey as k from orders where o_orderstatus = 'F'", "select distinct o_custkey as k from orders where o_orderpriority like '1%'"

@@ -176,15 +176,6 @@ def _(t):
     return P.separation(P.similarities(t.embeddings, "vec_id", "embedding", *_topics(t)), "vec_id").withColumn("score", S.r6(F.col("score")))
 
 
-@query("top_09_best_count")
-def _(t):
-    tv = P.topic_vectors(t.embeddings, "label", "embedding")
-    names, v = P.matrix(tv, "label", "vec")
-    size = dict(tv.select("label", "size").collect())
-    best = P.best_topic_count(v, [size[n] for n in names], lambda m: -float(np.abs(m @ m.T - np.eye(len(m))).mean()) if len(m) > 1 else -1.0)
-    return t.spark.createDataFrame([(best,)], "topics int")
-
-
 @query("top_10_patient_topics", f"""with {_TV}, a as (select vec_id, arg_max(topic, s) as topic, max(s) as s, (vec_id % 10 + 1) / 10.0::double as w, vec_id % 20 as pid from sim group by vec_id), b as (select topic from a group by 1 having count(*) >= 20)
  select pid, topic, round(max(s), 6) as mx, round(avg(s), 6) as pa, round(sum(s * w) / sum(w), 6) as twpa, round(sum(w), 6) as twdit, round(sum(s * w), 6) as twps from a where topic in (select topic from b) group by 1, 2""")
 def _(t):

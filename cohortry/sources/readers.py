@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where none is set (one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -61,12 +63,39 @@ def read_defined_csv(spark: SparkSession, path: str, definition: Mapping | str,
     return df
 
 
+def read_code_maps(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(code, category) of several JSON files {code: category}, file i prefixed ``cats<i>_``; a later file overwrites a code's category.  Files of lookup size."""
+    from ..operators.frames import code_map
+
+    maps = [json.loads("".join(r.value for r in spark.read.text(p, wholetext=True).collect())) for p in paths]
+    return code_map(spark, maps)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def stored(name: str, folder: str, subsample: bool = False) -> str:
+    """Path of a stored table; a subsample's tables lie apart from the full ones."""
+    return f"{folder.rstrip('/')}/{'subsample/' if subsample else ''}{name}"
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return bool(fs.exists(p))
+
+
+def delete_table(spark: SparkSession, path: str) -> bool:
+    """Whether there was one."""
+    fs, p = _hadoop(spark, path)
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
 def cached_table(spark: SparkSession, name: str, make: Callable[[], DataFrame], override: bool = False) -> DataFrame:
     """A stage's result, kept as Parquet in the shared folder and made again only if asked."""
     path = f"{shared_folder(spark)}/cache/{name}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if override or not there:
+    if override or not table_exists(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
