@@ -190,6 +190,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
                     lang = np.where(ok, np.array(model.langs, object)[best], "und")
                     score = np.where(ok, p.max(axis=1) / p.sum(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
+        arrays.trim()
 
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

@@ -19,8 +19,8 @@ from .common import components, drop_saved, fold_edges, saved
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: First-level partitions are cut into three; a signature covers two of the three, so one error is allowed.
 SUBSETS = ((0, 1), (0, 2), (1, 2))
-#: Signatures that a task holds before it hands them on, and those of a bucket.
-FLUSH, BUCKET = 1 << 22, 1 << 22
+#: Signatures that a task holds before it hands them on, those of a bucket, and in how many steps a bucket is looked at.
+FLUSH, BUCKET, STEPS = 1 << 21, 1 << 22, 8
 #: Shingles that a task of the exact comparison holds on average, and sets of a candidate group compared at once.
 TASK, UNIT = 1 << 21, 1 << 12
 
@@ -218,6 +218,8 @@ def _emit(threshold: Fraction, width: int, buckets: int):
                 rows.append((int(pairs[0, 0]) % buckets, pairs.tobytes(), b""))
             keys.clear()
             sigs.clear()
+            del sig, at, order, first, hub
+            arrays.trim()
             for i in range(0, len(rows), 64):
                 part = rows[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())], names=["bucket", "keys", "sigs"])
@@ -244,22 +246,36 @@ def _emit(threshold: Fraction, width: int, buckets: int):
     return run
 
 
+def _views(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The numbers in each cell of a binary column, not copied."""
+    return [np.frombuffer(chunk[i].as_buffer(), kind) for chunk in column.chunks for i in range(len(chunk))]
+
+
 def _candidates(table: pa.Table) -> pa.Table:
     """A spanning forest (a, b: first key halves) of the sets of a bucket that share signatures."""
-    links, sig, key = [], [], []
-    for k, s in zip(table.column("keys").to_pylist(), table.column("sigs").to_pylist(), strict=True):
-        if not s:
-            links.append(np.frombuffer(k, np.int64).reshape(2, -1))
-            continue
-        x = np.frombuffer(s, np.uint64)
-        sig.append(x >> np.uint64(16))
-        key.append(np.frombuffer(k, np.int64)[(x & np.uint64(0xFFFF)).astype(np.int64)])
-    if sig:
-        sig, key = np.concatenate(sig), np.concatenate(key)
-        order = np.argsort(sig, kind="stable")
-        sig, key = sig[order], key[order]
-        same = np.flatnonzero(sig[1:] == sig[:-1])
-        links.append(np.stack((key[same], key[same + 1])))
+    links, parts = [], []
+    for k, s in zip(_views(table.column("keys"), np.int64), _views(table.column("sigs"), np.uint64), strict=True):
+        if len(s):
+            parts.append((k, s))
+        else:
+            links.append(k.reshape(2, -1))
+    low = min((int(s.min()) >> 16 for _, s in parts), default=0)
+    high = max((int(s.max()) >> 16 for _, s in parts), default=0) + 1
+    for i in range(STEPS):  # by ranges of signatures: equal ones meet in one step
+        a, b = (np.uint64(low + (high - low) * j // STEPS) for j in (i, i + 1))
+        sig, key = [], []
+        for k, s in parts:
+            x = s >> np.uint64(16)
+            own = np.flatnonzero((x >= a) & (x < b))
+            sig.append(x[own])
+            key.append(k[(s[own] & np.uint64(0xFFFF)).astype(np.int64)])
+        if sig:
+            sig, key = np.concatenate(sig), np.concatenate(key)
+            order = np.argsort(sig, kind="stable")
+            sig, key = sig[order], key[order]
+            same = np.flatnonzero(sig[1:] == sig[:-1])
+            links.append(np.stack(fold_edges(key[same], key[same + 1])))
+    del parts
     pairs = np.concatenate([np.zeros((2, 0), np.int64), *links], axis=1)
     pairs = pairs[:, pairs[0] != pairs[1]]
     hi, lo = fold_edges(*pairs)
@@ -346,7 +362,7 @@ def _plausible(threshold: Fraction):
             code = code[~np.isin(code, seen, assume_unique=True)]
             if not len(code):
                 continue
-            if len(seen) < 1 << 23:
+            if len(seen) < 1 << 21:
                 seen = np.concatenate((seen, code))
             p, q = code // len(names), code % len(names)
             ok = (threshold.numerator + threshold.denominator) * sketches.differ(p, q) <= (threshold.denominator - threshold.numerator) * (n[p] + n[q])
@@ -356,6 +372,7 @@ def _plausible(threshold: Fraction):
                 root[hi] = lo
                 comp = root[comp]
         joined = np.flatnonzero(comp != np.arange(len(names)))
+        arrays.trim()
         return pa.table({"a": pa.array(names[joined], pa.int64()), "b": pa.array(names[comp[joined]], pa.int64())})
 
     return run
@@ -438,6 +455,7 @@ def _compare(threshold: Fraction, width: int, final: bool):
             first = np.concatenate(([True], comp[by][1:] != comp[by][:-1]))
             lead = own[by][first][np.cumsum(first) - 1]  # of the sets in the order ``by``
             out.append((own[by], lead) if final else np.stack((start[by], start[by][first][np.cumsum(first) - 1])))
+        arrays.trim()
         if final:
             own, lead = (np.concatenate([np.zeros(0, np.int64), *(x[j] for x in out)]).astype(np.int64) for j in (0, 1))
             return pa.table({"ka": pa.array(given[own, 0]), "kb": pa.array(given[own, 1]), "no_id": pa.array(none[lead]), "first_id": pa.array(cols["doc_id"][lead], pa.int64()), "first_h": pa.array(cols["h"][lead], pa.int64())})
