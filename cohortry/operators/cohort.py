@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +95,43 @@ def match_dates(cases: DataFrame, controls: DataFrame, strata: Sequence[str], *,
     hit = near.join(c, [*strata, "b"]).where(F.abs(F.col(day) - F.col("case_day")) <= within)
     w = Window.partitionBy("pid").orderBy(F.xxhash64(F.lit(seed), "pid", "case_day"), F.abs(F.col(day) - F.col("case_day")), day)
     return hit.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("pid", *strata, day, "case_day")
+
+
+def match_draws(cases: DataFrame, controls: DataFrame, strata: Sequence[str], *, day: str = "day", within: int = 90, draws: int = 50, least_events: int = 2, least_days: int = 180, seed: int = 42) -> DataFrame:
+    """(pid, strata, drawn, day) of each control that a drawn date fits: the first of ``draws`` case dates of its stratum, drawn with replacement, that has an event of the control within so many days.
+
+    From the earliest such event on, the control must have ``least_events`` events and
+    ``least_days`` days of them.  Draws come from a hash of the pid, so reruns agree; controls
+    that no draw fits are left out.  A stratum's dates, with how often each occurs, are at
+    most a row a day: these go to the tasks; a control's own days are one row.
+    """
+    table: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    per = cases.where(F.col(day).isNotNull()).groupBy(*strata, day).agg(F.count("*").alias("n")).collect()  # strata x days
+    for k in {tuple(r[s] for s in strata) for r in per}:
+        own = sorted((r[day], r["n"]) for r in per if tuple(r[s] for s in strata) == k)
+        table[k] = np.array([d for d, _ in own], np.int64), np.cumsum([n for _, n in own])
+    nested = controls.where(F.col(day).isNotNull()).groupBy("pid", *strata).agg(F.sort_array(F.collect_list(F.col(day).cast("long"))).alias("days"), F.xxhash64(F.lit(seed), "pid").alias("h"))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for i, (h, days, *k) in enumerate(zip(f["h"], f["days"], *(f[s] for s in strata), strict=True)):
+                if tuple(k) not in table:
+                    continue
+                dates, upto = table[tuple(k)]
+                days = np.asarray(days)
+                u = np.random.default_rng(h & (2**63 - 1)).integers(0, upto[-1], draws)
+                drawn = dates[np.searchsorted(upto, u, side="right")]
+                first = np.searchsorted(days, drawn - within)
+                ok = first < len(days)
+                at = np.minimum(first, len(days) - 1)
+                ok &= (np.abs(days[at] - drawn) <= within) & (len(days) - first >= least_events) & (days[-1] - days[at] >= least_days)
+                if ok.any():
+                    j = int(ok.argmax())
+                    out.append((i, int(drawn[j]), int(days[at[j]])))
+            got = f.iloc[[o[0] for o in out]][["pid", *strata]].copy()
+            got["drawn"], got["day"] = [o[1] for o in out], [o[2] for o in out]
+            yield got
+
+    kinds = ", ".join(f"`{c}` {nested.schema[c].dataType.simpleString()}" for c in ("pid", *strata))
+    return nested.mapInPandas(run, f"{kinds}, drawn long, day long")

@@ -136,18 +136,13 @@ def _(t):
     return s.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "vec_id"))).where("r <= 10").select("topic", "vec_id", "r")
 
 
-@query("top_14_nearest_by_lsh", None)
+@query("top_14_index_search", None)
 def _(t):
-    """Approximate nearest topic of each document by random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    """The ten nearest rows of every vector whose id is divisible by 100, by the inverted-list index of all rows."""
+    from ..operators.index import build_index
 
-    x = t.embeddings.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    names, v = _topics(t)
-    q = t.spark.createDataFrame([(n, r.tolist()) for n, r in zip(names, v)], "topic int, a array<double>").select("topic", array_to_vector("a").alias("v"))
-    m = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=4, seed=1).fit(x)
-    near = m.approxSimilarityJoin(x, q, 2.0, "d").select(F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetB.topic").alias("topic"), "d")
-    return near.groupBy("vec_id").agg(F.min_by("topic", F.struct("d", "topic")).alias("topic"))
+    index = build_index(t.embeddings, "vec_id", "embedding")
+    return index.search(t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
 @query("pip_02_person_distillation", f"""with {EPI} select pid, min(start_day) as t_min, max(coalesce(end_day, start_day)) as t_max, bool_or(status = 'P') as any_p, arg_max(code, (start_day, episode_id)) as last_code,
@@ -180,6 +175,15 @@ def _(t):
     return C.match_dates(e.where("event"), e.where("not event"), ["sex", "band"])
 
 
+@query("jon_19_matched_draws", None)
+def _(t):
+    """Controls get a sampled case start date of their sex that fits their own consults, out of 50 draws at most."""
+    p = patients(t).select("pid", "sex", "event")
+    cases = episodes(t).join(p.where("event"), "pid").select("sex", F.col("start_day").alias("day"))
+    controls = journals(t).select("pid", "day").join(p.where("not event"), "pid").select("pid", "sex", "day")
+    return C.match_draws(cases, controls, ["sex"])
+
+
 @query("pip_08_code_prevalence", f"""with {EPI}, d as (select distinct epi.pid, epi.code, event from epi join pat on epi.pid = pat.pid), n as (select event, count(*) as total from pat group by 1)
  select code, d.event, count(*) as n, round(100.0::double * count(*) / any_value(total), 6) as pct from d join n on d.event = n.event group by 1, 2""")
 def _(t):
