@@ -91,16 +91,19 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
     return nodes.groupBy("n").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 or c = 1 and r = 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folded: bool = False) -> DataFrame:
     """(id, component) of every node of ``edges`` (a, b longs): component is the smallest id reachable.
 
+    ``folded``: the links come as forests already (from Python: a second worker a task would only cost memory).
+
     Alternates large-star and small-star rounds on the whole distributed edge list until it
     is a set of stars; each round is written to the shared folder.  Batches are folded to
     forests first, and a node's smallest neighbour is found by a partial aggregate, so a hub
     costs one row per task there; its edges are dealt by a join that AQE can split.  Links
     found several times are one from the start.
     """
-    e = saved(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_fold, "a long, b long").distinct(), "edges")
+    e = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    e = saved((e if folded else e.mapInArrow(_fold, "a long, b long")).distinct(), "edges")
     while not _is_forest_of_stars(e):
         # large star: neighbours above u join the smallest neighbour m of u
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -505,7 +505,7 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
     classes = rows.where("n > 0").groupBy("ka", "kb").agg(first, F.first("n").alias("n")).select("ka", "kb", "n", "first.*")
     buckets = max(8, min(1 << 16, -(-total // BUCKET)))
     packed = base.select("text").mapInArrow(_emit(threshold, width, buckets), "bucket int, keys binary, sigs binary")
-    group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"))
+    group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), folded=True)
     member = saved(classes.join(group, F.col("ka") == F.col("id")).drop("id").withColumnRenamed("component", "c").withColumn("node", F.monotonically_increasing_id()), "members")
     units = Units(threshold, width, unit_sets, unit_shingles)
     found = units.settle(member, base.select("h", "text"), "h", units.refine)
@@ -568,7 +568,7 @@ class Units:
         """Large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
         buckets = max(8, min(1 << 16, -(-shingles // BUCKET)))
         packed = large.select("text", "node", "ka", "kb").mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
-        group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"))
+        group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"), folded=True)
         finer = large.drop("c", "parts", "low", "high", "text").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c")
         return self.settle(self._saved(finer, "finer"), large.select("node", "text"), "node", self.compare_parts)
 

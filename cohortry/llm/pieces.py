@@ -293,6 +293,7 @@ def encode(df: DataFrame, text: str, model: str | None = None, *, out: str = "pi
                     mask = null.to_numpy(zero_copy_only=False)
                     more += [pa.array(sha, pa.string(), mask=mask), pa.array(exact, pa.bool_(), mask=mask)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *([out, "decoded_sha256", "exact"][: len(more)])])
+        arrays.trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{kinds}, `{out}` array<int>{extra}")

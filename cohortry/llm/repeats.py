@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
@@ -349,42 +349,56 @@ def _match(width: int):
     return run
 
 
-def _strip(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """What is left of the texts of a block, and the spans removed."""
-    texts = _texts(left, right)
-    names = ["ord", "times", "key", "n_bytes", "kept", "spans"]
-    if texts.empty:
-        return pd.DataFrame({n: [] for n in names})
-    found = [_unpack(x, *_SPAN) for x in right[right["kind"] == 2]["x"]] or [[np.zeros(0, np.int32)] * 3]
-    doc, lo, hi = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
-    rank = np.argsort(doc, kind="stable")
-    doc, lo, hi = doc[rank], lo[rank], hi[rank]
-    rows = []
-    for data, off, begin in _runs(texts):
-        a, b = np.searchsorted(doc, [begin, begin + len(off) - 1])
-        base = off[doc[a:b] - begin]
-        change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, base + lo[a:b], 1)
-        np.add.at(change, base + hi[a:b], -1)
-        gone = np.cumsum(change[:-1]) > 0
-        for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-            own = gone[s:e]
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-            rows.append((begin + i, e - s, data[s:e][~own].tobytes() if len(edge) else data[s:e].tobytes(), [{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()]))
-    place = [r[0] for r in rows]
-    arrays.trim()
-    return pd.DataFrame({**{c: texts[c].to_numpy()[place] for c in ("ord", "times", "key")}, "n_bytes": [r[1] for r in rows], "kept": [r[2] for r in rows], "spans": [r[3] for r in rows]})
+def _whole_characters(raw: bytes, edge: list[int]) -> str:
+    """A text without the bytes between odd and even edges; bytes of characters that an edge cuts in two go as well."""
+    return "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip([0, *edge[1::2]], [*edge[::2], len(raw)], strict=True))
+
+
+def _strip(as_text: bool):
+    """What is left of the texts of a block (bytes, or whole characters), and the spans removed."""
+    names = ["ord", "times", "key", "n_bytes", "left", "spans"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        texts = _texts(left, right)
+        if texts.empty:
+            return pd.DataFrame({n: [] for n in names})
+        found = [_unpack(x, *_SPAN) for x in right[right["kind"] == 2]["x"]] or [[np.zeros(0, np.int32)] * 3]
+        doc, lo, hi = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
+        rank = np.argsort(doc, kind="stable")
+        doc, lo, hi = doc[rank], lo[rank], hi[rank]
+        rows = []
+        for data, off, begin in _runs(texts):
+            a, b = np.searchsorted(doc, [begin, begin + len(off) - 1])
+            base = off[doc[a:b] - begin]
+            change = np.zeros(len(data) + 1, np.int32)
+            np.add.at(change, base + lo[a:b], 1)
+            np.add.at(change, base + hi[a:b], -1)
+            gone = np.cumsum(change[:-1]) > 0
+            for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                own = gone[s:e]
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).tolist()
+                if as_text:
+                    kept = _whole_characters(data[s:e].tobytes(), edge)
+                else:
+                    kept = data[s:e][~own].tobytes() if edge else data[s:e].tobytes()
+                rows.append((begin + i, e - s, kept, [{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2], strict=True)]))
+        place = [r[0] for r in rows]
+        arrays.trim()
+        return pd.DataFrame({**{c: texts[c].to_numpy()[place] for c in ("ord", "times", "key")}, "n_bytes": [r[1] for r in rows], "left": [r[2] for r in rows], "spans": [r[3] for r in rows]})
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24, once: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, kept binary, spans array<struct<start, end>>, text_md5) for every row of ``docs`` (doc_id long, text).
 
     Each byte covered by a ``width``-byte string that also stands in a document with a
     smaller doc_id is removed; overlaps count, and strings are judged on the input.
     ``spans`` are the maximal removed runs of bytes.  Null counts as empty text; texts
     below ``width`` bytes lose nothing; rows with equal doc_ids don't affect each other; a
-    null doc_id counts as the largest; other columns are ignored.  ``once``: rows with equal
-    doc_id and text give one row, so that (doc_id, text_md5) names it.
+    null doc_id counts as the largest; other columns are ignored.  ``as_text``:
+    ``kept`` is a text, without the bytes of characters that a span cuts in two, and rows with
+    equal doc_id and text give one row, so that (doc_id, text_md5) names it.
 
     1. Equal texts fall together by MD5: all but the first document's copies go whole.
     2. Every window has a minimum among its gram hashes; equal windows have equal minima, so
@@ -416,33 +430,15 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24, once: bo
     spans = saved(sent.groupBy("bucket").applyInPandas(_match(width), "block int, kind int, x binary"), "spans")
     release(docs.sparkSession)
     more = spans.select("block", "kind", "x", F.lit(None).cast("binary").alias("y"))
-    kept = texts.groupBy("block").cogroup(more.union(firsts).groupBy("block")).applyInPandas(_strip, "ord long, times long, key string, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    kind = "string" if as_text else "binary"
+    kept = texts.groupBy("block").cogroup(more.union(firsts).groupBy("block")).applyInPandas(_strip(as_text), f"ord long, times long, key string, n_bytes long, left {kind}, spans array<struct<start:long,end:long>>")
     # repeated rows: the first document of a text may stand there several times
-    own = kept if once else kept.withColumn("t", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+    own = kept if as_text else kept.withColumn("t", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     later = rows.join(first.select("key", F.col("ord").alias("one")), "key").where("ord <> one")
-    later = later.select("ord", "key", F.col("n").alias("n_bytes"), F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
-    short = docs.where(F.col("n") < width).select("ord", F.md5(F.col("text").cast("binary")).alias("key"), F.col("n").alias("n_bytes"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-    if once:
+    later = later.select("ord", "key", F.col("n").alias("n_bytes"), F.lit("").cast(kind).alias("left"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
+    short = docs.where(F.col("n") < width).select("ord", F.md5(F.col("text").cast("binary")).alias("key"), F.col("n").alias("n_bytes"), F.col("text").cast(kind).alias("left"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+    if as_text:
         later, short = later.dropDuplicates(["ord", "key"]), short.dropDuplicates(["ord", "key"])
-    names = ["ord", "key", "n_bytes", "kept", "spans"]
-    return own.select(names).union(later.select(names)).union(short.select(names)).select(F.nullif("ord", F.lit(LAST)).alias("doc_id"), "n_bytes", "kept", "spans", F.col("key").alias("text_md5"))
-
-
-def whole_characters(kept: Column, spans: Column) -> Column:
-    """The text of what ``remove_repeats`` kept: bytes of characters that a removed span cut in two go as well, all other characters stay."""
-
-    @F.arrow_udf("string")
-    def run(kept: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for raw, cuts in zip(kept.to_pylist(), spans.to_pylist(), strict=True):
-            parts, at, gone = [], 0, 0
-            for s in cuts:
-                parts.append(raw[at : s["start"] - gone].decode("utf-8", "ignore"))
-                at = s["start"] - gone
-                gone += s["end"] - s["start"]
-            out.append("".join(parts) + raw[at:].decode("utf-8", "ignore"))
-        return pa.array(out, pa.string())
-
-    cut = F.size(spans) > 0
-    # only texts that lost something go to Python
-    return F.when(cut, run(F.when(cut, kept).otherwise(F.lit(b"")), F.when(cut, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))).otherwise(kept.cast("string"))
+    names = ["ord", "key", "n_bytes", "left", "spans"]
+    out = own.select(names).union(later.select(names)).union(short.select(names))
+    return out.select(F.nullif("ord", F.lit(LAST)).alias("doc_id"), "n_bytes", F.col("left").alias("kept"), "spans", F.col("key").alias("text_md5"))

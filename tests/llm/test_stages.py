@@ -90,6 +90,6 @@ def test_operators_replace_columns_they_add(spark, docs):
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     fp = imatch.with_fingerprint(d, F.col("text"), imatch.lookup(imatch.lexicon(d)), "fp")
     assert fp.where("fp is null").count() == 0 and fp.where("text = ''").select("fp").distinct().count() == 1
-    once = repeats.remove_repeats(docs, once=True)
+    once = repeats.remove_repeats(docs, as_text=True)
     assert once.groupBy("doc_id", "text_md5").count().where("count > 1").count() == 0
     assert repeats.remove_repeats(docs).count() == docs.count()
