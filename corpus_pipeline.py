@@ -43,8 +43,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Bytes of a character that was cut in two go as well.  A document of which nothing is left goes.
     """
-    kept = repeats.remove_repeats(docs, once=True)
-    kept = kept.select(F.col("doc_id").alias("id"), "text_md5", repeats.whole_characters(F.col("kept"), F.col("spans")).alias("left")).where("left <> ''")
+    kept = repeats.remove_repeats(docs, as_text=True)
+    kept = kept.select(F.col("doc_id").alias("id"), "text_md5", F.col("kept").alias("left")).where("left <> ''")
     rows = docs.select("doc_id", "lang", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("md5") == F.col("text_md5")))
     return rows.select("doc_id", F.col("left").alias("text"), "lang", "source", F.length("left").cast("long").alias("n_chars"))
