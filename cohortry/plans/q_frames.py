@@ -476,7 +476,7 @@ def _(t):
     return t.part.select("p_partkey", F.rpad(F.lower(F.trim("p_name")), 30, "_").alias("padded"), F.startswith("p_type", F.lit("PRO")).alias("pro"))
 
 
-@query("str_04_parse_icpc")
+@query("str_04_parse_icpc", "select p_partkey, nullif(regexp_extract(upper('K' || lpad((p_partkey % 100)::varchar, 2, '0')), '[ABDFHKLNPRSTUWXYZ](?:0[1-9]|[1-9][0-9])(?:[.](?:0[1-9]|[1-9][0-9]))?', 0), '') as icpc from part")
 def _(t):
     return t.part.select("p_partkey", S.parse_icpc(F.concat(F.lit("K"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))).alias("icpc"))
 

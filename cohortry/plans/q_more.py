@@ -12,7 +12,7 @@ from ..operators import frames as R
 from ..operators import models as M
 from ..operators import text as T
 from ..operators import topics as P
-from .q_text import _model_frame, _topics
+from .q_text import _TV, _model_frame, _topics
 from .registry import query
 from .standins import EPI, JRN, OUT, episodes, journals, outcomes, patients
 
@@ -130,7 +130,7 @@ def _(t):
     return t.spark.createDataFrame(rows, "topics int, topic int, label int")
 
 
-@query("top_12_topic_documents", None)
+@query("top_12_topic_documents", f"with {_TV}, a as (select vec_id, arg_max(topic, s) as topic, max(s) as s from sim group by 1), r as (select topic, vec_id, row_number() over (partition by topic order by s desc, vec_id)::int as r from a) select topic, vec_id, r from r where r <= 10")
 def _(t):
     s = P.similarities(t.embeddings, "vec_id", "embedding", *_topics(t), top=1)
     return s.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "vec_id"))).where("r <= 10").select("topic", "vec_id", "r")

@@ -36,7 +36,21 @@ def _(t):
     return t.documents.select("doc_id", F.size(X.drop_stop_words(X.tokens(F.col("text"), _TOK), ["the", "of", "and"], ["^th"])).cast("long").alias("n"))
 
 
-@query("txt_05_negation")
+_MARKED = "select doc_id, list_transform(list_zip(tok, range(1, len(tok) + 1)), lambda z: case when not {0} then case when {1} then z[1] || '{2}' else z[1] end end) as tok from {3}"
+
+
+def _bound_sql() -> str:
+    """Each pass marks a word beside a modifier and drops the modifiers."""
+    steps, of = [], "k0"
+    for i, (word, mark, at) in enumerate((("of", "_NEG", -1), ("the", "_POS", -1), ("is", "_NEG", 1))):
+        beside = f"coalesce(tok[z[2] + 1] = '{word}', false)" if at > 0 else f"(z[2] > 1 and tok[greatest(z[2] - 1, 1)] = '{word}')"
+        marked = _MARKED.format(f"z[1] = '{word}'", beside, mark, of)
+        of = f"k{i + 1}"
+        steps.append(f"{of} as (select doc_id, list_filter(tok, lambda x: x is not null) as tok from ({marked}))")
+    return f"with k0 as (select doc_id, {_TSQL} as tok from documents), {', '.join(steps)} select doc_id, array_to_string(tok, ' ') as bound from {of}"
+
+
+@query("txt_05_negation", _bound_sql())
 def _(t):
     d = t.documents.select("doc_id", X.tokens(F.col("text"), _TOK).alias("tok"))
     return X.bind_modifiers(d, "tok", neg_prefix=["of"], pos_prefix=["the"], neg_suffix=["is"]).select("doc_id", F.array_join("tok", " ").alias("bound"))
@@ -47,7 +61,7 @@ def _(t):
     return t.documents.select("doc_id", F.size(X.additive_tokens(F.col("text"), ["number"], ["punctuation"])).alias("n"))
 
 
-@query("txt_08_simple_tokens")
+@query("txt_08_simple_tokens", "select page_id, len(list_filter(regexp_extract_all(strip_accents(lower(regexp_replace(html, '<[^>]*>', ' ', 'g'))), '[a-z]+'), lambda x: len(x) between 2 and 15))::int as n from pages")
 def _(t):
     return t.pages.select("page_id", F.size(X.simple_tokens(F.col("html"))).alias("n"))
 
@@ -155,7 +169,9 @@ def _(t):
     return P.sizes(P.similarities(t.embeddings, "vec_id", "embedding", *_topics(t), top=1))
 
 
-@query("top_02_deduplicate")
+@query("top_02_deduplicate", f"""with recursive {_TV}, near as (select a.topic as a, b.topic as b from tn a, tn b where list_inner_product(a.v, b.v) >= 0.9),
+ reach as (select a, b from near union select r.a, n.b from reach r join near n on r.b = n.a), root as (select a as label, min(b) as low from reach group by 1)
+ select (dense_rank() over (order by low) - 1)::int as topic, label::int as label from root""")
 def _(t):
     names, v = _topics(t)
     groups, _ = P.deduplicate(names, v)
