@@ -78,6 +78,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         at = end
 
 
+def characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all documents (U+FFFD for what is not valid), and their offsets."""
+    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(cp) == lead[-1]:
+        return cp, lead[off]
+    # not valid UTF-8: each document for itself
+    parts = [np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(off[:-1], off[1:], strict=True)]
+    return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each document where its words begin (one more than documents)."""
     n = len(data)

@@ -23,14 +23,7 @@ _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
 
 def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code points of all documents, 0 for what is no letter, and their offsets."""
-    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(cp) != lead[-1]:  # not valid UTF-8: each document for itself
-        parts = [np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(off[:-1], off[1:], strict=True)]
-        cp = np.concatenate([*parts, np.zeros(0, np.uint32)])
-        at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    else:
-        at = lead[off]
+    cp, at = arrays.characters(data, off)
     low = cp.copy()
     small = cp < len(_LOWER)
     low[small] = np.where(_LETTER[cp[small]], _LOWER[cp[small]], 0)

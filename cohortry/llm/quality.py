@@ -20,7 +20,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(document, bucket) of every feature of every document, in no order.
 
     Features are words as they stand, pairs of neighbouring words (with one shared feature
-    for a word that repeats the one before it), and the byte 3- and 4-grams of words with
+    for a word that repeats the one before it), and the character 3- and 4-grams of words with
     the blank on either side.
     """
     n_docs = len(off) - 1
@@ -33,16 +33,22 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     pair = doc[1:] == doc[:-1]
     docs.append(doc[1:][pair])
     codes.append(np.where(word[1:] == word[:-1], _SALT[1], arrays.mix64(word[:-1] * np.uint64(3) + word[1:]))[pair])
-    flat = np.where(arrays.SPACE[data], np.uint8(0x20), data)
-    blank = np.concatenate(([0], np.cumsum(flat == 0x20)))
-    owner = np.repeat(np.arange(n_docs), np.diff(off))
+    points, cut = arrays.characters(data, off)
+    small = points < 256
+    is_blank = np.zeros(len(points), bool)
+    is_blank[small] = arrays.SPACE[points[small]]
+    code_of = arrays.mix64(np.where(is_blank, 0x20, points).astype(np.uint64))
+    blank = np.concatenate(([0], np.cumsum(is_blank)))
+    owner = np.repeat(np.arange(n_docs), np.diff(cut))
     for n in GRAMS:
-        code = arrays.rolling(flat, n)
-        if not len(code):
+        k = len(points) - n + 1
+        if k <= 0:
             continue
-        i = np.arange(len(code))
-        ok = (owner[: len(code)] == owner[n - 1 :]) & (blank[i + n - 1] == blank[i + 1])
-        docs.append(owner[: len(code)][ok])
+        code = np.zeros(k, np.uint64)
+        for j in range(n):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + code_of[j : j + k]
+        ok = (owner[:k] == owner[n - 1 :]) & (blank[n - 1 : n - 1 + k] == blank[1 : 1 + k])
+        docs.append(owner[:k][ok])
         codes.append(code[ok] ^ _SALT[n])
     return np.concatenate(docs), (arrays.mix64(np.concatenate(codes)) % np.uint64(BUCKETS)).astype(np.int64)
 
