@@ -127,6 +127,36 @@ def stacked(blocks: Sequence[Sequence[str]], out: str = "features"):
     return VectorAssembler(inputCols=[c for b in blocks for c in b], outputCol=out, handleInvalid="keep")
 
 
+#: The aggregate that the beginning of a feature's name asks for; no such beginning: a sum.
+BY_PREFIX = {"mx_": F.max, "m_": F.avg, "n_": F.count}
+
+
+def aggregates(columns: Mapping[str, str]) -> list[Column]:
+    """An aggregate for each {name: column}, chosen by the name after its period (``0_24_``); NaN counts as null."""
+    out = []
+    for name, c in columns.items():
+        rest = re.sub(r"^\d+_\d+_", "", name)
+        f = next((BY_PREFIX[p] for p in sorted(BY_PREFIX, key=len, reverse=True) if rest.startswith(p)), F.sum)
+        out.append(f(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(name))
+    return out
+
+
+def sampled(df: DataFrame, n: int, key: str, replacement: bool = False, seed: int = 42) -> DataFrame:
+    """About ``n`` rows, the same on every run: by a hash of the key below a threshold (exactly ``n`` then), or with replacement by Poisson counts drawn from that hash."""
+    total = max(1, df.count())
+    h = F.xxhash64(F.lit(seed), key)
+    if not replacement:
+        near = df.where(h.cast("double") / 2.0**64 + 0.5 <= min(1.0, (n + 10 * math.sqrt(n) + 10) / total))
+        return near.orderBy(h, key).limit(n)
+    u, rate = h.cast("double") / 2.0**64 + 0.5, n / total
+    upto, p, times = 0.0, math.exp(-rate), F.lit(0)
+    for k in range(int(rate + 12 * math.sqrt(rate) + 12)):
+        upto += p
+        times = times + (u > upto).cast("int")
+        p *= rate / (k + 1)
+    return df.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).drop("_n")
+
+
 def period_name(start: int, end: int) -> str:
     return f"{start // 30}_{end // 30}"
 

@@ -204,3 +204,39 @@ def singular_scores(df: DataFrame, key: str, cols: Sequence[str], k: int = 100)
             yield pd.DataFrame({key: f[key], "scores": list(np.nan_to_num(f[list(cols)].to_numpy(np.float64)) @ vectors)})
 
     return scaled.mapInPandas(project, f"{key} {kind}, scores array<double>"), np.sqrt(np.maximum(values[order], 0))
+
+
+def cox(df: DataFrame, cols: Sequence[str], time: str, event: str, *, ridge: float = 0.0, iterations: int = 25, tolerance: float = 1e-8) -> dict:
+    """Proportional hazards by Newton steps on the partial likelihood (Breslow's ties).
+
+    Each step is one aggregate: for every distinct time the sums of exp(xb), x exp(xb) and
+    xx' exp(xb) of the rows that end there.  The driver holds a row a time; risk sets are its
+    running sums from the last time back.  Returns coefficients, their errors, the log
+    likelihood and the baseline hazard by time.
+    """
+    d = len(cols)
+    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols))).dropna()
+    beta, last = np.zeros(d), -math.inf
+    places = [(i, j) for i in range(d) for j in range(i, d)]
+    for _ in range(iterations):
+        score = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
+        w = F.exp(score)
+        sums = [F.sum(w), F.sum("e"), F.sum(F.col("e") * score)]
+        sums += [F.sum(F.col(f"x{i}") * w) for i in range(d)] + [F.sum(F.col(f"x{i}") * F.col("e")) for i in range(d)]
+        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}") * w) for i, j in places]
+        got = rows.groupBy("t").agg(*(s.alias(f"s{k}") for k, s in enumerate(sums))).collect()
+        s = np.array(sorted(tuple(r) for r in got), np.float64).reshape(len(got), len(sums) + 1)
+        risk = np.cumsum(s[::-1, 1:], axis=0)[::-1]  # of all rows that end at a time or later
+        events, total = s[:, 2], risk[:, 0]
+        mean = risk[:, 3 : 3 + d] / total[:, None]
+        second = np.zeros((len(s), d, d))
+        for k, (i, j) in enumerate(places):
+            second[:, i, j] = second[:, j, i] = risk[:, 3 + 2 * d + k] / total
+        likelihood = s[:, 3].sum() - (events * np.log(total)).sum() - 0.5 * ridge * beta @ beta
+        gradient = s[:, 4 + d : 4 + 2 * d].sum(axis=0) - (events[:, None] * mean).sum(axis=0) - ridge * beta
+        hessian = (events[:, None, None] * (second - mean[:, :, None] * mean[:, None, :])).sum(axis=0) + ridge * np.eye(d)
+        if abs(likelihood - last) < tolerance:
+            break
+        last = likelihood
+        beta = beta + np.linalg.solve(hessian + 1e-12 * np.eye(d), gradient)
+    return {"coefficients": dict(zip(cols, beta.tolist(), strict=True)), "errors": np.sqrt(np.diag(np.linalg.inv(hessian))).tolist(), "log_likelihood": float(likelihood), "baseline": list(zip(s[:, 0].tolist(), (events / total).tolist(), strict=True))}

@@ -185,3 +185,32 @@ def _(t):
     rows = t.lineitem.withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     scores, _ = L.singular_scores(rows, "id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
     return scores
+
+
+@query("agg_13_by_prefix", "select event_type, round(avg(value), 6) as m_value, round(max(value), 6) as mx_value, count(value)::double as n_value, round(sum(value), 4) as value from events group by 1")
+def _(t):
+    a = t.events.groupBy("event_type").agg(*R.aggregates({"m_value": "value", "mx_value": "value", "n_value": "value", "value": "value"}))
+    return a.select("event_type", S.r6(F.col("m_value")).alias("m_value"), S.r6(F.col("mx_value")).alias("mx_value"), F.col("n_value").cast("double").alias("n_value"), F.round("value", 4).alias("value"))
+
+
+@query("win_06_captured_share", f"""with {_SHARES}, r as (select incidence, mass, sum(mass) over w as m, sum(incidence * mass) over w as p, (select sum(incidence * mass) / sum(mass) from s) as base from s window w as (order by incidence desc, mass desc)),
+ f as (select *, bool_and(p / m >= base * 1.02) over (order by incidence desc, mass desc) as ok from r) select count(*) filter (where ok)::int as taken, round(coalesce(max(p) filter (where ok), 0) / max(base), 6) as share from f""")
+def _(t):
+    """Clusters by falling incidence while they stay above a ratio of the base, and the share of all positives they hold."""
+    p = episodes(t).join(patients(t).select("pid", "event"), "pid")
+    rows = R.cluster_shares(p, "code", "event").select(F.round("incidence", 9), F.round("mass", 9)).collect()
+    taken, share = L.captured_share([tuple(r) for r in rows], 1.02)
+    return t.spark.createDataFrame([(taken, round(share, 6))], "taken int, share double")
+
+
+@query("smp_01_with_replacement")
+def _(t):
+    return R.sampled(t.orders.select("o_orderkey"), 100, "o_orderkey", replacement=True)
+
+
+@query("ml_15_cox")
+def _(t):
+    """Proportional hazards of age and sex on the time to the last episode."""
+    rows = outcomes(t).join(patients(t), "pid").select((F.col("last") - 9131).alias("time"), "event", (F.col("age_days") / 3652.5).alias("decades"), (F.col("sex") == "M").cast("int").alias("male"))
+    m = L.cox(rows, ["decades", "male"], "time", "event")
+    return t.spark.createDataFrame([(k, v, e) for (k, v), e in zip(m["coefficients"].items(), m["errors"], strict=True)], "name string, coefficient double, error double")

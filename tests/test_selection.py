@@ -219,3 +219,30 @@ def test_folds_and_even_split(spark):
     parts = {r.i: r.part for r in R.even_split(df.select("i"), "i", 7, 16).collect()}
     size = np.bincount(list(parts.values()))[1:]
     assert [parts[i] for i in range(200)] == sorted(parts.values()) and size.tolist() == sorted(size, reverse=True) and size.max() - size.min() <= 1
+
+
+def test_cox(spark):
+    x = RNG.normal(size=(300, 2))
+    t = np.ceil(RNG.exponential(np.exp(-(x @ [0.8, -0.5]))) * 20)
+    e = RNG.random(300) < 0.8
+    df = spark.createDataFrame([(*map(float, a), float(b), bool(c)) for a, b, c in zip(x, t, e, strict=True)], "a double, b double, t double, e boolean")
+    got = L.cox(df, ["a", "b"], "t", "e")
+
+    def likelihood(b):
+        s = x @ b
+        return sum(s[i] - np.log(np.exp(s[t >= t[i]]).sum()) for i in np.flatnonzero(e))
+
+    best = np.array(list(got["coefficients"].values()))
+    assert got["log_likelihood"] == pytest.approx(likelihood(best))
+    assert all(likelihood(best + h) < likelihood(best) for h in 0.02 * np.array([[1, 0], [-1, 0], [0, 1], [0, -1]]))
+    assert np.abs(best - [0.8, -0.5]).max() < 0.3 and len(got["baseline"]) == len(set(t))
+
+
+def test_sampled_and_prefixes(spark):
+    df = spark.range(2000)
+    one = R.sampled(df, 50, "id").collect()
+    assert len({r.id for r in one}) == 50 == len(one) and sorted(one) == sorted(R.sampled(df, 50, "id").collect())
+    many = R.sampled(df, 3000, "id", replacement=True).collect()
+    assert 2700 < len(many) < 3300 and len({r.id for r in many}) < 2000
+    x = spark.createDataFrame([(1, 2.0), (1, float("nan")), (1, 4.0)], "k int, v double")
+    assert tuple(x.groupBy("k").agg(*R.aggregates({"0_24_mx_v": "v", "m_v": "v", "n_v": "v", "v": "v"})).first()) == (1, 4.0, 3.0, 2, 6.0)
