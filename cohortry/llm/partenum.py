@@ -20,9 +20,11 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: First-level partitions are cut into three; a signature covers two of the three, so one error is allowed.
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, those of a bucket, and in how many steps a bucket is looked at.
-FLUSH, BUCKET, STEPS = 1 << 21, 1 << 22, 8
+FLUSH, BUCKET, STEPS = 1 << 21, 1 << 22, 16
 #: Shingles that a task of the exact comparison holds on average, and sets of a candidate group compared at once.
 TASK, UNIT = 1 << 21, 1 << 12
+#: Bytes of sketches compared at once, and pairs of sets listed at once.
+SKETCH_BYTES, PAIRS = 4 << 20, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +94,9 @@ class Sketches:
             for b in self.bits:
                 own = np.flatnonzero((self.size[p] == a) & (self.size[q] == b))
                 short = min(a, b) // 8
-                for k in range(0, len(own), 1 << 15):
-                    o = own[k : k + (1 << 15)]
+                step = max(1, SKETCH_BYTES // max(a, b))
+                for k in range(0, len(own), step):
+                    o = own[k : k + step]
                     x, y = (np.bitwise_xor.reduce(self.bits[n][self.row[r[o]]].reshape(len(o), -1, short), axis=1) for n, r in ((a, p), (b, q)))
                     out[o] = np.bitwise_count(x ^ y).sum(axis=1)
         return out
@@ -353,7 +356,7 @@ def _plausible(threshold: Fraction):
         total = np.cumsum(count)
         k = 0
         while k < len(sig):
-            stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + (1 << 20), side="right")))
+            stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS, side="right")))
             p = np.repeat(at[k:stop], count[k:stop])
             q = at[arrays.ranges(np.arange(k, stop) + 1, count[k:stop])]
             k = stop
@@ -362,7 +365,7 @@ def _plausible(threshold: Fraction):
             code = code[~np.isin(code, seen, assume_unique=True)]
             if not len(code):
                 continue
-            if len(seen) < 1 << 21:
+            if len(seen) < 1 << 20:
                 seen = np.concatenate((seen, code))
             p, q = code // len(names), code % len(names)
             ok = (threshold.numerator + threshold.denominator) * sketches.differ(p, q) <= (threshold.denominator - threshold.numerator) * (n[p] + n[q])
