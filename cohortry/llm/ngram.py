@@ -95,7 +95,8 @@ class Small:
     def take(self, at: np.ndarray) -> np.ndarray:
         out = self.low[at].astype(np.int64)
         large = np.flatnonzero(out[:, 0] == 255)
-        out[large] = self.value[np.searchsorted(self.row, at[large])]
+        if len(large):
+            out[large] = self.value[np.searchsorted(self.row, at[large])]
         return out
 
 
