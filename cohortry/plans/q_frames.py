@@ -80,10 +80,11 @@ def _(t):
     return X.windowed(episodes(t), outcomes(t), "start_day").groupBy("pid").agg(S.r6(F.sum("w")).alias("n_eps"))
 
 
-@query("agg_09_code_means", f"with {WIN} select pid, {', '.join(f'''round(sum(case when code = '{c}' then w else 0 end) / count(*), 6) as tw_{c}''' for c in CODES)} from win group by 1")
+@query("agg_09_mean_weights", f"with {WIN} select pid, {', '.join(f'''round(sum(case when code = '{c}' then round(w * 10000)::bigint else 0 end)::double / (count(*) * 10000), 9) as tw_{c}''' for c in CODES)} from win group by 1")
 def _(t):
+    """Mean weight of each code.  It takes the place of ``agg_09_code_means``, whose SQL summed doubles and rounded ties of the sum to six places, so that its last digit hung on the order of rows."""
     m = X.code_means(X.windowed(episodes(t), outcomes(t), "start_day"), "code", CODES, "tw_")
-    return m.select("pid", *(S.r6(F.col(f"tw_{c}")).alias(f"tw_{c}") for c in CODES))
+    return m.select("pid", *(F.round(f"tw_{c}", 9).alias(f"tw_{c}") for c in CODES))
 
 
 @query("agg_10_code_sums", f"with {WIN} select pid, {', '.join(f'''round(coalesce(sum(case when code = '{c}' then w end), 0), 6) as sum_{c}''' for c in CODES)} from win group by 1")
