@@ -113,6 +113,29 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, equal texts together."""
+    from .sharding import shard_plan
+
+    rows = shard_plan(documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into prefix, middle and suffix, and rebuilt from what is made of them."""
+    from .infill import fill_in_middle
+
+    made = documents(spark, sf_dir).select("doc_id", fill_in_middle(F.col("text"), F.col("doc_id")).alias("x"))
+    return made.select("doc_id", "x.n", "x.form", "x.prefix_chars", "x.middle_chars", "x.output_sha256", "x.restored_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent forms that the words of all documents are spelling variants of."""
+    from .spelling import spelling_forms
+
+    return spelling_forms(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_imatch": op2_imatch,
@@ -124,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_shards": op11_shards,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,4 +161,14 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes >= 1000 and page_id <> keeper then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 1000 and page_id <> keeper then keeper end as refers_to
         from k left join m on payload_digest = d""",
+    "op12_fill_in_middle": """
+        with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        g as (select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as a, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as b,
+                     cast('0x' || substr(h, 17, 8) as bigint) % 100 as c, cast('0x' || substr(h, 25, 8) as bigint) % 100 as e from d),
+        f as (select *, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c >= 90 then 'plain' when e < 20 then 'spm' else 'psm' end as form,
+                     substr(t, 1, least(a, b)) as p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) as m, substr(t, greatest(a, b) + 1) as s from g)
+        select doc_id, n, form, case when form <> 'plain' then least(a, b) end as prefix_chars, case when form <> 'plain' then greatest(a, b) - least(a, b) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+               sha256(t) as restored_sha256
+        from f""",
 }
