@@ -170,6 +170,27 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
 
 
+def row_name(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The same as 128 bits, by which a row is known outside."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+def _once(batches):
+    """Each ``h`` once a task: a row that is repeated any number of times is sent on once by each."""
+    seen: set[int] = set()
+    for batch in batches:
+        h = batch.column("h").to_pylist()
+        keep = []
+        for i, x in enumerate(h):
+            if x not in seen:
+                seen.add(x)
+                keep.append(i)
+        if len(keep) == len(h):
+            yield batch
+        elif keep:
+            yield batch.take(pa.array(keep, pa.int64()))
+
+
 def _sets(batches, text: str, width: int):
     for batch in batches:
         for part in arrays.slices(batch, text):
@@ -181,7 +202,7 @@ def _summaries(width: int):
     def run(batches):
         for part, flat, off in _sets(batches, "text", width):
             keys = set_keys(flat, off)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(off), pa.int64()), *(pa.array(keys[:, j]) for j in (0, 1))], names=["doc_id", "h", "n", "ka", "kb"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), part.column("row"), pa.array(np.diff(off), pa.int64()), *(pa.array(keys[:, j]) for j in (0, 1))], names=["doc_id", "h", "row", "n", "ka", "kb"])
 
     return run
 
@@ -486,7 +507,7 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
     its rows has one).  Null and empty texts, and texts without words, have no shingles and
     link with nothing, so they stand alone.  Links are between sets, so rows with equal
     doc_ids and different texts link each for itself, and rows with a null doc_id link like
-    others.  Repeated rows each give a row.  ``row`` is ``row_key`` of the row; ``kept`` marks
+    others.  Repeated rows each give a row.  ``row`` is ``row_name`` of the row; ``kept`` marks
     the rows of one doc_id and text of each component (the smallest doc_id, nulls last).
     Other columns are ignored, whatever their names.
 
@@ -502,7 +523,8 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
        with all others of the group, part by part.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", row_key())
-    rows = saved(base.mapInArrow(_summaries(width), "doc_id long, h long, n long, ka long, kb long"), "sets")
+    named = base.select("doc_id", "text", "h", row_name().alias("row"))
+    rows = saved(named.mapInArrow(_summaries(width), "doc_id long, h long, row binary, n long, ka long, kb long"), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")).alias("first")
     classes = rows.where("n > 0").groupBy("ka", "kb").agg(first, F.first("n").alias("n")).select("ka", "kb", "n", "first.*")
@@ -511,12 +533,12 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
     group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), folded=True)
     member = saved(classes.join(group, F.col("ka") == F.col("id")).drop("id").withColumnRenamed("component", "c").withColumn("node", F.monotonically_increasing_id()), "members")
     units = Units(threshold, width, unit_sets, unit_shingles)
-    found = units.settle(member, base.select("h", "text"), "h", units.refine)
+    found = units.settle(member, base.select("h", "text").mapInArrow(_once, "h long, text string"), "h", units.refine)
     label = reduce(DataFrame.union, found).select(F.col("ka").alias("ga"), F.col("kb").alias("gb"), *_FIRST)
-    named = classes.join(label, (F.col("ka") == F.col("ga")) & (F.col("kb") == F.col("gb")), "left").select(
+    labelled = classes.join(label, (F.col("ka") == F.col("ga")) & (F.col("kb") == F.col("gb")), "left").select(
         "ka", "kb", *(F.when(F.col("ga").isNull(), classes[own]).otherwise(label[of]).alias(of) for own, of in zip(("no_id", "doc_id", "h"), _FIRST, strict=True))
     )
-    out = rows.join(named, ["ka", "kb"], "left")
+    out = rows.join(labelled, ["ka", "kb"], "left")
     alone = F.col("n") == 0
     out = saved(
         out.select(
@@ -524,7 +546,7 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
             F.col("n").alias("n_shingles"),
             F.when(alone, F.col("doc_id")).when(~F.col("no_id"), F.col("first_id")).alias("component_id"),
             (alone | (F.col("h") == F.col("first_h")) & (F.col("no_id") | F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)))).alias("kept"),
-            F.col("h").alias("row"),
+            "row",
         ),
         "jaccard",
     )

@@ -34,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (Jaccard 0.8 of five-word shingles) the document with the smallest doc_id stays, once if its row repeats."""
     kept = partenum.jaccard_rows(docs).where("kept").select(F.col("row").alias("k")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), partenum.row_key().alias("k"))
-    return rows.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("d.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), partenum.row_name().alias("k"))
+    return rows.dropDuplicates(["k"]).join(kept, "k", "left_semi").select("d.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,27 @@ def test_sketches_never_exceed_the_difference():
         b = np.concatenate((a[: n - n // 3], R.integers(0, 2**63, n).astype(np.uint64)))
         odd = partenum.Sketches([partenum.sketch(a), partenum.sketch(b)]).differ(np.array([0]), np.array([1]))[0]
         assert odd <= len(np.setxor1d(a, b))
+
+
+def test_repeated_rows_are_grouped_once(spark, monkeypatch):
+    """100,000 equal rows and two near copies: what goes to the tasks that compare is a row for each task and text."""
+    from pyspark.sql import functions as F
+
+    from cohortry.llm import partenum
+    from cohortry.llm.common import saved
+
+    text = " ".join(f"w{i}" for i in range(60))
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    near = spark.createDataFrame([(3, text + " more"), (9, text + " other"), (None, None)], "doc_id long, text string")
+    seen = {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        seen.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "saved", counted)
+    docs = copies.union(near).repartition(6)
+    got = partenum.jaccard_rows(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept, r["count"]) for r in got) == [(0, None, True, 1), (3, 3, True, 1), (7, 3, False, 100_000), (9, 3, False, 1)]
+    assert seen["grouped"] <= 6 + 2
