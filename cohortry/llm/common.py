@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """While it holds, jobs send Arrow batches of at most ``rows`` rows: texts are long, and a batch stands in both JVM and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import components, drop_saved, fold_edges, saved
+from .common import components, drop_saved, fold_edges, saved, small_batches
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: First-level partitions are cut into three; a signature covers two of the three, so one error is allowed.
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, those of a bucket, and in how many steps a bucket is looked at.
-FLUSH, BUCKET, STEPS = 1 << 21, 1 << 22, 16
+FLUSH, BUCKET, STEPS = 1 << 20, 1 << 22, 16
 #: Shingles that a task of the exact comparison holds on average, and sets of a candidate group compared at once.
 TASK, UNIT = 1 << 21, 1 << 12
 #: Bytes of sketches compared at once, and pairs of sets listed at once.
@@ -522,6 +522,11 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
        of one cluster meet.  Sets that are not in the group's main component then are compared
        with all others of the group, part by part.
     """
+    with small_batches(docs.sparkSession):
+        return _rows(docs, threshold, width, unit_sets, unit_shingles)
+
+
+def _rows(docs: DataFrame, threshold: Fraction, width: int, unit_sets: int, unit_shingles: int) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", row_key())
     named = base.select("doc_id", "text", "h", row_name().alias("row"))
     rows = saved(named.mapInArrow(_summaries(width), "doc_id long, h long, row binary, n long, ka long, kb long"), "sets")
@@ -533,7 +538,10 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
     group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), folded=True)
     member = saved(classes.join(group, F.col("ka") == F.col("id")).drop("id").withColumnRenamed("component", "c").withColumn("node", F.monotonically_increasing_id()), "members")
     units = Units(threshold, width, unit_sets, unit_shingles)
-    found = units.settle(member, base.select("h", "text").mapInArrow(_once, "h long, text string"), "h", units.refine)
+    texts = base.select("h", "text")
+    if not rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").isEmpty():  # repeated rows
+        texts = texts.mapInArrow(_once, "h long, text string")
+    found = units.settle(member, texts, "h", units.refine)
     label = reduce(DataFrame.union, found).select(F.col("ka").alias("ga"), F.col("kb").alias("gb"), *_FIRST)
     labelled = classes.join(label, (F.col("ka") == F.col("ga")) & (F.col("kb") == F.col("gb")), "left").select(
         "ka", "kb", *(F.when(F.col("ga").isNull(), classes[own]).otherwise(label[of]).alias(of) for own, of in zip(("no_id", "doc_id", "h"), _FIRST, strict=True))
