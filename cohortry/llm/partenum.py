@@ -21,8 +21,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, those of a bucket, and in how many steps a bucket is looked at.
 FLUSH, BUCKET, STEPS = 1 << 20, 1 << 22, 16
-#: Shingles that a task of the exact comparison holds on average, and sets of a candidate group compared at once.
-TASK, UNIT = 1 << 21, 1 << 12
+#: Shingles that a task of the exact comparison holds on average, shingles and sets of a candidate group compared at once.
+TASK, UNIT_SHINGLES, UNIT = 1 << 19, 1 << 21, 1 << 12
 #: Bytes of sketches compared at once, and pairs of sets listed at once.
 SKETCH_BYTES, PAIRS = 4 << 20, 1 << 19
 
@@ -455,8 +455,10 @@ def _compare(threshold: Fraction, width: int, final: bool):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        text = table.column("text").combine_chunks()
-        flat, off = shingle_sets(*arrays.buffers(text), width)
+        made = [shingle_sets(*arrays.buffers(part.column(0)), width) for b in table.select(["text"]).to_batches() for part in arrays.slices(b, "text")]
+        flat = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in made)])
+        off = np.cumsum(np.concatenate([[0], *(np.diff(x[1]) for x in made)]))
+        del made
         keys = set_keys(flat, off)
         given = np.stack([table.column(c).to_numpy() for c in ("ka", "kb")], axis=1)
         cols = {c: table.column(c).to_numpy() for c in ("unit", "node", "component", "doc_id", "h")}
@@ -499,7 +501,7 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     return jaccard_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width: int = 5, unit_sets: int = UNIT, unit_shingles: int = TASK) -> DataFrame:
+def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width: int = 5, unit_sets: int = UNIT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row) for every row of ``docs`` (doc_id long, text).
 
     Two documents link when the Jaccard similarity of their sets of ``width``-word shingles

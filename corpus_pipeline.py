@@ -17,12 +17,20 @@ from cohortry.llm.common import documents, saved
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From here on the session sends Arrow batches of at most 1024 texts: they stand in JVM and Python at once, and what a stage returns is run by its caller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1024:
+        spark.conf.set(name, "1024")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without an identified language: no letter, or a best share no more than a tenth above chance.
 
     The classifier learns from the declared languages of a bounded sample; where nothing was
     learned, only documents without a letter are rejected.  A missing lang is filled in.
     """
+    short_batches(spark)
     model = langid.train(docs)
     least = 1.1 / max(1, len(model.langs)) if model and len(model.langs) > 1 else 0.0
     found = (F.col("lang_pred") != "und") & (F.col("score") >= least) if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -33,6 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (Jaccard 0.8 of five-word shingles) the document with the smallest doc_id stays, once if its row repeats."""
+    short_batches(spark)
     kept = partenum.jaccard_rows(docs).where("kept").select(F.col("row").alias("k")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), partenum.row_name().alias("k"))
     return rows.dropDuplicates(["k"]).join(kept, "k", "left_semi").select("d.*")
@@ -43,6 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Bytes of a character that was cut in two go as well.  A document of which nothing is left goes.
     """
+    short_batches(spark)
     kept = repeats.remove_repeats(docs, as_text=True)
     kept = kept.select(F.col("doc_id").alias("id"), "text_md5", F.col("kept").alias("left")).where("left <> ''")
     rows = docs.select("doc_id", "lang", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
@@ -52,11 +62,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes from each source the words that its weight asks for, some documents several times, shuffled in shards."""
+    short_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it exactly."""
+    short_batches(spark)
     return pieces.encode(docs.select("doc_id", "text", "lang", "source"), "text", verify=True).select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "exact")
 
 
