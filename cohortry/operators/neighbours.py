@@ -242,3 +242,55 @@ def _last(batches):
         table = pa.Table.from_batches(parts)
         keep = forest(*(table.column(c).to_numpy() for c in ("ca", "cb", "w")))
         yield from table.select(["a", "b", "w"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def neighbours_of(queries: DataFrame, space: Blocks, k: int) -> DataFrame:
+    """(id, other, dist, rank) of the ``k`` nearest points of a space for rows (id long, x array<double>) outside of it.
+
+    A row looks into its nearest ball first; the k-th distance found there bounds which other balls it is sent to.
+    """
+    centre, radius = space.centres, space.radii
+    size = {r.block: r.n for r in space.rows.select("block", (F.length("ids") / 8).cast("long").alias("n")).collect()}  # a row a block
+    count = np.array([size.get(b, 0) for b in range(len(centre))])
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                d = distances(np.stack(f["x"].to_numpy()).astype(np.float64), centre)
+                yield f[["id", "x"]].assign(block=np.where(count > 0, d, np.inf).argmin(axis=1).astype(np.int32))
+
+    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64")})]
+        if len(q) and len(b):
+            ids = np.frombuffer(b["ids"].iloc[0], np.int64)
+            xs = unpack(b["xs"].iloc[0], len(ids))
+            for lo in range(0, len(q), 512):
+                own = q.iloc[lo : lo + 512]
+                d = distances(np.stack(own["x"].to_numpy()).astype(np.float64), xs)
+                m = min(k, d.shape[1])
+                at = np.argpartition(d, m - 1, axis=1)[:, :m]
+                out.append(pd.DataFrame({"id": np.repeat(own["id"].to_numpy(), m), "other": ids[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    schema = "id long, other long, dist double"
+    given = written(queries.select("id", "x").mapInPandas(first, "id long, x array<double>, block int"), "queries")
+    found = written(given.groupBy("block").cogroup(space.rows.select("block", "ids", "xs").groupBy("block")).applyInPandas(compare, schema), "first-near")
+    far = found.groupBy("id").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
+
+    def further(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            d = distances(np.stack(f["x"].to_numpy()).astype(np.float64), centre)
+            bound = np.where(f["n"].to_numpy() >= k, f["far"].to_numpy(), np.inf) * (1 + 1e-9)
+            ok = (d - radius[None, :] - 1e-9 <= bound[:, None]) & (count > 0)[None, :]
+            ok[np.arange(len(f)), f["block"].to_numpy()] = False
+            i, j = np.nonzero(ok)
+            for lo in range(0, len(i), 10_000):
+                r = i[lo : lo + 10_000]
+                yield pd.DataFrame({"id": f["id"].to_numpy()[r], "x": f["x"].to_numpy()[r], "block": j[lo : lo + 10_000].astype(np.int32)})
+
+    sent = given.join(far, "id").mapInPandas(further, "id long, x array<double>, block int")
+    more = sent.groupBy("block").cogroup(space.rows.select("block", "ids", "xs").groupBy("block")).applyInPandas(compare, schema)
+    w = Window.partitionBy("id").orderBy("dist", "other")
+    return written(found.union(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "neighbours")
