@@ -349,31 +349,17 @@ def _emit_sketched(threshold: Fraction, width: int, buckets: int):
 def _plausible(threshold: Fraction):
     """A spanning forest (a, b: nodes) of the sets of a bucket that share a signature and whose sizes and sketches don't exclude a link."""
 
-    def run(table: pa.Table) -> pa.Table:
-        node, size, marks, sig, at = [], [], [], [], []
-        for n, k, m, s in zip(*(table.column(c).to_pylist() for c in ("nodes", "sizes", "marks", "sigs")), strict=True):
-            x = np.frombuffer(s, np.uint64)
-            sig.append(x >> np.uint64(16))
-            at.append((x & np.uint64(0xFFFF)).astype(np.int64) + sum(map(len, node)))
-            node.append(np.frombuffer(n, np.int64))
-            size.append(np.frombuffer(k, np.int64))
-            cut = np.cumsum([sketch_cells(c) // 8 for c in size[-1].tolist()])
-            marks += np.split(np.frombuffer(m, np.uint8), cut[:-1])
-        node, size, sig, at = (np.concatenate(x) for x in (node, size, sig, at))
-        names, first, back = np.unique(node, return_index=True, return_inverse=True)
-        n, at = size[first], back[at]
-        sketches = Sketches([marks[k] for k in first.tolist()])
-        order = np.lexsort((n[at], sig))
+    def join(sig, at, n, sketches, comp, seen):
+        """The components after all plausible links of sets that share one of some signatures."""
+        order = np.lexsort((at, n[at], sig))
         sig, at = sig[order], at[order]
-        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])))
+        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])))[: len(sig)]
         sig, at = sig[fresh], at[fresh]
         # the partners of an entry: those behind it in its group, up to the size that can link
         end = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
         end = np.repeat(end, np.diff(np.concatenate(([0], end))))
         top = np.minimum(end, np.searchsorted(_in_group(sig, n[at]), _in_group(sig, n[at] * threshold.denominator // threshold.numerator), side="right"))
         count = np.maximum(top - np.arange(len(sig)) - 1, 0)
-        comp = np.arange(len(names))
-        seen = np.zeros(0, np.int64)
         total = np.cumsum(count)
         k = 0
         while k < len(sig):
@@ -382,19 +368,41 @@ def _plausible(threshold: Fraction):
             q = at[arrays.ranges(np.arange(k, stop) + 1, count[k:stop])]
             k = stop
             apart = np.flatnonzero(comp[p] != comp[q])
-            code = np.unique(np.minimum(p[apart], q[apart]) * len(names) + np.maximum(p[apart], q[apart]))
+            code = np.unique(np.minimum(p[apart], q[apart]) * len(n) + np.maximum(p[apart], q[apart]))
             code = code[~np.isin(code, seen, assume_unique=True)]
             if not len(code):
                 continue
             if len(seen) < 1 << 20:
                 seen = np.concatenate((seen, code))
-            p, q = code // len(names), code % len(names)
+            p, q = code // len(n), code % len(n)
             ok = (threshold.numerator + threshold.denominator) * sketches.differ(p, q) <= (threshold.denominator - threshold.numerator) * (n[p] + n[q])
             if ok.any():
                 hi, lo = fold_edges(comp[p[ok]], comp[q[ok]])
-                root = np.arange(len(names))
+                root = np.arange(len(n))
                 root[hi] = lo
                 comp = root[comp]
+        return comp, seen
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, sizes = (_views(table.column(c), np.int64) for c in ("nodes", "sizes"))
+        parts, marks = _views(table.column("sigs"), np.uint64), []
+        for k, m in zip(sizes, _views(table.column("marks"), np.uint8), strict=True):
+            marks += np.split(m, np.cumsum([sketch_cells(c) // 8 for c in k.tolist()])[:-1])
+        names, first, back = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
+        n, base = np.concatenate(sizes)[first], np.cumsum([0, *map(len, nodes)])
+        sketches = Sketches([marks[k] for k in first.tolist()])
+        del marks
+        comp, seen = np.arange(len(names)), np.zeros(0, np.int64)
+        low, high = min(int(s.min()) >> 16 for s in parts), max(int(s.max()) >> 16 for s in parts) + 1
+        for i in range(STEPS):  # by ranges of signatures: equal ones meet in one step
+            lo, hi = (np.uint64(low + (high - low) * j // STEPS) for j in (i, i + 1))
+            sig, at = [], []
+            for s, shift in zip(parts, base, strict=False):
+                x = s >> np.uint64(16)
+                own = np.flatnonzero((x >= lo) & (x < hi))
+                sig.append(x[own])
+                at.append(back[(s[own] & np.uint64(0xFFFF)).astype(np.int64) + shift])
+            comp, seen = join(np.concatenate(sig), np.concatenate(at), n, sketches, comp, seen)
         joined = np.flatnonzero(comp != np.arange(len(names)))
         arrays.trim()
         return pa.table({"a": pa.array(names[joined], pa.int64()), "b": pa.array(names[comp[joined]], pa.int64())})
@@ -404,6 +412,8 @@ def _plausible(threshold: Fraction):
 
 def _in_group(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Numbers that order entries by signature group, then by size."""
+    if not len(sig):
+        return np.zeros(0)
     group = np.cumsum(np.concatenate(([0], sig[1:] != sig[:-1])))
     return group.astype(np.float64) * 2.0**24 + np.minimum(n, 2**24 - 1)
 
