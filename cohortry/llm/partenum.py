@@ -203,6 +203,7 @@ def _summaries(width: int):
         for part, flat, off in _sets(batches, "text", width):
             keys = set_keys(flat, off)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), part.column("row"), pa.array(np.diff(off), pa.int64()), *(pa.array(keys[:, j]) for j in (0, 1))], names=["doc_id", "h", "row", "n", "ka", "kb"])
+        arrays.trim()
 
     return run
 
@@ -266,6 +267,8 @@ def _emit(threshold: Fraction, width: int, buckets: int):
                 seen.clear()
         if keys:
             yield from flush()
+        seen.clear()
+        arrays.trim()
 
     return run
 
@@ -303,6 +306,8 @@ def _candidates(table: pa.Table) -> pa.Table:
     pairs = np.concatenate([np.zeros((2, 0), np.int64), *links], axis=1)
     pairs = pairs[:, pairs[0] != pairs[1]]
     hi, lo = fold_edges(*pairs)
+    del links, pairs
+    arrays.trim()
     return pa.table({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
 
 
@@ -327,6 +332,8 @@ def _emit_sketched(threshold: Fraction, width: int, buckets: int):
                     row = (b, node[used].tobytes(), n[used].tobytes(), marks.tobytes(), ((sig[own] << np.uint64(16)) | place.astype(np.uint64)).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "nodes", "sizes", "marks", "sigs"])
             held.clear()
+            del sig, at, order
+            arrays.trim()
 
         total = 0
         for part, flat, off in _sets(batches, "text", width):
