@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import aic, bic
+from .neighbours import written
 
 
 def assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -38,12 +39,13 @@ def gaussian_grid(df: DataFrame, cols: Sequence[str], counts: Sequence[int], see
 def mixed_mixture(df: DataFrame, numeric: Sequence[str], binary: Sequence[str], k: int, *, iterations: int = 50, tolerance: float = 1.0, seed: int = 222) -> dict:
     """EM for full-covariance Gaussians of numeric and Bernoullis of binary columns.
 
-    Each iteration is one pass: tasks return the sufficient statistics of their rows, k small
-    matrices a batch, summed on the driver.
+    Each iteration is one pass over a narrow table, written once: tasks add up the sufficient statistics
+    of their rows, Spark adds these up place by place, and the driver gets one number a place.
     """
     d, b = len(numeric), len(binary)
     cols = [*numeric, *binary]
-    first = df.select(*(F.col(c).cast("double") for c in cols)).orderBy(F.xxhash64(F.lit(seed), *cols)).limit(max(50 * k, 200)).toPandas().to_numpy()
+    narrow = written(df.select(*(F.col(c).cast("double") for c in cols)).dropna(), "mixture")
+    first = narrow.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(max(50 * k, 200)).toPandas().to_numpy()
     rng = np.random.default_rng(seed)
     mu = first[rng.permutation(len(first))[:k], :d].copy()
     cov = np.stack([np.cov(first[:, :d].T).reshape(d, d) + 1e-6 * np.eye(d)] * k)
@@ -53,6 +55,7 @@ def mixed_mixture(df: DataFrame, numeric: Sequence[str], binary: Sequence[str],
         par = (pi, mu, cov, q)
 
         def run(frames, par=par):
+            total = 0.0
             for f in frames:
                 x = f.to_numpy(np.float64)
                 if not len(x):
@@ -63,10 +66,13 @@ def mixed_mixture(df: DataFrame, numeric: Sequence[str], binary: Sequence[str],
                 ll = (top[:, 0] + np.log(r.sum(axis=1))).sum()
                 r /= r.sum(axis=1, keepdims=True)
                 s2 = np.einsum("nk,ni,nj->kij", r, x[:, :d], x[:, :d])
-                yield pd.DataFrame({"s": [np.concatenate([[ll, len(x)], r.sum(axis=0), (r.T @ x).ravel(), s2.ravel()])]})
+                total = total + np.concatenate([[ll, len(x)], r.sum(axis=0), (r.T @ x).ravel(), s2.ravel()])
+            if np.ndim(total):
+                yield pd.DataFrame({"s": [total]})
 
-        total = np.sum([np.array(row.s) for row in df.select(*(F.col(c).cast("double") for c in cols)).mapInPandas(run, "s array<double>").collect()], axis=0)
-        ll, n = total[:2]
+        sums = narrow.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        total = np.array([r.v for r in sums.orderBy("i").collect()])
+        ll, n = float(total[0]), int(total[1])
         w = total[2 : 2 + k]
         s1 = total[2 + k : 2 + k + k * (d + b)].reshape(k, d + b)
         s2 = total[2 + k + k * (d + b) :].reshape(k, d, d)
@@ -74,12 +80,12 @@ def mixed_mixture(df: DataFrame, numeric: Sequence[str], binary: Sequence[str],
         pi, mu = w / w.sum(), s1[:, :d] / w[:, None]
         cov = s2 / w[:, None, None] - np.einsum("ki,kj->kij", mu, mu) + 1e-6 * np.eye(d)
         q = np.clip(s1[:, d:] / w[:, None], 1e-6, 1 - 1e-6)
-        history.append(float(ll))
+        history.append(ll)
         if abs(ll - last) < tolerance:
             break
         last = ll
     free = k - 1 + k * d + k * d * (d + 1) // 2 + k * b
-    return {"weights": pi, "means": mu, "covariances": cov, "probabilities": q, "history": history, "aic": aic(history[-1] / n, int(n), free), "bic": bic(history[-1] / n, int(n), free)}
+    return {"weights": pi, "means": mu, "covariances": cov, "probabilities": q, "history": history, "aic": float(aic(history[-1] / n, n, free)), "bic": float(bic(history[-1] / n, n, free))}
 
 
 def log_density(x: np.ndarray, par: tuple, d: int) -> np.ndarray:

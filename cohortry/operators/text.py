@@ -69,6 +69,17 @@ CLASSES = (
 WORD = "[a-zA-Z]+"
 QUOTES = "[’`]"
 SPARE_META = r"(?!\S*>)"
+# Dutch words without meaning of their own, and patterns of such words.
+STOP_WORDS = """dd daarbij en bij met na van in toch voor de of op door te re nog het als wat een aan links wel is dat naar st al ex dan wil
+ik om kan sinds li mg via deze dus tot mijn dr ziekte hr per ze toe uur alleen laten zo mogelijk week wk eigenlijk heel omdat daar veel want vooral af gv
+vraag mevrouw mee graag hier anders die maar iets alles soms zijn zelf ook haar ok hun kunnen hebben hem dhr zoon er meer willen minder mw hele hij net
+gekregen maken zij doet doen lijkt was zich dit over nl fax code flevohuis koesoebjono vanwege soort zh heer vandaag gaat gaan gegaan""".split()
+STOP_PATTERNS = [
+    "^.$", r"^\d+.*$", "^perso.+$", "^telefo.+$", "^datum.*$", r"^\w*amstel.*$", "^patient.*$", "^.*nummer.*$", "^ziekenhuis.*$", "^.*afspraak.*$",
+    "^.*formulier.*$", "^.*administratie.*$", r"^locatie-\d+$",
+]
+# Marks that stand alone, and the words they stand for.
+SHORTHAND = {"+": "positief", "++": "heel-positief", "+++": "erg-positief", "-": "negatief", "--": "heel-negatief", "---": "erg-negatief"}
 # Words that deny or affirm the word behind (prefix) or before them (suffix).
 NEG_PREFIX = ["geen", "zonder", "niet", "niets", "nooit", "tegen", "goed_NEG"]
 POS_PREFIX = ["goede", "goed"]
@@ -82,6 +93,19 @@ def bind_dutch_modifiers(df: DataFrame, col: str) -> DataFrame:
     return bind_modifiers(df, col, neg_prefix=NEG_PREFIX, pos_prefix=POS_PREFIX, neg_suffix=NEG_SUFFIX, pos_suffix=POS_SUFFIX)
 
 
+def drop_dutch_stop_words(tok: Column) -> Column:
+    """Without the fixed words and what the fixed patterns match; patterns are tried as one."""
+    any_ = "|".join(f"(?:{p})" for p in STOP_PATTERNS)
+    return F.filter(tok, lambda t: ~t.isin(STOP_WORDS) & ~t.rlike(any_))
+
+
+def spell_out(col: Column) -> Column:
+    """Marks between blanks become the words they stand for; runs of blanks become one."""
+    words = F.split(col, r"[ \t\n\r\f]+")
+    known = F.create_map(*(F.lit(x) for kv in SHORTHAND.items() for x in kv))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+
+
 def additive_tokens(col: Column, substitute: Sequence[str] = (), ignore: Sequence[str] = ()) -> Column:
     """Tokens of all classes and words; null gives none.
 

@@ -74,7 +74,7 @@ def _(t):
     return G.risk_flags(coded(t), "pid", "code", _LIBRARY)
 
 
-_MORE = {k: v for k, v in G.RISK_FACTORS_LEGACY.items() if k in ("myocardial_infarction", "aortic_stenosis", "mitralis_insufficiency", "alcoholism", "wernicke_korsakoff", "malignancy", "obesity")}
+_MORE = G.RISK_FACTORS_LEGACY
 
 
 @query("fil_15_legacy_factors", f"with {_CODED} select pid, {_flags_sql(_MORE)} from coded group by 1")

@@ -182,12 +182,6 @@ def _(t):
     return rows.groupBy("thr").agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"), S.r6(F.avg("y")).alias("incidence"))
 
 
-@query("agg_25_table_one", f"with {OUT} select coalesce(sex, 'ALL') as sex, count(*) as n, round(100.0::double * sum(case when event then 1 else 0 end) / count(*), 6) as pct, round(1000.0::double * sum(case when event then 1 else 0 end) / (sum(last - {9131}) / 365.2422::double), 6) as rate from outc join pat on outc.pid = pat.pid group by rollup (sex)")
-def _(t):
-    y = F.col("event").cast("double")
-    return R.with_all(outcomes(t).join(patients(t), "pid"), "sex", [F.count("*").alias("n"), S.r6(F.sum(y) * 100.0 / F.count("*")).alias("pct"), S.r6(F.sum(y) * 1000.0 / (F.sum(F.col("last") - 9131) / F.lit(365.2422))).alias("rate")])
-
-
 @query("agg_26_practice_incidence", f"with {PAT} select practice_id, count(*) as n, round(avg(case when event then 1.0::double else 0 end), 6) as incidence from pat group by 1")
 def _(t):
     return patients(t).groupBy("practice_id").agg(F.count("*").alias("n"), S.r6(F.avg(F.col("event").cast("double"))).alias("incidence"))
@@ -566,10 +560,9 @@ def _(t):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("map_01_invert", "select category, string_agg(code, ',' order by code) as codes from (values ('1', 'urgent'), ('2', 'urgent'), ('3', 'normal')) m(code, category) group by 1")
+@query("map_01_invert", "select o_orderstatus as category, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as codes from orders group by 1")
 def _(t):
-    m = t.spark.createDataFrame([("1", "urgent"), ("2", "urgent"), ("3", "normal")], "code string, category string")
-    return m.groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("codes"))
+    return t.orders.groupBy(F.col("o_orderstatus").alias("category")).agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ",").alias("codes"))
 
 
 @query("ml_05_correlation_prune", "select 'b' as dropped")

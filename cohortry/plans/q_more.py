@@ -40,15 +40,16 @@ def _(t):
     return episodes(t).join(m, "code", "left").groupBy("code", F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.count("*").alias("n"))
 
 
-@query("prj_03_name_selection", "select * from (values ('l_discount'), ('l_extendedprice'), ('l_quantity'), ('l_tax')) v(name)")
+@query("prj_03_name_selection", "select distinct event_type || '_' || user_id % 5 as name from events where regexp_matches(event_type, '^(cl|pu)')")
 def _(t):
-    picked = R.select_names(t.lineitem.columns, r"^l_(disc|ext|quant|tax)")
-    return t.spark.createDataFrame([(c,) for c in sorted(picked)], "name string")
+    """Of the feature names that events give, those of two kinds."""
+    names = [r[0] for r in t.events.select(F.concat("event_type", F.lit("_"), (F.col("user_id") % 5).cast("string"))).distinct().collect()]
+    return t.spark.createDataFrame([(c,) for c in sorted(R.select_names(names, r"^(cl|pu)"))], "name string")
 
 
-@query("rsh_04_decode_names", "select * from (values ('0_24_tw_icpc_ep_cats0_K7', 'icpc_ep', 'cats0_K7'), ('0_24_tw_atc_code_cats0_C03C', 'atc_code', 'cats0_C03C')) v(name, var, code)")
+@query("rsh_04_decode_names", "select distinct '0_24_tw_icpc_ep_cats' || p_size % 3 || '_' || p_brand as name, 'icpc_ep' as var, 'cats' || p_size % 3 || '_' || p_brand as code from part")
 def _(t):
-    c = t.spark.createDataFrame([("0_24_tw_icpc_ep_cats0_K7",), ("0_24_tw_atc_code_cats0_C03C",)], "name string")
+    c = t.part.select(F.concat(F.lit("0_24_tw_icpc_ep_cats"), (F.col("p_size") % 3).cast("string"), F.lit("_"), "p_brand").alias("name")).distinct()
     p = r"^\d+_\d+_(?:tw|m|n|mx)_(.*?)_(cats\d+_.*)$"
     return c.select("name", F.regexp_extract("name", p, 1).alias("var"), F.regexp_extract("name", p, 2).alias("code"))
 
@@ -63,10 +64,6 @@ def _(t):
     return t.documents.sample(0.5, 42).select("doc_id")
 
 
-@query("srt_04_closest_patients", "with s as (select doc_id % 20 as pid, n_chars from documents) select pid, max(n_chars) as best from s group by 1 order by best desc, pid limit 10")
-def _(t):
-    return t.documents.groupBy((F.col("doc_id") % 20).alias("pid")).agg(F.max("n_chars").alias("best")).orderBy(F.desc("best"), "pid").limit(10)
-
 
 @query("txt_02_trim_by_time", f"with {OUT} select jrn.pid, count(*) as n from jrn join outc on jrn.pid = outc.pid where day >= last - 400 group by 1")
 def _(t):
@@ -81,9 +78,11 @@ def _(t):
     return d.select("doc_id", F.explode(starts).alias("start"), "tok").select("doc_id", "start", F.size(F.slice("tok", F.col("start") + 1, 50)).alias("n"))
 
 
-@query("ml_07_knee", "select 2 as knee")
+@query("ml_07_knee")
 def _(t):
-    return t.spark.createDataFrame([(R.knee([10, 4, 2, 1.5, 1.2, 1]),)], "knee int")
+    """Where the parts' revenues, by falling size, bend."""
+    total = [r[0] for r in t.lineitem.groupBy("l_partkey").agg(F.sum("l_extendedprice").cast("double").alias("s")).orderBy(F.desc("s")).limit(100).select("s").collect()]
+    return t.spark.createDataFrame([(int(R.knee(total)),)], "knee int")
 
 
 @query("ml_08_boosted_importance", None)
@@ -104,19 +103,12 @@ def _(t):
     return s.groupBy("sex").agg(F.sum((F.col("event") & (F.col("tte") <= 730)).cast("long")).alias("within_two"), S.r6(F.sum(y) * 1000.0 / (F.sum("tte") / F.lit(365.25))).alias("per_1000"))
 
 
-@query("top_05_topic_words", """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id < 50), t as (select label as topic, list(x order by i) as v from (select label, i, avg(x) as x from (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings) group by 1, 2) group by 1),
- n as (select topic, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from t), s as (select topic, vec_id, list_inner_product(e, v) as s from v, n)
- select topic, vec_id from (select *, row_number() over (partition by topic order by s desc, vec_id) as r from s) where r <= 5""")
-def _(t):
-    s = P.similarities(t.embeddings.where("vec_id < 50"), "vec_id", "embedding", *_topics(t))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "vec_id"))).where("r <= 5").select("topic", "vec_id")
-
 
 @query("top_05_all_topic_words", """with v as (select vec_id, embedding::double[] as e from embeddings), t as (select label as topic, list(x order by i) as v from (select label, i, avg(x) as x from (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings) group by 1, 2) group by 1),
  n as (select topic, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from t), s as (select topic, vec_id, list_inner_product(e, v) as s from v, n)
  select topic, vec_id from (select *, row_number() over (partition by topic order by s desc, vec_id) as r from s) where r <= 50""")
 def _(t):
-    """The 50 best of all vectors for each topic; ``top_05_topic_words`` looks at the first 50 vectors only."""
+    """The 50 best of all vectors for each topic."""
     s = P.similarities(t.embeddings, "vec_id", "embedding", *_topics(t))
     return s.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "vec_id"))).where("r <= 50").select("topic", "vec_id")
 

@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import frames as R
 from ..operators import reports as W
 from ..operators import selection as L
+from ..operators import survival
 from ..sources import readers, sheets
 from .q_text import _model_frame
 from .registry import query
@@ -152,9 +153,11 @@ def _(t):
     return out
 
 
-@query("fil_19_shadowed_columns", "select unnest(['copd', 't_af', 'x']) as col")
+@query("fil_19_shadowed_columns", "with n as (select distinct event_type as c, user_id % 2 = 0 as twice from events) select c as col from n where twice union select 't_' || c from n where c not in (select c from n where twice)")
 def _(t):
-    return t.spark.createDataFrame([(c,) for c in R.drop_shadowed(["t_copd", "copd", "t_af", "x", "t_x"])], "col string")
+    """A flag goes where the plain name, here of the kinds of events that even users have, is there too."""
+    rows = t.events.select("event_type", (F.col("user_id") % 2 == 0).alias("both")).distinct().collect()
+    return t.spark.createDataFrame([(c,) for c in R.drop_shadowed(sorted({f"t_{r.event_type}" for r in rows} | {r.event_type for r in rows if r.both}))], "col string")
 
 
 @query("ml_01_mixture_grid")
@@ -214,3 +217,29 @@ def _(t):
     rows = outcomes(t).join(patients(t), "pid").select((F.col("last") - 9131).alias("time"), "event", (F.col("age_days") / 3652.5).alias("decades"), (F.col("sex") == "M").cast("int").alias("male"))
     m = L.cox(rows, ["decades", "male"], "time", "event")
     return t.spark.createDataFrame([(k, v, e) for (k, v), e in zip(m["coefficients"].items(), m["errors"], strict=True)], "name string, coefficient double, error double")
+
+
+_LIVES = "select (c_custkey * 37) % 365 + 1 as t, c_custkey % 3 = 0 as e, round(c_acctbal) as s from customer"
+
+
+def _lives(t):
+    return t.customer.select(((F.col("c_custkey") * 37) % 365 + 1).alias("t"), (F.col("c_custkey") % 3 == 0).alias("e"), F.round("c_acctbal").alias("s"), (F.col("c_nationkey") / 25).alias("nation"), ((F.col("c_custkey") * 7) % 11).alias("k"))
+
+
+@query(
+    "ml_15_concordance",
+    f"""with p as ({_LIVES}), v as (select a.s as x, b.s as y from p a join p b on b.t > a.t or (b.t = a.t and not b.e) where a.e)
+ select count(*) filter (where x > y)::bigint as concordant, count(*) filter (where x < y)::bigint as discordant, count(*) filter (where x = y)::bigint as tied,
+ round((count(*) filter (where x > y) + count(*) filter (where x = y) / 2.0::double) / count(*), 6) as concordance from v""",
+)
+def _(t):
+    """Pairs of customers in the order that their balances foretell, counted by ranges."""
+    c = survival.concordance(_lives(t), "t", "e", "s")
+    return t.spark.createDataFrame([(*(int(c[k]) for k in ("concordant", "discordant", "tied")), round(c["concordance"], 6))], "concordant long, discordant long, tied long, concordance double")
+
+
+@query("ml_15_penalised_cox")
+def _(t):
+    """Proportional hazards of all customers with an absolute penalty; tested by the conditions of an optimum."""
+    m = survival.penalised_cox(_lives(t).withColumn("e", F.col("e").cast("int")), ["s", "nation", "k"], "t", "e", penalty=0.005)
+    return t.spark.createDataFrame(list(m["coefficients"].items()), "name string, coefficient double")

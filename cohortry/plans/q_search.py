@@ -168,10 +168,11 @@ def _(t):
     return t.spark.createDataFrame([*((c, False) for c in dense), *((c, True) for c in sparse)], "col string, sparse boolean")
 
 
-@query("agg_35_type_census", "select case when name like 'l\\_%' escape '\\' then 'line' when name like 'o\\_%' escape '\\' then 'order' else 'other' end as kind, count(*) as n from (select unnest(['l_tax', 'l_quantity', 'o_orderkey', 'extra']) as name) group by 1")
+@query("agg_35_type_census", "select case when event_type like 'c%' then 'clicks' when event_type like 'p%' then 'buys' else 'other' end as kind, count(distinct event_type || '_' || user_id) as n from events group by 1")
 def _(t):
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_tax", "l_quantity", "o_orderkey", F.lit(1).alias("extra"))
-    return t.spark.createDataFrame(list(R.type_census(df.columns, {"l_": "line", "o_": "order"}).items()), "kind string, n long")
+    """Feature names that events give, counted by family."""
+    names = [r[0] for r in t.events.select(F.concat("event_type", F.lit("_"), F.col("user_id").cast("string"))).distinct().collect()]
+    return t.spark.createDataFrame(list(R.type_census(names, {"c": "clicks", "p": "buys"}).items()), "kind string, n long")
 
 
 @query("prj_04_drop_helpers", "select l_orderkey, l_linenumber, l_tax from lineitem")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import frames as R
+from ..operators import manifold
 from ..operators import models as M
 from ..operators import text as X
 from ..operators import topics as P
+from ..operators.density import density_clusters
+from ..operators.manifold import fuzzy_graph, memberships, reduce_manifold
+from ..operators.neighbours import blocks, neighbours
+from ..operators.paragraphs import paragraph_vectors
+from ..operators.trees import boosted, forest, forest_importance
 from ..sources.readers import scratch
 from ..streaming.windows import time_bins
 from .registry import Tables, query
@@ -36,6 +44,27 @@ def _(t):
     return t.documents.select("doc_id", F.size(X.drop_stop_words(X.tokens(F.col("text"), _TOK), ["the", "of", "and"], ["^th"])).cast("long").alias("n"))
 
 
+_STOP_SQL = f"x not in ({', '.join(repr(w) for w in X.STOP_WORDS)}) and not regexp_matches(x, '{'|'.join(f'(?:{p})' for p in X.STOP_PATTERNS)}')"
+
+
+@query("txt_04_dutch_stop_words", f"select doc_id, len(list_filter({_TSQL}, lambda x: {_STOP_SQL}))::bigint as n, md5(array_to_string(list_filter({_TSQL}, lambda x: {_STOP_SQL}), ' ')) as tokens from documents")
+def _(t):
+    """The fixed words and patterns taken out of all documents."""
+    k = X.drop_dutch_stop_words(X.tokens(F.col("text"), _TOK))
+    return t.documents.select("doc_id", F.size(k).cast("long").alias("n"), F.md5(F.array_join(k, " ")).alias("tokens"))
+
+
+_SPELL_SQL = " ".join(f"when '{k}' then '{v}'" for k, v in X.SHORTHAND.items())
+
+
+@query("txt_05_shorthand", f"""with d as (select doc_id, text || ' koorts ' || repeat(case when doc_id % 2 = 0 then '+' else '-' end, (doc_id % 4)::int) || ' hoest' as text from documents)
+ select doc_id, md5(array_to_string(list_transform(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: case x {_SPELL_SQL} else x end), ' ')) as spelt from d""")
+def _(t):
+    """Marks behind all documents spelt out."""
+    mark = F.repeat(F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"), (F.col("doc_id") % 4).cast("int"))
+    return t.documents.select("doc_id", F.md5(X.spell_out(F.concat("text", F.lit(" koorts "), mark, F.lit(" hoest")))).alias("spelt"))
+
+
 _MARKED = "select doc_id, list_transform(list_zip(tok, range(1, len(tok) + 1)), lambda z: case when not {0} then case when {1} then z[1] || '{2}' else z[1] end end) as tok from {3}"
 
 
@@ -124,7 +153,43 @@ def _(t):
 
 @query("emb_05_density_clusters")
 def _(t):
-    return M.density_clusters(t.embeddings, "embedding", 10).select("vec_id", "cluster")
+    """Density clusters of at least 15 of all vectors, -1 for noise; tested against brute force."""
+    return density_clusters(t.embeddings, "vec_id", "embedding", 15)
+
+
+@query("emb_04_manifold")
+def _(t):
+    """All vectors in eight dimensions, half of them placed beside the others."""
+    return reduce_manifold(t.embeddings, "vec_id", "embedding", 8, rounds=5)
+
+
+@query("emb_07_united_graphs")
+def _(t):
+    """Fuzzy neighbour graphs of the vectors' two halves, by place, united and intersected: edges and weight of each."""
+    x = F.col("embedding").cast("array<double>")
+    sides = [fuzzy_graph(memberships(neighbours(blocks(t.embeddings.select(F.col("vec_id").alias("id"), F.slice(x, lo, 32).alias("x"), F.lit(1.0).alias("w"))), 14), 15)) for lo in (1, 33)]
+    made = {"union": manifold.union(*sides), "intersection": manifold.intersection(*sides), "difference": manifold.difference(*sides)}
+    return functools.reduce(lambda a, b: a.union(b), (g.groupBy(F.lit(k).alias("kind")).agg(F.count("*").alias("edges"), S.r6(F.sum("w")).alias("weight")) for k, g in made.items()))
+
+
+@query("emb_01_document_vectors")
+def _(t):
+    """Vectors of all documents in 100 dimensions, two rounds (300 and 40 by default)."""
+    d = t.documents.select("doc_id", X.tokens(F.col("text"), _TOK).alias("tok"))
+    return paragraph_vectors(d, "doc_id", "tok", size=100, window=5, rounds=2).documents
+
+
+@query("ml_06_leaf_limited_forest")
+def _(t):
+    """Importance in 20 trees of at most 200 leaves, grown best first on balanced samples (5000 by default)."""
+    cols = ["q", "l_extendedprice", "l_discount", "l_tax"]
+    return t.spark.createDataFrame(forest_importance(forest(_model_frame(t), cols, "y", trees=20), cols), "name string, importance double")
+
+
+@query("ml_08_second_order")
+def _(t):
+    """Importance in eight boosted trees by second-order gains (100 by default)."""
+    return t.spark.createDataFrame(boosted(_model_frame(t), ["q", "l_discount", "l_tax"], "y", trees=8).importance(), "name string, importance double")
 
 
 @query("emb_06_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cos from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -220,18 +285,22 @@ def _(t):
     return t.documents.where(F.arrays_overlap(X.tokens(F.col("text"), _TOK), F.array(F.lit("token"), F.lit("license")))).select("doc_id")
 
 
-@query("top_17_parse_columns", "select * from (values ('0_24_epj_text__t10_twPA_dist', 'epj_text', 10), ('0_24_med_text__t3_mx_dist', 'med_text', 3)) v(name, var, topic)")
+@query("top_17_parse_columns", "select distinct '0_24_epj_text__t' || label || '_twPA_dist' as name, 'epj_text' as var, label::int as topic from embeddings")
 def _(t):
-    c = t.spark.createDataFrame([("0_24_epj_text__t10_twPA_dist",), ("0_24_med_text__t3_mx_dist",)], "name string")
+    """Variable and topic of the feature names that the vectors' topics give."""
+    c = t.embeddings.select(F.concat(F.lit("0_24_epj_text__t"), F.col("label").cast("string"), F.lit("_twPA_dist")).alias("name")).distinct()
     p = r"^\d+_\d+_(.*?)__t(\d+)_"
     return c.select("name", F.regexp_extract("name", p, 1).alias("var"), F.regexp_extract("name", p, 2).cast("int").alias("topic"))
 
 
 @query("ml_01_mixture")
 def _(t):
+    """Weights, means and probabilities of three clusters, by falling weight, with the log likelihood they reach."""
     df = t.lineitem.select((F.col("l_quantity") / 50.0).alias("q"), (F.col("l_extendedprice") / 1e5).alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("r"))
     m = M.mixed_mixture(df, ["q", "p"], ["r"], 3, iterations=15)
-    return t.spark.createDataFrame([(i, float(x)) for i, x in enumerate(m["history"])], "iteration int, log_likelihood double")
+    order = np.argsort(-m["weights"], kind="stable")
+    rows = [(i, float(m["weights"][k]), *m["means"][k].tolist(), float(m["probabilities"][k, 0]), m["history"][-1]) for i, k in enumerate(order.tolist())]
+    return t.spark.createDataFrame(rows, "cluster int, weight double, mean_q double, mean_p double, p_r double, log_likelihood double")
 
 
 @query("ml_02_gaussian_grid")
@@ -283,6 +352,8 @@ def _(t):
     return patients(t).orderBy(F.rand(7)).limit(20).select("pid", "sex")
 
 
-@query("prj_08_redundant", "select 'a_2' as dropped union all select 'b_1'")
+@query("prj_08_redundant", "select 'lab_' || max(label) as dropped from embeddings union all select 'u_' || max(user_id % 4) from events")
 def _(t):
-    return t.spark.createDataFrame([(c,) for c in R.redundant_categories(["a_0", "a_1", "a_2", "b_0", "b_1", "postcode_3", "plain"])], "dropped string")
+    """Of the dummies of a table's categories, the last of each variable."""
+    names = [f"lab_{r[0]}" for r in t.embeddings.select("label").distinct().orderBy("label").collect()] + [f"u_{r[0]}" for r in t.events.select(F.col("user_id") % 4).distinct().orderBy(1).collect()]
+    return t.spark.createDataFrame([(c,) for c in R.redundant_categories(names)], "dropped string")
\ No newline at end of file

@@ -22,6 +22,8 @@ class Tables:
 
 def query(name: str, sql: str | None = None):
     def register(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         QUERIES[name].__doc__ = f.__doc__
         if sql:

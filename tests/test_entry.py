@@ -5,7 +5,10 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["slice_features", "src_05_defined_csv", "src_07_episodes", "fil_09_in_follow_up", "jon_16_nesting", "agg_12_acceleration", "agg_19_cluster_all", "agg_33_calibration", "win_01_keep_first", "mth_04_phi", "txt_11_phrases", "top_10_patient_topics", "stream_time_bins"]
+SQL = sorted(entry._queries.ORACLE_SQL)
+OTHERS = sorted(set(entry._queries.QUERIES) - set(SQL))
+#: Tested at length elsewhere.
+SLOW = {"emb_01_document_vectors", "emb_04_manifold", "emb_05_density_clusters", "ml_08_second_order", "ml_06_leaf_limited_forest"}
 
 
 def test_entry(spark):
@@ -16,7 +19,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", SQL)
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -30,3 +33,16 @@ def test_against_sql(spark, name):
     assert sorted(df.columns) == cols
     a = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str)
     assert a == b
+
+
+@pytest.mark.parametrize("name", [n for n in OTHERS if n not in SLOW])
+def test_runs(spark, name):
+    df = entry.queries()[name](spark, FOLDER)
+    assert len(df.columns) > 0 and df.count() >= 0
+
+
+def test_names_are_taken_once():
+    from cohortry.plans.registry import query
+
+    with pytest.raises(ValueError):
+        query(SQL[0])(lambda t: None)
