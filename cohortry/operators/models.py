@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -160,13 +160,3 @@ def reduce_dimensions(df: DataFrame, vector: str, k: int = 8) -> DataFrame:
     """Principal components of an array column."""
     x = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(x).transform(x).withColumn("reduced", vector_to_array("_p")).drop("_v", "_p")
-
-
-def density_clusters(df: DataFrame, vector: str, k: int, noise: float = 0.95, seed: int = 42) -> DataFrame:
-    """Clusters with label -1 for rows whose distance from their centre lies beyond a quantile of all distances."""
-    x = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    m = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(x)
-    centres = [c.tolist() for c in m.clusterCenters()]
-    y = m.transform(x).withColumn("_d", F.aggregate(F.zip_with(F.col(vector), F.get(F.lit(centres), F.col("_c")), lambda a, b: F.pow(a.cast("double") - b, 2)), F.lit(0.0), lambda s, e: s + e))
-    limit = y.agg(F.percentile_approx("_d", noise, 1000).alias("q")).first().q
-    return y.withColumn("cluster", F.when(F.col("_d") <= limit, F.col("_c")).otherwise(-1)).drop("_v", "_c", "_d")
