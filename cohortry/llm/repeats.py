@@ -16,6 +16,8 @@ from .common import release, saved
 LAST = 2**63 - 1  # order of a null doc_id
 #: Bytes of text in a block, pieces' buckets for each block, and minima that a task holds (a bucket gets about as many).
 BLOCK_BYTES, FAN, HELD = 8 << 20, 4, 1 << 19
+#: Bytes of pieces that are hashed at once, and windows that are put in suffix order at once (more only where they have one hash).
+STEP, WINDOWS = 1 << 20, 1 << 17
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -219,7 +221,7 @@ def _runs(texts: pd.DataFrame):
         b = t.encode("utf-8", "surrogatepass")
         raw.append(b)
         size += len(b)
-        if size >= arrays.SLICE_BYTES or i == len(texts) - 1:
+        if size >= arrays.SLICE_BYTES // 2 or i == len(texts) - 1:
             yield np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64), begin
             raw, size, begin = [], 0, i + 1
 
@@ -283,29 +285,55 @@ def _cut(width: int, gram: int, buckets: int):
     return run
 
 
+def _places(n: int) -> type:
+    """Numbers wide enough for places among ``n``."""
+    return np.int32 if n < 2**31 else np.int64
+
+
+def _codes(data: np.ndarray, width: int, start: np.ndarray) -> np.ndarray:
+    """Hashes of the windows from ``start``, made by slices of the data: hashes of all positions would take eight bytes each several times."""
+    code = np.empty(len(start), np.uint64)
+    order = np.argsort(start, kind="stable").astype(_places(len(start)))
+    edges = np.arange(0, len(data) + STEP, STEP)
+    cut = np.searchsorted(start, edges, sorter=order)
+    for lo, a, b in zip(edges.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=False):
+        if b > a:
+            own = order[a:b]
+            code[own] = arrays.rolling(data[lo : lo + STEP + width - 1], width)[start[own] - lo]
+    return code
+
+
 def _gone(data: np.ndarray, width: int, start: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which of the windows from ``start`` also belong to a smaller owner; owners don't fall along the windows.
 
     Windows that one owner has several times are put in suffix order once, and those that
     no other owner has not at all (a periodic text is one run of few different windows).
+    Equal windows have equal hashes: ranges of hashes are put in order one after the other.
     """
-    code = arrays.rolling(data, width)[start]
-    order = np.argsort(code, kind="stable").astype(np.int32)
+    code = _codes(data, width, start)
+    order = np.argsort(code, kind="stable").astype(_places(len(start)))
     code, own = code[order], owner[order]
     value = np.ones(len(code), bool)
     value[1:] = code[1:] != code[:-1]
     del code
     first = value.copy()
     first[1:] |= own[1:] != own[:-1]
+    del own
     at = np.flatnonzero(first)
     group = np.cumsum(value[at])
     shared = np.bincount(group)[group] > 1
-    place = order[at[shared]]
+    place, group = order[at[shared]], group[shared]
+    flags = np.zeros(len(place), bool)
+    windows = np.lib.stride_tricks.sliding_window_view(data, width)
+    a = 0
+    while a < len(place):
+        b = int(np.searchsorted(group, group[min(a + WINDOWS, len(place)) - 1], side="right"))
+        back = np.argsort(place[a:b], kind="stable")  # owners in order
+        part = place[a:b][back]
+        flags[a + back] = repeated(windows[start[part]], owner[part])
+        a = b
     hit = np.zeros(len(at), bool)
-    for_each = np.sort(place)  # owners in order
-    back = np.argsort(place, kind="stable")
-    flags = repeated(np.lib.stride_tricks.sliding_window_view(data, width)[start[for_each]], owner[for_each])
-    hit[np.flatnonzero(shared)[back]] = flags
+    hit[shared] = flags
     out = np.zeros(len(order), bool)
     out[order] = hit[np.cumsum(first) - 1]
     return out
@@ -328,9 +356,9 @@ def _match(width: int):
             order = np.lexsort((first, place, block, ords))
             ords, place, first, block, begin, size = (c[order] for c in (ords, place, first, block, begin, size))
             count = size - width + 1
-            start = arrays.ranges(begin, count).astype(np.int32)
-            piece = np.repeat(np.arange(len(size), dtype=np.int32), count)
-            gone = np.flatnonzero(_gone(data, width, start, np.unique(ords, return_inverse=True)[1].astype(np.int32)[piece]))
+            start = arrays.ranges(begin, count).astype(_places(len(data)))
+            piece = np.repeat(np.arange(len(size), dtype=_places(len(size))), count)
+            gone = np.flatnonzero(_gone(data, width, start, np.unique(ords, return_inverse=True)[1].astype(_places(len(size)))[piece]))
             if len(gone):
                 # runs of window starts in one piece
                 new = np.ones(len(gone), bool)
