@@ -29,6 +29,14 @@ LONG_WORD = 64
 SLICE_BYTES = 2 << 20
 
 
+def apart(least: int = 1 << 20) -> None:
+    """From here on arrays of a megabyte or more get pages of their own and go back to the system as soon as they are freed; else freed ones up to 32 MB stay in a heap with holes."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, least)  # -3: M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trim() -> None:
     """Gives memory that a batch no longer needs back to the system; a worker keeps it else until it ends."""
     pa.default_memory_pool().release_unused()

@@ -21,11 +21,15 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, those of a bucket, and in how many steps a bucket is looked at.
 FLUSH, BUCKET, STEPS = 1 << 20, 1 << 22, 16
+#: Shingles of a bucket whose sets bring their sketches along.
+SKETCHED = 1 << 20
 #: Shingles that a task of the exact comparison holds on average, shingles and sets of a candidate group compared at once.
 TASK, UNIT_SHINGLES, UNIT = 1 << 19, 1 << 21, 1 << 12
 #: Bytes of sketches compared at once, and pairs of sets listed at once.
 SKETCH_BYTES, PAIRS = 4 << 20, 1 << 19
 
+arrays.apart()  # in every worker of this operator
+
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the word shingles of each document, one after the other, and their offsets.
@@ -618,7 +622,7 @@ class Units:
 
     def refine(self, large: DataFrame, shingles: int) -> list[DataFrame]:
         """Large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
-        buckets = max(8, min(1 << 16, -(-shingles // BUCKET)))
+        buckets = max(8, min(1 << 16, -(-shingles // SKETCHED)))
         packed = large.select("text", "node", "ka", "kb").mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
         group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"), folded=True)
         finer = large.drop("c", "parts", "low", "high", "text").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c")
