@@ -19,6 +19,8 @@ BLOCK_BYTES, FAN, HELD = 8 << 20, 4, 1 << 19
 #: Bytes of pieces that are hashed at once, and windows that are put in suffix order at once (more only where they have one hash).
 STEP, WINDOWS = 1 << 20, 1 << 17
 
+arrays.apart()  # in every worker of this operator
+
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
     """For each place the nearest earlier one with a smaller value, -1 if there is none."""
@@ -147,6 +149,29 @@ def _anchors(width: int, gram: int, blocks: int, buckets: int):
     return run
 
 
+def _of_one(run):
+    """A function of a group that hands memory back once its own arrays are gone."""
+
+    def lean(frame: pd.DataFrame) -> pd.DataFrame:
+        out = run(frame)
+        arrays.trim()
+        return out
+
+    return lean
+
+
+def _of_two(run):
+    """The same for a function of two groups."""
+
+    def lean(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = run(left, right)
+        arrays.trim()
+        return out
+
+    return lean
+
+
+@_of_one
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's minima those of two texts at least, for each block that has them."""
     low = [np.frombuffer(x, np.uint64) for x in frame["low"]]
@@ -162,7 +187,6 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((low, block))
     block, low = block[order], low[order]
     cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
-    arrays.trim()
     return pd.DataFrame({"block": block[cut], "kind": 0, "x": [low[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(low)), strict=False)], "y": None})
 
 
@@ -279,10 +303,9 @@ def _cut(width: int, gram: int, buckets: int):
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(send)).tolist(), strict=False):
             own = send[a:b]
             rows.append((int(bucket[a]), block, 3, _pack(ords[doc[own]], place[own], start[own], size[own]), zlib.compress(data[arrays.ranges(begin[own], size[own].astype(np.int64))].tobytes(), 1)))
-        arrays.trim()
         return pd.DataFrame(rows, columns=names)
 
-    return run
+    return _of_two(run)
 
 
 def _places(n: int) -> type:
@@ -371,10 +394,9 @@ def _match(width: int):
                 for b in np.unique(of).tolist():
                     own = of == b
                     out.append(pd.DataFrame({"block": [b], "kind": [2], "x": [_pack(place[p[own]], low[own], high[own])]}))
-        arrays.trim()
         return pd.concat(out, ignore_index=True)
 
-    return run
+    return _of_one(run)
 
 
 def _whole_characters(raw: bytes, edge: list[int]) -> str:
@@ -411,10 +433,9 @@ def _strip(as_text: bool):
                     kept = data[s:e][~own].tobytes() if edge else data[s:e].tobytes()
                 rows.append((begin + i, e - s, kept, [{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2], strict=True)]))
         place = [r[0] for r in rows]
-        arrays.trim()
         return pd.DataFrame({**{c: texts[c].to_numpy()[place] for c in ("ord", "times", "key")}, "n_bytes": [r[1] for r in rows], "left": [r[2] for r in rows], "spans": [r[3] for r in rows]})
 
-    return run
+    return _of_two(run)
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24, as_text: bool = False) -> DataFrame:
