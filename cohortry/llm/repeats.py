@@ -90,6 +90,11 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[
     return np.searchsorted(off, first, side="right") - 1, first, last, low[first]
 
 
+def bucket_of(low: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of minima.  Smallest hashes lie near zero, so their own high bits would fill the first buckets: they are mixed anew."""
+    return ((arrays.mix64(low) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _distinct():
     """Cuts batches (key, text, ...) into slices and leaves out the texts that the task has had before."""
     seen: set[str] = set()
@@ -114,7 +119,7 @@ def _anchors(width: int, gram: int, blocks: int, buckets: int):
 
         def flush():
             block, low = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            bucket = ((low >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = bucket_of(low, buckets)
             group = bucket.astype(np.int64) * blocks + block
             order = np.lexsort((low, group))
             group, low = group[order], low[order]

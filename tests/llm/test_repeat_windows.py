@@ -45,3 +45,13 @@ def test_memory_of_a_large_bucket(monkeypatch):
     tracemalloc.stop()
     assert peak < 16 * len(data)
     assert not got[owner == 0].any()
+
+
+def test_minima_fill_buckets_evenly():
+    """Smallest hashes lie near zero; the fullest of 64 buckets still has at most a fifth more than the mean."""
+    data = np.random.default_rng(3).integers(97, 123, 1 << 20).astype(np.uint8)
+    low = repeats.segments(data, np.array([0, len(data)]), 50, 24)[3] & ~np.uint64(1)
+    count = np.bincount(repeats.bucket_of(low, 64).astype(np.int64), minlength=64)
+    assert count.max() < 1.2 * count.mean()
+    raw = np.bincount(((low >> np.uint64(32)) * np.uint64(64) >> np.uint64(32)).astype(np.int64), minlength=64)
+    assert raw.max() > 10 * raw.mean()
