@@ -94,6 +94,112 @@ def reduce_topics(vectors: np.ndarray, size: Sequence[int], count: int, weighted
     return v, groups
 
 
+def spanning_similarities(vectors: np.ndarray) -> np.ndarray:
+    """Similarities along a greatest spanning tree of the topics, falling: those at or above a threshold are the merges that chaining at it makes."""
+    k = len(vectors)
+    best, out = np.full(k, -np.inf), []
+    left = np.ones(k, bool)
+    at = 0
+    for _ in range(k - 1):
+        left[at] = False
+        best = np.maximum(best, vectors @ vectors[at])
+        at = int(np.argmax(np.where(left, best, -np.inf)))
+        out.append(best[at])
+    return np.sort(np.array(out))[::-1]
+
+
+#: Fixed value: how far along the steps from the first merge to one single topic the stable distance lies.
+STABLE_SHARE = 0.9
+
+
+def stable_distance(vectors: np.ndarray, steps: Sequence[float], share: float = STABLE_SHARE) -> float:
+    """The merging distance, of rising ``steps``, that lies at ``share`` of the way from the first with a merge to the first that leaves one topic.
+
+    If no step leaves one topic, the last one stands in its place; if none merges anything, the
+    first is returned, which then merges nothing.  Topics left at a distance are counted by one
+    spanning tree, not by clustering anew at each step.
+    """
+    steps = sorted(steps)
+    tree = spanning_similarities(vectors)
+    left = [len(vectors) - int((tree >= 1 - e).sum()) for e in steps]
+    first = next((i for i, n in enumerate(left) if n < len(vectors)), None)
+    if first is None:
+        return steps[0]
+    one = next((i for i, n in enumerate(left) if n == 1), len(steps) - 1)
+    return steps[first + round((one - first) * share)]
+
+
+def nearest_topic(docs: DataFrame, vector: str, vectors: np.ndarray) -> DataFrame:
+    """(topic, vec): each vector that isn't null beside the number of its most similar topic (the first of equals)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = np.stack(f["vec"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({"topic": (x @ vectors.T).argmax(axis=1), "vec": f["vec"]})
+
+    rows = docs.select(F.col(vector).cast("array<double>").alias("vec")).where("vec is not null")
+    return rows.mapInPandas(run, "topic int, vec array<double>")
+
+
+def topic_counts(docs: DataFrame, vector: str, vectors: np.ndarray) -> list[int]:
+    """How many vectors each topic is the most similar to: a task returns one row of counts a topic."""
+    k = len(vectors)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(k, np.int64)
+        for f in frames:
+            if len(f):
+                x = np.stack(f[vector].to_numpy()).astype(np.float64)
+                n += np.bincount((x @ vectors.T).argmax(axis=1), minlength=k)
+        yield pd.DataFrame({"topic": np.arange(k), "n": n})
+
+    out = [0] * k
+    rows = docs.select(vector).where(F.col(vector).isNotNull()).mapInPandas(run, "topic int, n long")
+    for r in rows.groupBy("topic").agg(F.sum("n").alias("n")).collect():  # a row a topic
+        out[r.topic] = r.n
+    return out
+
+
+#: Fixed value: documents for each merge between two counts of them.
+DOCS_A_MERGE = 50_000
+
+
+def refreshed_reduction(docs: DataFrame, vector: str, vectors: np.ndarray, size: Sequence[int], count: int, interval: int | None = None, weighted: bool = True) -> tuple[np.ndarray, list[list[int]], list[int]]:
+    """Reduction to ``count`` topics with sizes counted from the documents again: vectors, original topics of each, sizes, by falling size.
+
+    The smallest topic and the one most similar to it (the first of equals) make a new one, the
+    mean weighted by size.  After the first merge and every ``interval`` merges from there (a
+    merge for each 50,000 documents unless given) all documents are counted by their nearest
+    topic, an empty topic as 1; between these the sizes are added.  At the end each topic
+    becomes the normalised mean of the documents nearest to it, one without any stays as it
+    was, and documents are counted once more.  The cost is one pass over the vectors a refresh.
+    """
+    if interval is None:
+        interval = max(1, docs.where(F.col(vector).isNotNull()).count() // DOCS_A_MERGE)
+    topics = [(np.asarray(v, np.float64), int(n), [i]) for i, (v, n) in enumerate(zip(vectors, size))]
+    merges = 0
+    while len(topics) > max(1, count):
+        low = min(range(len(topics)), key=lambda i: topics[i][1])
+        s = np.stack([v for v, _, _ in topics]) @ topics[low][0]
+        s[low] = -np.inf
+        near = int(s.argmax())
+        (a, na, ma), (b, nb, mb) = topics[low], topics[near]
+        mean = a * na + b * nb if weighted else a + b
+        mean = mean / (np.linalg.norm(mean) or 1.0)
+        topics = [x for i, x in enumerate(topics) if i not in (low, near)] + [(mean, na + nb, ma + mb)]
+        if merges % interval == 0:
+            counted = topic_counts(docs, vector, np.stack([v for v, _, _ in topics]))
+            topics = [(v, max(1, n), m) for (v, _, m), n in zip(topics, counted)]
+        merges += 1
+    out = np.stack([v for v, _, _ in topics])
+    for r in topic_vectors(nearest_topic(docs, vector, out), "topic", "vec").collect():  # a row a topic
+        out[r.topic] = r.vec
+    counted = topic_counts(docs, vector, out)
+    order = sorted(range(len(out)), key=lambda i: (-counted[i], i))
+    return out[order], [sorted(topics[i][2]) for i in order], [counted[i] for i in order]
+
+
 def separation(sims: DataFrame, doc: str) -> DataFrame:
     """(topic, score): of documents assigned to their best topic, closeness to it against the mean of the others, in 0 to 1."""
     w = Window.partitionBy(doc).orderBy(F.desc("score"), "topic")

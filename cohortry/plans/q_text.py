@@ -252,6 +252,28 @@ def _(t):
     return t.spark.createDataFrame([(i, names[k]) for i, g in enumerate(groups) for k in g], "topic int, label int")
 
 
+@query("top_06_refreshed")
+def _(t):
+    """Reduction to five topics with sizes counted from all vectors after every second merge, and topics centred anew."""
+    tv = P.topic_vectors(t.embeddings, "label", "embedding")
+    names, v = P.matrix(tv, "label", "vec")
+    size = dict(tv.select("label", "size").collect())
+    _, groups, n = P.refreshed_reduction(t.embeddings, "embedding", v, [size[k] for k in names], 5, interval=2)
+    return t.spark.createDataFrame([(i, names[k], n[i]) for i, g in enumerate(groups) for k in g], "topic int, label int, size long")
+
+
+@query("ded_06_stable_merge", f"""with recursive {_TV}, e as (select unnest(range(0, 201)) as e), near as (select e, a.topic as a, b.topic as b from e, tn a, tn b where a.topic = b.topic or list_inner_product(a.v, b.v) >= 1 - e / 100.0::double),
+ reach as (select e, a, b from near union select r.e, r.a, n.b from reach r join near n on r.e = n.e and r.b = n.a), root as (select e, a, min(b) as low from reach group by 1, 2), left_ as (select e, count(distinct low) as n from root group by 1),
+ f as (select min(e) filter (n < (select count(*) from tn)) as first, coalesce(min(e) filter (n = 1), 200) as one from left_), pick as (select coalesce(first + round_even((one - first) * 0.9::double, 0), 0)::int as e from f)
+ select round(e / 100.0::double, 6) as distance, (dense_rank() over (order by low) - 1)::int as topic, a::int as label from root join pick using (e)""")
+def _(t):
+    """Topics merged at the stable one of the distances 0 to 2 by hundredths."""
+    names, v = _topics(t)
+    e = P.stable_distance(v, [i / 100 for i in range(201)])
+    groups, _ = P.deduplicate(names, v, e)
+    return t.spark.createDataFrame([(e, i, n) for i, g in enumerate(groups) for n in g], "distance double, topic int, label int")
+
+
 @query("top_08_separation", f"with {_TV}, r as (select *, row_number() over (partition by vec_id order by s desc, topic) as r from sim), d as (select vec_id, max(case when r = 1 then topic end) as topic, 1 - max(case when r = 1 then s end) as a, 1 - avg(case when r > 1 then s end) as b from r group by 1) select topic, round(avg(((b - a) / greatest(a, b) + 1) / 2), 6) as score from d group by 1")
 def _(t):
     return P.separation(P.similarities(t.embeddings, "vec_id", "embedding", *_topics(t)), "vec_id").withColumn("score", S.r6(F.col("score")))
