@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables
 from ..operators import cohort as C
 from ..operators import features as X
 from ..operators import frames as R
@@ -417,6 +418,14 @@ def _(t):
     return n.select("pid", "episode_id", F.explode("journals").alias("j")).select("pid", "episode_id", "j.day", "j.flag")
 
 
+@query("rsh_06_flat_rows", f"with {JRN} select pid, jrn.episode_id, day, flag from jrn")
+def _(t):
+    """Nested journals made flat by a lateral table function."""
+    tables.register(t.spark)
+    n = C.nest(episodes(t).select("episode_id", "pid"), journals(t).select("episode_id", "day", "flag", "line"), "episode_id", "journals", ["day", "line"])
+    return t.spark.sql("select n.pid, n.episode_id, f.day, f.flag from {n} n, lateral flat_days(n.journals) f", n=n)
+
+
 @query("scl_01_max_abs", "select s_suppkey, round(s_acctbal / (select max(abs(s_acctbal)) from supplier), 6) as x from supplier")
 def _(t):
     return R.max_abs(t.supplier, ["s_acctbal"])[0].select("s_suppkey", S.r6(F.col("s_acctbal")).alias("x"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables
 from ..operators import frames as R
 from ..operators import manifold
 from ..operators import models as M
@@ -101,6 +102,16 @@ def _(t):
     return d.select("doc_id", F.size("c").cast("long").alias("n"), F.get(F.get("c", F.lit(1)), F.lit(0)).alias("second"))
 
 
+@query("txt_09_chunk_rows", f"""with k as (select doc_id, coalesce({_TSQL}, []) as tok from documents), c as (select doc_id, tok, unnest(range(0, greatest(len(tok), 1), 40)) as b from k)
+ select doc_id, (b // 40)::int as chunk, len(tok[b + 1:b + 50])::int as n, md5(array_to_string(tok[b + 1:b + 50], ' ')) as tokens from c""")
+def _(t):
+    """Chunks by a table function over token rows, partitioned by document and ordered by place."""
+    tables.register(t.spark)
+    rows = t.documents.select("doc_id", F.posexplode_outer(X.tokens(F.col("text"), _TOK)).alias("place", "token"))
+    c = t.spark.sql("select id as doc_id, chunk, tokens from token_chunks(table({rows}) partition by doc_id order by (place), 50, 0.2D)", rows=rows)
+    return c.select("doc_id", "chunk", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens"))
+
+
 @query("txt_11_phrases", f"""with k as (select {_TSQL} as tok from documents), u as (select w, count(*) as n from (select unnest(tok) as w from k) group by 1),
  p as (select a, b, count(*) as n from (select unnest(tok[:-2]) as a, unnest(tok[2:]) as b from k where len(tok) > 1) group by 1, 2 having count(*) >= 5)
  select a, b, p.n, round((p.n - 5)::double * (select count(*) from u) / (x.n * y.n), 6) as score from p join u x on a = x.w join u y on b = y.w where (p.n - 5)::double * (select count(*) from u) / (x.n * y.n) > 10""")
