@@ -20,6 +20,7 @@ from ..operators.neighbours import blocks, neighbours
 from ..operators.paragraphs import paragraph_vectors
 from ..operators.trees import boosted, forest, forest_importance
 from ..sources.readers import scratch
+from ..streaming.sizes import sizes_of_changes, topic_changes, write_changes
 from ..streaming.windows import time_bins
 from .registry import Tables, query
 from .standins import patients
@@ -373,6 +374,23 @@ def _(t):
     return t.spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out).select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
+@query("stream_topic_sizes", """with d as (select vec_id, case when vec_id % 7 = 0 then label + 1 when vec_id % 5 = 0 then null else label end as topic from embeddings)
+ select topic::int as topic, count(*) as size from d where topic is not null group by 1""")
+def _(t):
+    """All vectors join the topic of their label, some are deleted, some of these and of the others come back in another topic; the stream is started again for each part."""
+    e = t.embeddings.select("vec_id", "label")
+    parts = [
+        e.select("vec_id", F.lit(1).alias("number"), F.col("label").cast("int").alias("topic")),
+        e.where("vec_id % 5 = 0").select("vec_id", F.lit(2).alias("number"), F.lit(None).cast("int").alias("topic")),
+        e.where("vec_id % 7 = 0").select("vec_id", F.lit(3).alias("number"), (F.col("label") + 1).cast("int").alias("topic")),
+    ]
+    src, out, mark = (scratch(t.spark, x) for x in ("in", "out", "mark"))
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        write_changes(topic_changes(t.spark.readStream.schema(part.schema).parquet(src), "vec_id", "number", "topic"), out, mark)
+    return sizes_of_changes(t.spark.read.parquet(out))
+
+
 @query("pip_01_tagging", "select doc_id, regexp_matches(text, '(?i)token') or doc_id % 3 = 0 as tagged, source = 'src0' as deceased from documents")
 def _(t):
     from ..operators.tagging import matches
