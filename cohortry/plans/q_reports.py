@@ -126,6 +126,14 @@ def _(t):
     return sheets.read_sheet(t.spark, path, 0).withColumn("mean", F.col("mean").cast("double"))
 
 
+@query("snk_04_workbooks", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
+def _(t):
+    """All orders as workbooks in the order of their keys, read back with their kinds."""
+    folder = readers.scratch(t.spark, "books")
+    sheets.write_workbooks(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), folder, ["o_orderkey"], most=5000)
+    return sheets.read_workbooks(t.spark, folder, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+
+
 @query("src_13_stored_tables", "select true as there, true as deleted, false as after, false as again")
 def _(t):
     path = readers.stored("regions", readers.scratch(t.spark, "tables"), subsample=True)
