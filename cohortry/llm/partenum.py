@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import components, drop_saved, fold_edges, saved, small_batches
+from .common import components, drop_saved, fold_edges, release, saved, small_batches
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: First-level partitions are cut into three; a signature covers two of the three, so one error is allowed.
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a task holds before it hands them on, those of a bucket, and in how many steps a bucket is looked at.
 FLUSH, BUCKET, STEPS = 1 << 20, 1 << 22, 16
+#: Turns in which signatures are sent: a set signs in two bands that follow each other, so each turn has about half of them, and only one turn's are on disk.
+TURNS = 2
 #: Shingles of a bucket whose sets bring their sketches along.
 SKETCHED = 1 << 20
 #: Shingles that a task of the exact comparison holds on average, shingles and sets of a candidate group compared at once.
@@ -161,12 +163,12 @@ def signatures(own: np.ndarray, band: Band) -> np.ndarray:
     return np.concatenate(out)
 
 
-def set_signatures(own: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Signatures in the bands in which the set may be one of a linked pair of different sets."""
+def set_signatures(own: np.ndarray, threshold: Fraction, turn: int | None = None) -> np.ndarray:
+    """Signatures in the bands (all, or those of a turn) in which the set may be one of a linked pair of different sets."""
     n, every = len(own), bands(threshold)
     at = bisect_left(every, n, key=lambda b: b.high)
     most = n * threshold.denominator // threshold.numerator
-    return np.concatenate([np.zeros(0, np.uint64), *(signatures(own, b) for b in every[at : at + 2] if b.low <= most and b.errors > 0)])
+    return np.concatenate([np.zeros(0, np.uint64), *(signatures(own, b) for b in every[at : at + 2] if b.low <= most and b.errors > 0 and (turn is None or b.index % TURNS == turn))])
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -212,8 +214,8 @@ def _summaries(width: int):
     return run
 
 
-def _emit(threshold: Fraction, width: int, buckets: int):
-    """Packed signatures: for each bucket the first key halves of some sets, and (signature's 48 bits, place of the key) as 64-bit numbers.
+def _emit(threshold: Fraction, width: int, buckets: int, turn: int):
+    """Packed signatures of a turn: for each bucket the first key halves of some sets, and (signature's 48 bits, place of the key) as 64-bit numbers.
 
     Sets of one task that share a signature are linked here: the first of them goes on under
     that signature, the others as links (rows without signatures), so a signature that very
@@ -258,7 +260,7 @@ def _emit(threshold: Fraction, width: int, buckets: int):
                 if a == b or key in seen:
                     continue
                 seen.add(key)
-                own = set_signatures(flat[a:b], threshold)
+                own = set_signatures(flat[a:b], threshold, turn)
                 if not len(own):
                     continue
                 keys.append(key[0])
@@ -538,7 +540,8 @@ def jaccard_rows(docs: DataFrame, *, threshold: Fraction = Fraction(4, 5), width
        copies counts once.  2. PartEnum: sizes fall into bands of ratio 1 / threshold; a set
        signs in its own band and the next.  Signatures travel packed, 8 bytes each; sets that
        share one are joined to candidate groups, in a task first, then by buckets, so what is
-       sent and returned are forests, never lists of pairs.  3. Candidate groups of up to
+       sent and returned are forests, never lists of pairs.  They are sent in two turns, one
+       for every other band, and what a step has dealt is deleted before the next.  3. Candidate groups of up to
        ``unit_sets`` sets and ``unit_shingles`` shingles, nearly all, are compared exactly by
        one task each, set by set, leaving out what is linked already.  4. A larger group is
        cut into parts of that size, by hash; two common sets go to all of them, so that parts
@@ -556,9 +559,15 @@ def _rows(docs: DataFrame, threshold: Fraction, width: int, unit_sets: int, unit
     total = rows.agg(F.sum("n")).first()[0] or 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")).alias("first")
     classes = rows.where("n > 0").groupBy("ka", "kb").agg(first, F.first("n").alias("n")).select("ka", "kb", "n", "first.*")
-    buckets = max(8, min(1 << 16, -(-total // BUCKET)))
-    packed = base.select("text").mapInArrow(_emit(threshold, width, buckets), "bucket int, keys binary, sigs binary")
-    group = components(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), folded=True)
+    buckets = max(8, min(1 << 16, -(-total // (BUCKET * TURNS))))
+    forests = []
+    for turn in range(TURNS):
+        packed = base.select("text").mapInArrow(_emit(threshold, width, buckets, turn), "bucket int, keys binary, sigs binary")
+        forests.append(saved(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), "forest"))
+        release(docs.sparkSession)
+    group = components(reduce(DataFrame.union, forests), folded=True)
+    for df in forests:
+        drop_saved(df)
     member = saved(classes.join(group, F.col("ka") == F.col("id")).drop("id").withColumnRenamed("component", "c").withColumn("node", F.monotonically_increasing_id()), "members")
     units = Units(threshold, width, unit_sets, unit_shingles)
     texts = base.select("h", "text")
@@ -583,6 +592,7 @@ def _rows(docs: DataFrame, threshold: Fraction, width: int, unit_sets: int, unit
     )
     for df in (rows, member, *units.held):
         drop_saved(df)
+    release(docs.sparkSession)
     return out
 
 
@@ -599,11 +609,17 @@ class Units:
         self.held.append(saved(df, name))
         return self.held[-1]
 
+    def _dropped(self, df: DataFrame) -> None:
+        self.held = [x for x in self.held if x is not df]
+        drop_saved(df)
+
     def _compared(self, cells: DataFrame, shingles: int, final: bool) -> DataFrame:
         """Cells have unit, l, r, component, text and COLS."""
         tasks = max(8, -(-shingles // TASK))
         rows = cells.withColumn("task", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(tasks)))
-        return self._saved(rows.groupBy("task").applyInArrow(_compare(self.threshold, self.width, final), _FINAL if final else "a long, b long"), "compared")
+        out = self._saved(rows.groupBy("task").applyInArrow(_compare(self.threshold, self.width, final), _FINAL if final else "a long, b long"), "compared")
+        release(rows.sparkSession)  # the texts that were dealt to the tasks
+        return out
 
     def settle(self, member: DataFrame, texts: DataFrame, on: str, further) -> list[DataFrame]:
         """First rows of the components: groups of one unit are compared here, larger ones go ``further``.
@@ -616,15 +632,20 @@ class Units:
         total = sizes.agg(F.sum(F.when(F.col("parts") == 1, F.col("words"))).alias("small"), F.sum(F.when(F.col("parts") > 1, F.col("words"))).alias("large")).first()
         dealt = member.join(sizes.drop("sets", "words"), F.col("c") == F.col("c2")).drop("c2")
         rows = self._saved(texts.join(dealt, on), "grouped")
+        release(rows.sparkSession)
         small = rows.where("parts = 1").select(F.col("c").alias("unit"), F.col("node").alias("component"), F.lit(True).alias("l"), F.lit(True).alias("r"), "text", *self.COLS)
         found = [self._compared(small, total.small or 0, True)]
-        return found + (further(rows.where("parts > 1"), total.large) if total.large else [])
+        if total.large:
+            found += further(rows.where("parts > 1"), total.large)
+        self._dropped(rows)
+        return found
 
     def refine(self, large: DataFrame, shingles: int) -> list[DataFrame]:
         """Large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
         buckets = max(8, min(1 << 16, -(-shingles // SKETCHED)))
         packed = large.select("text", "node", "ka", "kb").mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
         group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"), folded=True)
+        release(large.sparkSession)
         finer = large.drop("c", "parts", "low", "high", "text").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c")
         return self.settle(self._saved(finer, "finer"), large.select("node", "text"), "node", self.compare_parts)
 

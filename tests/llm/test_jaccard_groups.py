@@ -102,3 +102,15 @@ def test_repeated_rows_are_grouped_once(spark, monkeypatch):
     got = partenum.jaccard_rows(docs).groupBy("doc_id", "component_id", "kept").count().collect()
     assert sorted((r.doc_id or 0, r.component_id, r.kept, r["count"]) for r in got) == [(0, None, True, 1), (3, 3, True, 1), (7, 3, False, 100_000), (9, 3, False, 1)]
     assert seen["grouped"] <= 6 + 2
+
+
+def test_turns_share_the_signatures():
+    """Each turn has a part of the signatures of every set, and together they have all, each once."""
+    t = partenum.Fraction(4, 5)
+    for n in (1, 3, 10, 57, 200, 1000):
+        own = partenum.arrays.mix64(np.arange(n, dtype=np.uint64))
+        every = np.sort(partenum.set_signatures(own, t))
+        turns = [partenum.set_signatures(own, t, k) for k in range(partenum.TURNS)]
+        assert np.array_equal(np.sort(np.concatenate(turns)), every)
+        if n >= 57:
+            assert max(map(len, turns)) < 0.7 * len(every)
