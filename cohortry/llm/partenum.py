@@ -23,7 +23,7 @@ SUBSETS = ((0, 1), (0, 2), (1, 2))
 FLUSH, BUCKET, STEPS = 1 << 20, 1 << 22, 16
 #: Turns in which signatures are sent: a set signs in two bands that follow each other, so each turn has about half of them, and only one turn's are on disk.
 TURNS = 2
-#: Shingles of a bucket whose sets bring their sketches along.
+#: Signatures of a bucket whose sets bring their sketches along.
 SKETCHED = 1 << 20
 #: Shingles that a task of the exact comparison holds on average, shingles and sets of a candidate group compared at once.
 TASK, UNIT_SHINGLES, UNIT = 1 << 19, 1 << 21, 1 << 12
@@ -317,8 +317,11 @@ def _candidates(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
 
 
-def _emit_sketched(threshold: Fraction, width: int, buckets: int):
-    """Packed signatures of the sets of large candidate groups: for each bucket the nodes, sizes and sketches of some sets, and (signature's 48 bits, place of the set) as 64-bit numbers."""
+def _emit_large(threshold: Fraction, width: int, buckets: int, turn: int):
+    """Packed signatures of a turn of the sets of large candidate groups: for each bucket the nodes of some sets, and (signature's 48 bits, place of the node) as 64-bit numbers.
+
+    In the first turn nodes, sizes and sketches of all sets go along once, in rows without signatures.
+    """
 
     def run(batches):
         held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
@@ -330,16 +333,18 @@ def _emit_sketched(threshold: Fraction, width: int, buckets: int):
             order = np.argsort(sig, kind="stable")
             sig, at = sig[order], at[order]
             cut = np.searchsorted(((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16), np.arange(buckets + 1, dtype=np.uint64))
+            rows = [(int(node[0]) % buckets, node.tobytes(), n.tobytes(), b"".join(h[2].tobytes() for h in held), b"")] if turn == 0 else []
             for b in range(buckets):
                 own = slice(cut[b], cut[b + 1])
                 used, place = np.unique(at[own].astype(np.int64), return_inverse=True)
                 if len(used):
-                    marks = np.concatenate([held[k][2] for k in used.tolist()])
-                    row = (b, node[used].tobytes(), n[used].tobytes(), marks.tobytes(), ((sig[own] << np.uint64(16)) | place.astype(np.uint64)).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "nodes", "sizes", "marks", "sigs"])
+                    rows.append((b, node[used].tobytes(), b"", b"", ((sig[own] >> np.uint64(16) << np.uint64(16)) | place.astype(np.uint64)).tobytes()))
             held.clear()
             del sig, at, order
             arrays.trim()
+            for i in range(0, len(rows), 64):
+                part = rows[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), *(pa.array([r[j] for r in part], pa.binary()) for j in (1, 2, 3, 4))], names=["bucket", "nodes", "sizes", "marks", "sigs"])
 
         total = 0
         for part, flat, off in _sets(batches, "text", width):
@@ -347,8 +352,8 @@ def _emit_sketched(threshold: Fraction, width: int, buckets: int):
             same = (set_keys(flat, off) == given).all(axis=1)
             for node, ok, a, b in zip(part.column("node").to_pylist(), same.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 if ok:
-                    own = set_signatures(flat[a:b], threshold)
-                    held.append((node, b - a, sketch(flat[a:b]), own))
+                    own = set_signatures(flat[a:b], threshold, turn)
+                    held.append((node, b - a, sketch(flat[a:b]) if turn == 0 else None, own))
                     total += len(own)
                 if total >= FLUSH or len(held) == 0xFFFF:
                     yield from flush()
@@ -359,6 +364,89 @@ def _emit_sketched(threshold: Fraction, width: int, buckets: int):
     return run
 
 
+def _shared_signatures(table: pa.Table) -> pa.Table:
+    """Of a bucket's signatures those that two sets have, for each of these sets; and the sketches that came along."""
+    node, n, mark, parts = [], [], [], []
+    for k, c, m, s in zip(*(_views(table.column(x), kind) for x, kind in (("nodes", np.int64), ("sizes", np.int64), ("marks", np.uint8), ("sigs", np.uint64))), strict=True):
+        if len(c):
+            node += k.tolist()
+            n += c.tolist()
+            mark += [x.tobytes() for x in np.split(m, np.cumsum([sketch_cells(x) // 8 for x in c.tolist()])[:-1])]
+        else:
+            parts.append((k, s))
+    sigs = [None] * len(node)
+    low = min((int(s.min()) >> 16 for _, s in parts), default=0)
+    high = max((int(s.max()) >> 16 for _, s in parts), default=0) + 1
+    found = [np.zeros((2, 0), np.uint64)]
+    for i in range(STEPS):  # by ranges of signatures: equal ones meet in one step
+        a, b = (np.uint64(low + (high - low) * j // STEPS) for j in (i, i + 1))
+        sig, key = [], []
+        for k, s in parts:
+            x = s >> np.uint64(16)
+            own = np.flatnonzero((x >= a) & (x < b))
+            sig.append(x[own])
+            key.append(k[(s[own] & np.uint64(0xFFFF)).astype(np.int64)])
+        if sig:
+            sig, key = np.concatenate(sig), np.concatenate(key)
+            order = np.lexsort((key, sig))
+            sig, key = sig[order], key[order]
+            fresh = np.ones(len(sig), bool)  # a set whose text stands in several rows counts once
+            fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+            sig, key = sig[fresh], key[fresh]
+            same = np.zeros(len(sig), bool)
+            same[1:] = sig[1:] == sig[:-1]
+            same[:-1] |= same[1:]
+            found.append(np.stack((key[same].view(np.uint64), sig[same] << np.uint64(16))))
+    del parts
+    key, sig = np.concatenate(found, axis=1)
+    order = np.argsort(key, kind="stable")
+    key, sig = key[order].view(np.int64), sig[order]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    node += key[cut].tolist()
+    sigs += [sig[a:b].tobytes() for a, b in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=False)]
+    none = [None] * len(cut)
+    arrays.trim()
+    return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n + none, pa.int64()), "mark": pa.array(mark + none, pa.binary()), "sigs": pa.array(sigs, pa.binary())})
+
+
+def _emit_sketched(buckets: int):
+    """Packed signatures of sets (node, n, mark, sigs): for each bucket the nodes, sizes and sketches of some sets, and (signature's 48 bits, place of the set) as 64-bit numbers."""
+
+    def run(batches):
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+        def flush():
+            node, n = (np.array([h[j] for h in held], np.int64) for j in (0, 1))
+            sig = np.concatenate([h[3] for h in held])
+            at = np.repeat(np.arange(len(held), dtype=np.uint64), [len(h[3]) for h in held])
+            order = np.argsort(sig, kind="stable")
+            sig, at = sig[order], at[order]
+            cut = np.searchsorted(((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16), np.arange(buckets + 1, dtype=np.uint64))
+            for b in range(buckets):
+                own = slice(cut[b], cut[b + 1])
+                used, place = np.unique(at[own].astype(np.int64), return_inverse=True)
+                if len(used):
+                    row = (b, node[used].tobytes(), n[used].tobytes(), b"".join(held[k][2] for k in used.tolist()), (sig[own] | place.astype(np.uint64)).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "nodes", "sizes", "marks", "sigs"])
+            held.clear()
+            del sig, at, order
+            arrays.trim()
+
+        total = 0
+        for batch in batches:
+            for node, n, mark, sigs in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "mark", "sigs")), strict=True):
+                own = np.frombuffer(b"".join(sigs), np.uint64)
+                held.append((node, n, mark, own))
+                total += len(own)
+                if total >= FLUSH or len(held) == 0xFFFF:
+                    yield from flush()
+                    total = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
 def _plausible(threshold: Fraction):
     """A spanning forest (a, b: nodes) of the sets of a bucket that share a signature and whose sizes and sketches don't exclude a link."""
 
@@ -641,11 +729,27 @@ class Units:
         return found
 
     def refine(self, large: DataFrame, shingles: int) -> list[DataFrame]:
-        """Large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link."""
-        buckets = max(8, min(1 << 16, -(-shingles // SKETCHED)))
-        packed = large.select("text", "node", "ka", "kb").mapInArrow(_emit_sketched(self.threshold, self.width, buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
-        group = components(packed.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"), folded=True)
-        release(large.sparkSession)
+        """Large groups in finer ones: joined only where sizes and sketches of sets with a common signature allow a link.
+
+        Signatures go to their buckets without sketches first; a set brings its sketch only to buckets in which another set shares a signature with it.
+        """
+        spark = large.sparkSession
+        buckets = max(8, min(1 << 16, -(-shingles // (BUCKET * TURNS))))
+        held = []
+        for turn in range(TURNS):
+            packed = large.select("text", "node", "ka", "kb").mapInArrow(_emit_large(self.threshold, self.width, buckets, turn), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
+            held.append(self._saved(packed.groupBy("bucket").applyInArrow(_shared_signatures, "node long, n long, mark binary, sigs binary"), "shared"))
+            release(spark)
+        shared = reduce(DataFrame.union, held)
+        entries = (shared.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // 8
+        buckets = max(8, min(1 << 16, -(-entries // SKETCHED)))
+        sigs = shared.where("sigs is not null").groupBy("node").agg(F.collect_list("sigs").alias("sigs"))
+        marks = held[0].where("mark is not null").select("node", "n", "mark").dropDuplicates(["node"])
+        dealt = marks.join(sigs, "node").select("node", "n", "mark", "sigs").mapInArrow(_emit_sketched(buckets), "bucket int, nodes binary, sizes binary, marks binary, sigs binary")
+        group = components(dealt.groupBy("bucket").applyInArrow(_plausible(self.threshold), "a long, b long"), folded=True)
+        for df in held:
+            self._dropped(df)
+        release(spark)
         finer = large.drop("c", "parts", "low", "high", "text").join(group, F.col("node") == F.col("id")).drop("id").withColumnRenamed("component", "c")
         return self.settle(self._saved(finer, "finer"), large.select("node", "text"), "node", self.compare_parts)
 

@@ -114,3 +114,31 @@ def test_turns_share_the_signatures():
         assert np.array_equal(np.sort(np.concatenate(turns)), every)
         if n >= 57:
             assert max(map(len, turns)) < 0.7 * len(every)
+
+
+def test_sketches_go_only_where_signatures_are_shared(spark):
+    """Large groups of texts around one passage: a set is dealt with the few signatures that another set has too, whatever the number of its own."""
+    import pyarrow as pa
+
+    t, passage = partenum.Fraction(4, 5), list(R.choice(WORDS, 60))
+    texts = [" ".join([*R.choice(WORDS, 100), *passage, *R.choice(WORDS, 40)]) for _ in range(40)]
+    flat, off = partenum.shingle_sets(*partenum.arrays.buffers(pa.array(texts)))
+    keys = partenum.set_keys(flat, off)
+    batch = pa.record_batch({"text": texts, "node": np.arange(40), "ka": keys[:, 0], "kb": keys[:, 1]})
+    every, sent, marks = 0, [], []
+    for turn in range(partenum.TURNS):
+        rows = pa.Table.from_batches(partenum._emit_large(t, 5, 8, turn)([batch]))
+        for b in range(8):
+            part = rows.filter(pa.compute.equal(rows["bucket"], b))
+            if len(part):
+                every += sum(len(x) for x in part["sigs"].to_pylist()) // 8
+                got = partenum._shared_signatures(part).to_pylist()
+                marks += [(r["node"], r["n"], r["mark"]) for r in got if r["mark"] is not None]
+                sent += [(int(s), r["node"]) for r in got if r["sigs"] for s in np.frombuffer(r["sigs"], np.uint64)]
+    want = {}
+    for k in range(40):
+        for s in partenum.set_signatures(flat[off[k] : off[k + 1]], t).tolist():
+            want.setdefault(s >> 16 << 16, set()).add(k)
+    assert set(sent) == {(s, k) for s, own in want.items() if len(own) > 1 for k in own} and len(sent) == len(set(sent))
+    assert 0 < len(sent) < every / 5
+    assert sorted(marks) == [(k, int(off[k + 1] - off[k]), partenum.sketch(flat[off[k] : off[k + 1]]).tobytes()) for k in range(40)]
