@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -112,7 +110,7 @@ def _distinct():
 
 
 def _anchors(width: int, gram: int, blocks: int, buckets: int):
-    """For each bucket and block the minima of a task's texts; the lowest bit says that two texts have it."""
+    """For each bucket the minima of a task's texts by blocks, with (block, count of its minima); the lowest bit says that two texts have it."""
 
     def run(batches):
         held, size = [], 0
@@ -130,9 +128,15 @@ def _anchors(width: int, gram: int, blocks: int, buckets: int):
             packed = (low[begin] & ~np.uint64(1)) | (count > 1).astype(np.uint64)
             group = group[begin]
             cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            raw = [packed[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True)]
+            runs = np.stack((group[cut] % blocks, np.diff(np.append(cut, len(group)))), axis=1).astype(np.int32)
+            own = group[cut] // blocks
+            edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            ends = np.append(edge[1:], len(own))
+            at = np.append(cut, len(group))
+            run = [runs[a:b].tobytes() for a, b in zip(edge, ends, strict=True)]
+            raw = [packed[at[a] : at[b]].tobytes() for a, b in zip(edge, ends, strict=True)]
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(group[cut] // blocks, pa.int32()), pa.array(group[cut] % blocks, pa.int32()), pa.array(raw, pa.binary())], names=["bucket", "block", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[edge], pa.int32()), pa.array(run, pa.binary()), pa.array(raw, pa.binary())], names=["bucket", "blocks", "low"])
 
         for part in _distinct()(batches):
             data, off = arrays.buffers(part.column("text"))
@@ -180,7 +184,7 @@ def _of_two(run):
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's minima those of two texts at least, for each block that has them."""
     low = [np.frombuffer(x, np.uint64) for x in frame["low"]]
-    block = np.repeat(frame["block"].to_numpy(), [len(x) for x in low])
+    block = np.concatenate([np.repeat(*np.frombuffer(x, np.int32).reshape(-1, 2).T) for x in frame["blocks"]])
     low = np.concatenate(low)
     twice, low = (low & np.uint64(1)).astype(bool), low & ~np.uint64(1)
     value, back, count = np.unique(low, return_inverse=True, return_counts=True)
@@ -210,13 +214,25 @@ def _firsts():
     return run
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    """Compressed bytes behind their whole length."""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _restore(raw: bytes) -> bytes:
+    return _ZSTD.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length, compressed with the same bytes of all numbers together."""
-    return zlib.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 1)
+    return _squeeze(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns))
 
 
 def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    data = np.frombuffer(_restore(raw), np.uint8)
     n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
     for k in kinds:
         w = np.dtype(k).itemsize
@@ -307,7 +323,7 @@ def _cut(width: int, gram: int, buckets: int):
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(send) else np.zeros(0, np.int64)
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(send)).tolist(), strict=False):
             own = send[a:b]
-            rows.append((int(bucket[a]), block, 3, _pack(ords[doc[own]], place[own], start[own], size[own]), zlib.compress(data[arrays.ranges(begin[own], size[own].astype(np.int64))].tobytes(), 1)))
+            rows.append((int(bucket[a]), block, 3, _pack(ords[doc[own]], place[own], start[own], size[own]), _squeeze(data[arrays.ranges(begin[own], size[own].astype(np.int64))].tobytes())))
         return pd.DataFrame(rows, columns=names)
 
     return _of_two(run)
@@ -378,7 +394,7 @@ def _match(width: int):
             heads = [_unpack(x, *_PIECE) for x in sent["x"]]
             block = np.repeat(sent["block"].to_numpy(), [len(h[0]) for h in heads])
             ords, place, first, size = (np.concatenate(c) for c in zip(*heads, strict=True))
-            data = np.frombuffer(b"".join(zlib.decompress(y) for y in sent["y"]), np.uint8)
+            data = np.frombuffer(b"".join(_restore(y) for y in sent["y"]), np.uint8)
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
             order = np.lexsort((first, place, block, ords))
@@ -477,7 +493,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, gram: int = 24, as_text:
     first = rows.groupBy("key", "ord").agg(F.count("*").alias("times")).groupBy("key").agg(F.min("ord").alias("ord"), F.min_by("times", "ord").alias("times"))
     side = "block int, kind int, x binary, y binary"
     firsts = saved(first.select(of_block.alias("block"), "key", "ord", "times").mapInArrow(_firsts(), side), "firsts")
-    lows = keyed.mapInArrow(_anchors(width, gram, blocks, buckets), "bucket int, block int, low binary")
+    lows = keyed.mapInArrow(_anchors(width, gram, blocks, buckets), "bucket int, blocks binary, low binary")
     shared = saved(lows.groupBy("bucket").applyInPandas(_shared, side), "shared")
     release(docs.sparkSession)
     sent = texts.groupBy("block").cogroup(shared.union(firsts).groupBy("block")).applyInPandas(_cut(width, gram, fan), "bucket int, block int, kind int, x binary, y binary")

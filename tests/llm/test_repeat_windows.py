@@ -55,3 +55,23 @@ def test_minima_fill_buckets_evenly():
     assert count.max() < 1.2 * count.mean()
     raw = np.bincount(((low >> np.uint64(32)) * np.uint64(64) >> np.uint64(32)).astype(np.int64), minlength=64)
     assert raw.max() > 10 * raw.mean()
+
+
+def test_minima_are_sent_once_a_bucket():
+    """However many blocks there are, a task sends a row for each bucket; the minima that two texts share come back for their blocks."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    common = "".join(chr(c) for c in rng.integers(97, 123, 80))
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 200)) + common for _ in range(60)]
+    batch = pa.record_batch({"block": pa.array(np.arange(60) % 30, pa.int32()), "key": [str(i) for i in range(60)], "text": texts})
+    rows = pa.Table.from_batches(repeats._anchors(50, 24, 30, 8)([batch])).to_pandas()
+    assert len(rows) <= 8
+    found = pd.concat([repeats._shared(f) for _, f in rows.groupby("bucket")])
+    got = {(b, int(x)) for b, raw in zip(found["block"], found["x"]) for x in np.frombuffer(raw, np.uint64)}
+    low = {}
+    for i, t in enumerate(texts):
+        for m in repeats.segments(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 50, 24)[3].tolist():
+            low.setdefault(m & ~1, set()).add(i)
+    assert got == {(i % 30, m) for m, own in low.items() if len(own) > 1 for i in own} and got
