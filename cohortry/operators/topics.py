@@ -279,18 +279,19 @@ def best_topic_count(docs: DataFrame, doc: str, vector: str, vectors: np.ndarray
     return max(seen, key=lambda k: (seen[k], -k)), seen
 
 
-def metrics(s: Column, w: Column) -> dict[str, Column]:
-    """Patient by topic metrics of score s and time weight w; ``dit`` counts documents with a score above 0, ``twdit`` sums their weights; ``twps50`` has a name of its own."""
+def metrics(s: Column, w: Column, positive: bool = True) -> dict[str, Column]:
+    """Patient by topic metrics of score s and time weight w; ``dit`` counts documents with a score above 0, ``twdit`` sums their weights (not ``positive``: both take all documents); ``twps50`` has a name of its own."""
     pa, tw = F.avg(s), F.coalesce(F.try_divide(F.sum(s * w), F.sum(w)), F.lit(0.0))
     ps, tps = F.sum(s), F.sum(s * w)
-    dit, tdit = F.count_if(s > 0).cast("double"), F.coalesce(F.sum(F.when(s > 0, w)), F.lit(0.0))
+    own = s > 0 if positive else F.lit(True)
+    dit, tdit = F.count_if(own).cast("double"), F.coalesce(F.sum(F.when(own, w)), F.lit(0.0))
     return {"mx": F.max(s), "pa": pa, "twpa": tw, "dit": dit, "twdit": tdit, "ps": ps, "twps": tps, "twpa50": (pa + tw) / 2, "twdit50": (dit + tdit) / 2, "twps50": (ps + tps) / 2}
 
 
-def patient_topics(assigned: DataFrame, patient: str, score: str, weight: str, least_docs: int = 500) -> DataFrame:
+def patient_topics(assigned: DataFrame, patient: str, score: str, weight: str, least_docs: int = 500, positive: bool = True) -> DataFrame:
     """(patient, topic, one column a metric) of topics with at least ``least_docs`` documents."""
     big = assigned.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("topic")
-    m = metrics(F.col(score), F.col(weight))
+    m = metrics(F.col(score), F.col(weight), positive)
     return assigned.join(big, "topic", "left_semi").groupBy(patient, "topic").agg(*(c.alias(k) for k, c in m.items()))
 
 
