@@ -57,3 +57,40 @@ def test_copies_are_nearest(spark, negatives):
     np.fill_diagonal(sim, -2)
     hit = [sim[names.index(i), names.index(i + 100_000)] >= np.sort(sim[names.index(i)])[-3] for i in ids]
     assert np.mean(hit) >= 0.8, hit
+
+
+def test_sums_of_shared_rows():
+    """Rows of many and of few places, two inputs each, against a plain loop; more than ``most`` count as so many."""
+    rng = np.random.default_rng(4)
+    rows = np.concatenate((np.zeros(40, np.int64), rng.integers(0, 30, 60)))
+    at, g, h = rng.integers(0, 20, 100), rng.normal(size=(100, 2)), rng.normal(size=(20, 2, 3))
+    want, got = np.ones((30, 3)), np.ones((30, 3))
+    for r in range(30):
+        own = np.flatnonzero(rows == r)
+        if len(own):
+            want[r] += sum(g[i, s] * h[at[i], s] for i in own for s in (0, 1)) * min(1, 16 / len(own))
+    P._add(got, rows, at, g, h, 16.0)
+    assert np.allclose(got, want)
+
+
+def test_every_word_of_long_documents():
+    """Documents longer than a run: each word is foretold once, the last of them beside its own neighbours."""
+    rng = np.random.default_rng(6)
+    size = np.array([3 * P.RUN + 5, 0, 7])
+    flat = rng.integers(0, 6, size.sum()).astype(np.int32)
+    seen = []
+    real, P._move = P._move, lambda vec, docs, inputs, around, target, *rest: seen.extend(zip(docs, target, around)) or 0.0
+    try:
+        assert P.train(np.zeros((3, 4)), flat, size, None, None, None, None, 2, 0, [1.0, 0.1], 2, rng)[1] == len(flat)
+    finally:
+        P._move = real
+    for d, lo in ((0, 0), (2, size[0])):
+        assert np.bincount([t for i, t, _ in seen if i == d], minlength=6).tolist() == np.bincount(flat[lo : lo + size[d]], minlength=6).tolist()
+    assert sum((a < 0).any() for *_, a in seen) <= 2 * 2 * 2  # only at the ends of a document
+
+
+def test_numbers_of_words():
+    import pyarrow as pa
+
+    got = P.numbers(pa.array([["b", "x", None, "a"], None, [], ["a", "a"]], pa.list_(pa.string())), pa.array(["a", "b"]))
+    assert got.to_pylist() == [[1, 0], [], [], [0, 0]]
