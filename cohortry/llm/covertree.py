@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, fold_edges, fresh, saved
-from .files import map_file, put_file
+from ..sources.files import map_file, put_file
 
 #: Nodes of so many points at most are not divided further.
 LEAF = 48

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .common import drop_saved, fresh, release, saved
-from .files import map_file, put_file
+from ..sources.files import map_file, put_file
 
 END = int(arrays.mix64(np.array([0x656E64], np.uint64))[0])
 #: Tokens that a task holds before it hands counts on, and those of a bucket.

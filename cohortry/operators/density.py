@@ -14,6 +14,8 @@ from .neighbours import PIVOTS, Blocks, blocks, distances, forest, neighbours, p
 
 #: Distances below it count as it, so that densities stay finite.
 LEAST = 1e-12
+#: Edges that a run of block pairs holds before it keeps its forest's only.
+HELD = 1 << 20
 
 
 def core_distances(points: DataFrame, near: DataFrame, k: int) -> DataFrame:
@@ -72,17 +74,20 @@ def reachability_tree(points: DataFrame, space: Blocks, near: DataFrame, core: D
     low = np.maximum(np.maximum(space.lower(), least[:, None]), least[None, :])
     mask = np.triu(low < bound)
 
-    def job(i, ia, ca, xa, j, ib, cb, xb):
-        m = np.maximum(np.maximum(distances(xa, xb), ca[:, None]), cb[None, :])
-        ok = m < bound[i, j]
-        if i == j:
-            ok &= np.triu(np.ones_like(ok), 1)
-        p, q = np.nonzero(ok)
-        if not len(p):
-            return None
-        w, a, b = m[p, q], np.minimum(ia[p], ib[q]), np.maximum(ia[p], ib[q])
-        keep = forest(a, b, w)
-        return pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (a, b, w)], ["a", "b", "w"])
+    def job(lefts, stream):
+        held: list[tuple[np.ndarray, ...]] = []
+        for j, read, meets in stream:
+            ib, cb, xb = read()
+            for i in meets:
+                ia, ca, xa = lefts[i]
+                m = np.maximum(np.maximum(distances(xa, xb), ca[:, None]), cb[None, :])
+                p, q = pair_tree(m, i == j, bound[i, j])
+                if len(p):
+                    held.append((np.minimum(ia[p], ib[q]), np.maximum(ia[p], ib[q]), m[p, q]))
+            if sum(len(e[0]) for e in held) > HELD:
+                held = [thinned(held)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in thinned(held)], ["a", "b", "w"])
 
     if rounds is not None:
         rounds.append({"blocks": k, "pairs": int(mask.sum())})
@@ -92,6 +97,50 @@ def reachability_tree(points: DataFrame, space: Blocks, near: DataFrame, core: D
     return spanning_forest(rows.distinct(), one_task=one_task, rounds=rounds)
 
 
+def thinned(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The edges (a, b, w) that the minimum spanning forest of all keeps."""
+    a, b, w = (np.concatenate([e[c] for e in held]) for c in range(3))
+    keep = forest(a, b, w)
+    return a[keep], b[keep], w[keep]
+
+
+def pair_tree(m: np.ndarray, same: bool, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, column) lighter than ``bound`` of a minimum spanning forest of all pairs of a row and a column; ``same``: rows are the columns.
+
+    Few edges are sorted.  Many are not: the tree grows from the first row by the lightest edge to what
+    is not in it, which looks at each number of ``m`` twice at most.
+    """
+    ok = m < bound
+    if same:
+        ok &= np.triu(np.ones_like(ok), 1)
+    n = int(np.count_nonzero(ok))
+    if n <= 16 * sum(m.shape):
+        p, q = np.nonzero(ok)
+        keep = forest(p, q if same else q + len(m), m[p, q]) if n else np.zeros(0, bool)
+        return p[keep], q[keep]
+    rows, cols = m.shape
+    flat = m if same else np.ascontiguousarray(m.T)
+    total = rows if same else rows + cols
+    # nodes: rows, then columns; what an added row or column offers to nodes outside
+    best, start = np.full(total, np.inf), np.zeros(total, np.int64)
+    out = np.ones(total, bool)
+    found = np.zeros((total - 1, 2), np.int64)
+    at = 0
+    for e in range(total - 1):
+        out[at] = False
+        best[at] = np.inf
+        side = slice(0, rows) if same or at >= rows else slice(rows, total)
+        offer = m[at] if at < rows else flat[at - rows]
+        nearer = (offer < best[side]) & out[side]
+        best[side][nearer] = offer[nearer]
+        start[side][nearer] = at
+        at = int(best.argmin())
+        found[e] = start[at], at
+    p, q = found.min(axis=1), found.max(axis=1) - (0 if same else rows)
+    keep = m[p, q] < bound
+    return p[keep], q[keep]
+
+
 def _members(batches):
     for batch in batches:
         for r in batch.to_pylist():

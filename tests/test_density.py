@@ -149,3 +149,37 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and {got[i] for i in range(40)} == {0} and {got[i] for i in (70, 100, 101, 102)} == {-1}
     assert {got[i] for i in range(40, 70)} <= {1, -1} and sum(got[i] == 1 for i in range(40, 70)) >= 25
     assert D.density_clusters(df.where("false"), "id", "x", 8).count() == 0
+
+
+@pytest.mark.parametrize("runs", [1, 64])
+def test_neighbours_of_a_lattice(spark, monkeypatch, runs):
+    """Equal distances by id, and no more rows out of the runs of block pairs than each run's ``k`` a point."""
+    monkeypatch.setattr(N, "RUNS", runs)
+    made, real = [], N.runs
+    monkeypatch.setattr(N, "runs", lambda *a: made.append(real(*a)) or made[-1])
+    x = np.array([(i, j) for i in range(16) for j in range(16)], float)
+    df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "id long, x array<double>, w double")
+    space = N.blocks(df, block_rows=16)
+    got = defaultdict(list)
+    for r in N.neighbours(space, 6).orderBy("id", "rank").collect():
+        got[r.id].append((r.rank, r.other))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert all(got[i] == list(enumerate(np.argsort(d[i], kind="stable")[:6].tolist(), 1)) for i in range(256))
+    assert made[0][1] == (runs == 1) and made[0][0].count() <= 6 * 256 * (1 if runs == 1 else 64)
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_tree_of_a_pair(same):
+    """Many edges, which aren't sorted, against few and sorted ones."""
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(50, 3)), rng.normal(size=(70, 3))
+    m = N.distances(a, a if same else b)
+    p, q = (v.ravel() for v in np.indices(m.shape))
+    if same:
+        p, q = p[p < q], q[p < q]
+    for bound in (np.inf, 1.2, 0.4, 0.0):
+        ok = m[p, q] < bound
+        keep = N.forest(p[ok], q[ok] + (0 if same else 50), m[p, q][ok])
+        got = D.pair_tree(m, same, bound)
+        assert sorted(zip(*(v.tolist() for v in got))) == sorted(zip(p[ok][keep].tolist(), q[ok][keep].tolist()))
