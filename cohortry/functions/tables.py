@@ -17,8 +17,8 @@ class TokenChunks:
     """``token_chunks(TABLE(rows) PARTITION BY id ORDER BY (place), length, overlap)``: runs of ``length`` tokens, each beginning
     ``length`` less the overlapping part after the one before, as ``scalars.chunks`` makes them from an array.
 
-    Columns are taken by place: id, place, token; rows that share an id are one text.  Null tokens are left out; an id with none else has one
-    empty chunk.  No more than ``length`` tokens are held, however long a text is.
+    Columns are taken by place: id, place, and a token or an array of tokens that follow each other; rows that share an id are one text.  Null
+    tokens are left out; an id with none else has one empty chunk.  No more than ``length`` tokens and a row's own are held, however long a text is.
     """
 
     def __init__(self):
@@ -28,10 +28,14 @@ class TokenChunks:
     def eval(self, row: Row, length: int, overlap: float) -> Iterator[tuple]:
         self.id, self.seen = row[0], True
         self.length, self.step = length, max(1, length - int(length * overlap))
-        if row[2] is not None:
-            self.held.append(row[2])
-            if len(self.held) == self.length:
-                yield self.cut()
+        if row[2] is None:
+            return
+        self.held += [t for t in row[2] if t is not None] if isinstance(row[2], list) else [row[2]]
+        at = 0
+        while len(self.held) - at >= self.length:
+            yield self.id, self.made, self.held[at : at + self.length]
+            self.made, at = self.made + 1, at + self.step
+        self.held = self.held[at:] if at else self.held
 
     def cut(self) -> tuple:
         out = (self.id, self.made, self.held)
