@@ -44,8 +44,11 @@ class Tree:
         return at
 
 
-def binned(df: DataFrame, cols: Sequence[str], label: str, bins: int = 64, error: float = 1e-3) -> tuple[DataFrame, list[np.ndarray]]:
-    """(x: array<int> of bins, 1 and up, 0 for null or NaN; y; key: 64-bit hash of the row) and the cuts of each column, quantiles of its values."""
+def binned(df: DataFrame, cols: Sequence[str], label: str, bins: int = 64, error: float = 1e-3, *, grouped: bool = False) -> tuple[DataFrame, list[np.ndarray]]:
+    """(x: array<int> of bins, 1 and up, 0 for null or NaN; y; key: 64-bit hash of the row) and the cuts of each column, quantiles of its values.
+
+    ``grouped``: equal rows, which share a key and so are drawn together, are one row with their number ``n``.
+    """
     clean = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)), F.col(label).cast("double").alias("y"))
     share = [i / bins for i in range(1, bins)]
     found = clean.approxQuantile([f"c{i}" for i in range(len(cols))], share, error)  # cols x bins numbers
@@ -57,10 +60,12 @@ def binned(df: DataFrame, cols: Sequence[str], label: str, bins: int = 64, error
             for j, c in enumerate(cuts):
                 v = f[f"c{j}"].to_numpy(np.float64)
                 x[:, j] = np.where(np.isnan(v), 0, np.searchsorted(c, v, side="left") + 1)
-            yield pd.DataFrame({"x": list(x), "y": f["y"], "key": f["key"]})
+            yield pd.DataFrame({"x": list(x)} | {c: f[c] for c in f.columns[len(cuts) :]})
 
     keyed = clean.where("y is not null").withColumn("key", F.xxhash64(*clean.columns))
-    return written(keyed.mapInPandas(run, "x array<int>, y double, key long"), "binned"), cuts
+    if grouped:
+        keyed = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n"))
+    return written(keyed.mapInPandas(run, "x array<int>, y double, key long" + ", n long" * grouped), "binned"), cuts
 
 
 def hash01(key: np.ndarray, salt: int) -> np.ndarray:
@@ -86,13 +91,13 @@ def _features(tree: int, node: int, n: int, k: int, seed: int) -> np.ndarray:
 
 
 def _sums(df: DataFrame, job, width: int) -> dict[tuple[int, int], np.ndarray]:
-    """Histograms by (tree, node): ``job`` maps (x, y, key) arrays to rows (tree, node, flat histogram); added up place by place in Spark, a row a tree, node and feature."""
+    """Histograms by (tree, node): ``job`` maps (x, y, key) arrays, and n of grouped rows, to rows (tree, node, flat histogram); added up place by place in Spark, a row a tree, node and feature."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for f in frames:
             if len(f):
-                for at, h in job(np.stack(f["x"].to_numpy()), f["y"].to_numpy(), f["key"].to_numpy()):
+                for at, h in job(np.stack(f["x"].to_numpy()), *(f[c].to_numpy() for c in f.columns[1:])):
                     total[at] = total[at] + h if at in total else h
         for (tree, node), h in total.items():
             for j in range(h.shape[0]):
@@ -333,9 +338,9 @@ def boosted(df: DataFrame, cols: Sequence[str], label: str, *, trees: int = 100,
 
     A level of a tree is one pass: tasks add up gradients and hessians by node, column and bin.  A split's gain is
     half of G^2 / (H + l2) of both sides less that of the whole, less ``least_gain``; missing values go to the side of larger gain.
-    ``sample`` of the rows, by hash, make each tree; leaves are -G / (H + l2).
+    ``sample`` of the rows, by hash, make each tree; leaves are -G / (H + l2).  Equal rows are counted once, before the first pass.
     """
-    rows, cuts = binned(df, cols, label, bins)
+    rows, cuts = binned(df, cols, label, bins, grouped=True)
     d, width = len(cols), max(map(len, cuts), default=0) + 2
     model = Boosted([], cuts, 0.0, rate, list(cols))
     score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
@@ -348,11 +353,11 @@ def boosted(df: DataFrame, cols: Sequence[str], label: str, *, trees: int = 100,
                 break
             todo = list(open_)
 
-            def histograms(x, y, key):
+            def histograms(x, y, key, count):
                 own = np.flatnonzero(hash01(key, seed * 7919 + t) < sample) if sample < 1 else np.arange(len(x))
-                x, y = x[own], y[own]
+                x, y, count = x[own], y[own], count[own]
                 p = 1 / (1 + np.exp(-model.margins(x)))
-                g, h = p - (y == 1), p * (1 - p)
+                g, h = (p - (y == 1)) * count, p * (1 - p) * count
                 at = tree.route(x)
                 for n in todo:
                     i = np.flatnonzero(at == n)

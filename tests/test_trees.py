@@ -106,3 +106,20 @@ def test_families():
     ranked = [("x_atc_1", 0.5), ("o1", 0.2), ("x_icpc_1", 0.1), ("x_atc_2", 0.08), ("o2", 0.07), ("x_icpc_2", 0.05)]
     assert T.families(ranked, {"_atc_": 1, "_icpc_": 1}, 1, 2) == ["x_atc_1", "o1", "x_icpc_1"]
     assert T.families(ranked, {"_atc_": 1, "_icpc_": 1}, 1, 5) == ["x_atc_1", "o1", "x_icpc_1", "x_atc_2", "o2"]
+
+
+def test_boosting_counts_equal_rows(spark):
+    """A table of few different rows: one row each, with numbers that add up, and the trees that all rows make."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (900, 4)).astype(float)
+    x[rng.random((900, 4)) < 0.1] = np.nan
+    y = (rng.random(900) < 0.2 + 0.3 * (np.nan_to_num(x[:, 0]) > 0)).astype(float)
+    df = frame(spark, x, y)
+    rows, _ = T.binned(df, list("abcd"), "y", 16, grouped=True)
+    got = rows.collect()
+    assert sum(r.n for r in got) == 900 and len(got) == len({(*np.nan_to_num(v, nan=-1.0), t) for v, t in zip(x, y)})
+    m = T.boosted(df, list("abcd"), "y", trees=1, depth=1, bins=16)
+    all_ = T.binned(df, list("abcd"), "y", 16)[0].collect()
+    own = T.hash01(np.array([r.key for r in all_]), 42 * 7919) < 0.9
+    g = np.array([0.5 - r.y for r in all_])[own]
+    assert 0 < own.sum() < 900 and np.allclose(m.trees[0].nodes[0].totals, [g.sum(), 0.25 * own.sum()])
