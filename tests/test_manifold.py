@@ -139,3 +139,21 @@ def test_algebra(spark):
     back = dense(M.intersection(gu, gu))
     assert np.allclose(back[u > 0].max(), 1.0)
     assert M.union(gu, gv.where("false")).agg(F.count("*")).first()[0] == np.count_nonzero(np.triu(u))
+
+
+def test_neighbours_of_in_runs(spark, monkeypatch):
+    """Rows are packed and compared by runs, not sent to every ball: at most k rows a row and run; ties by id; no rows at all."""
+    made, real = [], N.runs
+    monkeypatch.setattr(N, "RUNS", 1)
+    monkeypatch.setattr(N, "runs", lambda *a: made.append(real(*a)) or made[-1])
+    x = np.array([(i, j) for i in range(12) for j in range(12)], float)
+    base = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "id long, x array<double>, w double")
+    ask = spark.createDataFrame([(1000 + i, (v + 0.5).tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    space = N.blocks(base, block_rows=16)
+    got = {}
+    for r in N.neighbours_of(ask, space, 3).orderBy("id", "rank").collect():
+        got.setdefault(r.id - 1000, []).append(r.other)
+    d = np.round(np.sqrt((((x + 0.5)[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    assert got == {i: np.argsort(d[i], kind="stable")[:3].tolist() for i in range(144)}
+    assert made[0][0].count() == 3 * 144
+    assert N.neighbours_of(ask.where("false"), space, 3).count() == 0
