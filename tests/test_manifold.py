@@ -157,3 +157,40 @@ def test_neighbours_of_in_runs(spark, monkeypatch):
     assert got == {i: np.argsort(d[i], kind="stable")[:3].tolist() for i in range(144)}
     assert made[0][0].count() == 3 * 144
     assert N.neighbours_of(ask.where("false"), space, 3).count() == 0
+
+
+def test_algebra_side_by_side(spark):
+    (_, gu), (_, gv) = graphs(spark)
+    got = M.algebra(gu, gv)
+    for name in ("union", "intersection", "difference"):
+        own = got.select("a", "b", F.col(name).alias("w")).where("w is not null")
+        want = getattr(M, name)(gu, gv)
+        assert own.count() == want.count() and np.allclose(dense(own), dense(want), rtol=1e-12)
+
+
+def test_united_graphs_compare_vectors_once(spark):
+    """What is left to do after the graphs of the halves are written reads these, and compares no vectors again."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["emb_07_united_graphs"](spark, DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan
+    assert {r.kind for r in df.collect()} == {"union", "intersection", "difference"}
+
+
+def test_neighbours_are_measured_exactly(spark):
+    """Copies are at distance 0 and go by id; the filter of single precision loses none, far from the origin or for vectors whose squares are not finite."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 32)), 5, axis=0)
+    x = np.concatenate((x, 1e4 + 1e-6 * rng.normal(size=(60, 32)), np.full((2, 32), 1e200)))
+    df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "id long, x array<double>, w double")
+    got = {i: [] for i in range(len(x))}
+    for r in N.neighbours(N.blocks(df, block_rows=32), 4).collect():
+        got[r.id].append((r["rank"], r.other, r.dist))
+    for i in range(260):
+        d = np.sqrt(((x[:260] - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        near = np.lexsort((np.arange(260), d))[:4]
+        mine = sorted(got[i])
+        assert [o for _, o, _ in mine] == near.tolist() and np.allclose([v for *_, v in mine], d[near], rtol=1e-12, atol=0)
+    assert not got[260] and not got[261]
