@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import written
+from .neighbours import drop_written, written
 
 
 @dataclass
@@ -333,16 +334,87 @@ class Boosted:
         return df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(run, f"{key} {kind}, probability double")
 
 
+#: Cells (rows x columns) of a table that one task boosts whole; trees after which the rows' margins are written anew, where all tasks work.
+ONE_TASK, STORED = 1 << 20, 8
+
+
+class _Arrays:
+    """Rows of one task and their margins."""
+
+    def __init__(self, model: Boosted, x: np.ndarray, y: np.ndarray, key: np.ndarray, n: np.ndarray):
+        self.model, self.rows, self.margin = model, (x, y, key, n), np.full(len(x), model.base)
+
+    def sums(self, job, width: int) -> dict[tuple[int, int], dict[int, np.ndarray]]:
+        return {at: dict(enumerate(h.reshape(len(h), -1))) for at, h in job(*self.rows, self.margin)}
+
+    def grown(self) -> None:
+        """Takes the last tree into the margins."""
+        last = self.model.trees[-1]
+        self.margin += self.model.rate * np.array([n.value for n in last.nodes])[last.route(self.rows[0])]
+
+
+class _Table:
+    """Rows of all tasks: their margins are written every few trees, a pass adds the trees since then."""
+
+    def __init__(self, model: Boosted, rows: DataFrame):
+        self.model, self.rows, self.since = model, rows.withColumn("margin", F.lit(model.base)), 0
+        self.path = rows
+
+    def _later(self) -> Boosted:
+        return replace(self.model, base=0.0, trees=self.model.trees[self.since :])
+
+    def sums(self, job, width: int) -> dict[tuple[int, int], dict[int, np.ndarray]]:
+        later = self._later()
+        return _sums(self.rows, lambda x, y, key, n, margin: job(x, y, key, n, margin + later.margins(x)), width)
+
+    def grown(self) -> None:
+        if len(self.model.trees) - self.since < STORED:
+            return
+        later = self._later()
+
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    yield f.assign(margin=f["margin"] + later.margins(np.stack(f["x"].to_numpy())))
+
+        self.rows = written(self.rows.mapInPandas(run, self.rows.schema), "margins")
+        drop_written(self.path)
+        self.path, self.since = self.rows, len(self.model.trees)
+
+
 def boosted(df: DataFrame, cols: Sequence[str], label: str, *, trees: int = 100, depth: int = 5, rate: float = 0.3, l2: float = 1.0, least_gain: float = 0.0, least_hessian: float = 1.0, sample: float = 0.9, bins: int = 64, seed: int = 42) -> Boosted:
     """Boosting of the logistic loss by second-order steps.
 
     A level of a tree is one pass: tasks add up gradients and hessians by node, column and bin.  A split's gain is
     half of G^2 / (H + l2) of both sides less that of the whole, less ``least_gain``; missing values go to the side of larger gain.
-    ``sample`` of the rows, by hash, make each tree; leaves are -G / (H + l2).  Equal rows are counted once, before the first pass.
+    ``sample`` of the rows, by hash, make each tree; leaves are -G / (H + l2).  Equal rows are counted once, before the first pass;
+    if no more than ``ONE_TASK`` cells are left of them, one task makes all passes.
     """
     rows, cuts = binned(df, cols, label, bins, grouped=True)
-    d, width = len(cols), max(map(len, cuts), default=0) + 2
     model = Boosted([], cuts, 0.0, rate, list(cols))
+    grow = lambda model, table: _grow(model, table, trees, depth, l2, least_gain, least_hessian, sample, seed)
+    count = rows.count()
+    if count * len(cols) > ONE_TASK:
+        table = _Table(model, rows)
+        grow(model, table)
+        drop_written(table.path)
+        return model
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat([f for f in frames if len(f)])
+        yield pd.DataFrame({"trees": [pickle.dumps(grow(model, _Arrays(model, np.stack(f["x"].to_numpy()), *(f[c].to_numpy() for c in ("y", "key", "n")))).trees)]})
+
+    if count:
+        model.trees = pickle.loads(rows.coalesce(1).mapInPandas(whole, "trees binary").first().trees)
+    else:
+        grow(model, _Arrays(model, np.zeros((0, len(cols)), np.int32), *(np.zeros(0, t) for t in (float, np.int64, np.int64))))
+    drop_written(rows)
+    return model
+
+
+def _grow(model: Boosted, table: _Arrays | _Table, trees: int, depth: int, l2: float, least_gain: float, least_hessian: float, sample: float, seed: int) -> Boosted:
+    """Adds so many trees to a model."""
+    d, width = len(model.columns), max(map(len, model.cuts), default=0) + 2
     score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
     gain = lambda a, b: 0.5 * (score(a) + score(b) - score(a + b)) - least_gain
     least = lambda a, b: (a[..., 1] >= least_hessian) & (b[..., 1] >= least_hessian)
@@ -353,10 +425,10 @@ def boosted(df: DataFrame, cols: Sequence[str], label: str, *, trees: int = 100,
                 break
             todo = list(open_)
 
-            def histograms(x, y, key, count):
+            def histograms(x, y, key, count, margin):
                 own = np.flatnonzero(hash01(key, seed * 7919 + t) < sample) if sample < 1 else np.arange(len(x))
                 x, y, count = x[own], y[own], count[own]
-                p = 1 / (1 + np.exp(-model.margins(x)))
+                p = 1 / (1 + np.exp(-margin[own]))
                 g, h = (p - (y == 1)) * count, p * (1 - p) * count
                 at = tree.route(x)
                 for n in todo:
@@ -367,7 +439,7 @@ def boosted(df: DataFrame, cols: Sequence[str], label: str, *, trees: int = 100,
                             out[j, :, 0], out[j, :, 1] = np.bincount(x[i, j], g[i], width), np.bincount(x[i, j], h[i], width)
                         yield (t, n), out
 
-            found = _sums(rows, histograms, width * 2)
+            found = table.sums(histograms, width * 2)
             open_ = []
             for n in todo:
                 if (t, n) not in found:
@@ -385,4 +457,5 @@ def boosted(df: DataFrame, cols: Sequence[str], label: str, *, trees: int = 100,
                     open_ += node.children
                     tree.nodes += [Node(left, level + 1), Node(right, level + 1)]
         model.trees.append(tree)
+        table.grown()
     return model

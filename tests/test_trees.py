@@ -123,3 +123,30 @@ def test_boosting_counts_equal_rows(spark):
     own = T.hash01(np.array([r.key for r in all_]), 42 * 7919) < 0.9
     g = np.array([0.5 - r.y for r in all_])[own]
     assert 0 < own.sum() < 900 and np.allclose(m.trees[0].nodes[0].totals, [g.sum(), 0.25 * own.sum()])
+
+
+def test_boosting_in_one_task_or_all(spark, monkeypatch):
+    """A small table is boosted by one task, a large one by all, with margins written anew now and then: the same trees."""
+    x, y = table()
+    df = frame(spark, x, y)
+    one = T.boosted(df, list("abcd"), "y", trees=5, depth=3, bins=16)
+    monkeypatch.setattr(T, "ONE_TASK", 0)
+    monkeypatch.setattr(T, "STORED", 2)
+    all_ = T.boosted(df, list("abcd"), "y", trees=5, depth=3, bins=16)
+    assert len(one.trees) == len(all_.trees) == 5
+    for a, b in zip(one.trees, all_.trees):
+        assert [(n.feature, n.bin, n.missing_left, n.children) for n in a.nodes] == [(n.feature, n.bin, n.missing_left, n.children) for n in b.nodes]
+        assert np.allclose([n.value for n in a.nodes], [n.value for n in b.nodes], rtol=1e-9) and np.allclose([n.gain for n in a.nodes], [n.gain for n in b.nodes], rtol=1e-9)
+    monkeypatch.undo()
+    none = T.boosted(df.where("false"), list("abcd"), "y", trees=2)
+    assert len(none.trees) == 2 and not any(n.children or n.value for t in none.trees for n in t.nodes)
+
+
+def test_second_order_query_grows_all_trees(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from cohortry.plans import q_text
+
+    made = []
+    monkeypatch.setattr(q_text, "boosted", lambda *a, **k: made.append(T.boosted(*a, **k)) or made[-1])
+    rows = entry.queries()["ml_08_second_order"](spark, "/root/testdata/sf0.001").collect()
+    assert len(made[0].trees) == 100 and abs(sum(r.importance for r in rows) - 1) < 1e-9
